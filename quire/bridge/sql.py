@@ -92,3 +92,13 @@ def with_views(names: str, query: str, **extra: str) -> str:
         place(name)
     parts = [f"{n} as ({CTES[n]})" for n in placed] + [f"{n} as ({q})" for n, q in extra.items()]
     return f"with {', '.join(parts)} {query}" if parts else query
+
+
+def _join_notes() -> None:
+    from quire.bridge.notes import NOTE_CTES
+
+    CTES.update(NOTE_CTES)
+    NEEDS.update({"head": ("ordered",), "notes": ("head", "lparts")})
+
+
+_join_notes()
