@@ -108,10 +108,11 @@ PITCH = (
     f"concat('Team name: ', case {VARIANT} when 0 then {PERSON} || ', ' || {PERSON2} || ', Zoe' when 1 then 'members' "
     f"else 'Team ' || p_brand end, {NL}, 'Problem statement: ', case when {VARIANT} = 2 then 'ps 0' || cast(p_size % 10 + 10 as string) else 'a long text with more than four words' end, {NL}, "
     f"'Theme: ', case when {VARIANT} = 3 then 'For ' || c_mktsegment || ' so that ' || p_name || ' ships' else c_mktsegment || ' automation.' end, {NL}, "
-    f"'Demo link: https://example.org/', cast(o_orderkey as string), {NL}, {NL}, 'What breaks today', {NL}, '- Orders for ', p_name, ' sit unsorted', {NL}, "
-    f"'- The tool drafts a reply', {NL}, {NL}, 'What you built', {NL}, '- A queue that reads ', p_name, ' orders', {NL}, '- Today clerks wait', {NL}, "
-    f"'- One click release', {NL}, {NL}, 'Tools used', {NL}, '- Spark for ', p_type, {NL}, {NL}, 'Reach: ', cast(p_size as string), ' teams', {NL}, "
-    f"'For ', lower(c_mktsegment), ' clerks, our queue sorts every order of ', p_name, ' at once.')"
+    f"'Demo link: https://example.org/', cast(o_orderkey as string), {NL}, 'Reach: ', cast(p_size as string), ' teams', {NL}, "
+    f"'For ', lower(c_mktsegment), ' clerks, our queue sorts every order of ', p_name, ' at once.', {NL}, {NL}, "
+    f"'What breaks today', {NL}, '- Orders for ', p_name, ' sit unsorted', {NL}, '- The tool drafts a reply', {NL}, {NL}, "
+    f"'What you built', {NL}, '- A queue that reads ', p_name, ' orders', {NL}, '- Today clerks wait', {NL}, "
+    f"'- One click release', {NL}, {NL}, 'Tools used', {NL}, '- Spark for ', p_type)"
 )
 
 TEMPLATE = (

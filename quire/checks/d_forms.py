@@ -72,7 +72,7 @@ def _(spark, folder):
     "fn26_bullet_item",
     with_views(
         "lparts",
-        f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when m = 1 then concat('Send ', lp_name) else concat('Ship ', lp_name) end as task, "
+        f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when m = 1 then concat('Send ', lp_name, ' , , ] )') else concat('Ship ', lp_name) end as task, "
         f"case when m = 1 then 'Max' else replace(s_name, '#', ' ') end as owner, case when m = 1 then '5 May' else {N.iso('l_shipdate')} end as due_date, "
         "case when m = 1 then 'open' when m = 2 then 'done' end as status, case when m = 1 then 'high' end as priority "
         "from (select *, l_orderkey % 3 as m from lparts)",
@@ -285,7 +285,7 @@ _TEAM = "case v when 0 then '' when 1 then '' else concat('Team ', p_brand) end"
         f"select doc_id, {_TEAM} as team_name, case when v = 0 then concat({N.PERSON}, ', ', {N.PERSON2}, ', Zoe') else '' end as team_members, "
         "case when v = 2 then concat('PS-0', cast(p_size % 10 + 10 as varchar)) else '' end as problem_statement_id, "
         "case when v = 3 then '' else concat(c_mktsegment, ' automation') end as theme, concat('https://example.org/', o_orderkey) as demo_url, concat(p_size, ' teams') as reach, "
-        "case when v = 3 then concat('For ', c_mktsegment, ' so that ', p_name, ' ships') else concat('For ', lower(c_mktsegment), ' clerks, our queue sorts every order of ', p_name, ' at once') end as pitch, concat('Spark for ', p_type) as tools_used from h"
+        "concat('For ', lower(c_mktsegment), ' clerks, our queue sorts every order of ', p_name, ' at once') as pitch, concat('Spark for ', p_type) as tools_used from h"
     ),
 )
 def _(spark, folder):

@@ -41,10 +41,17 @@ def _hay(*bits: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(joined, r"[\s._-]+", " ")))
 
 
-def profile_score(profile: Profile, filename: Column, name: Column, ident: Column) -> Column:
+def _with_hay(files: DataFrame, name: str, out: str) -> DataFrame:
+    """Normal text and extension as columns of their own, so that scoring reads them once per file."""
+    filename = F.coalesce(F.col("filename"), F.lit(""))
+    given = F.when(filename == "", F.col(name)).otherwise(filename)
+    return files.withColumns(
+        {out: _hay(K.base_name(filename), F.col(name), F.col("id")), f"{out}_ext": K.extension(K.base_name(given))}
+    )
+
+
+def profile_score(profile: Profile, hay: Column, ext: Column) -> Column:
     """Points of one profile for a file, 0 when its extension does not fit."""
-    hay = _hay(K.base_name(F.coalesce(filename, F.lit(""))), name, ident)
-    ext = K.extension(K.base_name(F.when(F.coalesce(filename, F.lit("")) == "", name).otherwise(filename)))
     sample = re.sub(r"[\s._-]+", " ", profile.sample_file.rsplit(".", 1)[0]).lower()
     score = (
         F.when(hay.contains(sample), 100).otherwise(0)
@@ -66,31 +73,40 @@ def best_profile(files: DataFrame, profiles: list[Profile] = PROFILES) -> DataFr
     """
     scored = [
         F.struct(
-            profile_score(p, F.col("filename"), F.col("name"), F.col("id")).alias("score"),
+            profile_score(p, F.col("__hay"), F.col("__hay_ext")).alias("score"),
             F.lit(-i).alias("before"), F.lit(p.id).alias("profile_id"),
         )
         for i, p in enumerate(profiles)
     ]
+    enough = F.col("__best.score") >= 12
     return (
-        files.withColumn("__best", F.array_max(F.array(*scored)))
-        .withColumn("match_score", F.when(F.col("__best.score") >= 12, F.col("__best.score")))
-        .withColumn("profile_id", F.when(F.col("__best.score") >= 12, F.col("__best.profile_id")))
-        .drop("__best")
+        _with_hay(files, "name", "__hay")
+        .withColumn("__best", F.array_max(F.array(*scored)))
+        .withColumn("match_score", F.when(enough, F.col("__best.score")))
+        .withColumn("profile_id", F.when(enough, F.col("__best.profile_id")))
+        .drop("__best", "__hay", "__hay_ext")
     )
 
 
 def annotate(files: DataFrame, profiles: list[Profile] = PROFILES) -> DataFrame:
     """Profile, its display name, and the score under that display name."""
     matched = best_profile(files, profiles)
+    shown = F.create_map(*[F.lit(x) for p in profiles for x in (p.id, p.name)])
+    place = F.create_map(*[F.lit(x) for i, p in enumerate(profiles) for x in (p.id, i)])
+    named = _with_hay(
+        matched.withColumns(
+            {
+                "shown_name": F.coalesce(shown[F.col("profile_id")], F.col("name")),
+                "profile_ord": place[F.col("profile_id")],
+            }
+        ),
+        "shown_name", "__hay",
+    )
     rescored = F.lit(None).cast("int")
-    shown = F.col("name")
-    order = F.lit(None).cast("int")
-    for i, p in enumerate(profiles):
-        hit = F.col("profile_id") == p.id
-        rescored = F.when(hit, profile_score(p, F.col("filename"), F.lit(p.name), F.col("id"))).otherwise(rescored)
-        shown = F.when(hit, F.lit(p.name)).otherwise(shown)
-        order = F.when(hit, F.lit(i)).otherwise(order)
-    return matched.withColumns({"profile_score": rescored, "shown_name": shown, "profile_ord": order})
+    for p in profiles:
+        own = profile_score(p, F.col("__hay"), F.col("__hay_ext"))
+        rescored = F.when(F.col("profile_id") == p.id, own).otherwise(rescored)
+    return named.withColumn("profile_score", rescored).drop("__hay", "__hay_ext")
 
 
 def best_file_per_profile(annotated: DataFrame) -> DataFrame:

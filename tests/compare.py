@@ -80,7 +80,7 @@ def main() -> int:
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g",
         "spark.sql.session.timeZone": "Etc/UTC",
     })
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("FATAL")
     con = connect(folder)
     oracles = entry.oracle_sql()
     failed = 0
