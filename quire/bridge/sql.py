@@ -98,6 +98,10 @@ def _join_notes() -> None:
     from quire.bridge.notes import NOTE_CTES
 
     CTES.update(NOTE_CTES)
+    from quire.bridge.plans import PLAN_CTES, PLAN_NEEDS
+
+    CTES.update(PLAN_CTES)
+    NEEDS.update(PLAN_NEEDS)
     NEEDS.update({"head": ("ordered",), "notes": ("head", "lparts")})
 
 
