@@ -66,13 +66,10 @@ def _(spark, folder):
 
 @check("jn09_nearest_column")
 def _(spark, folder):
-    columns = F.array(
-        F.struct(F.lit("task").alias("name"), F.lit("Work to do").alias("header")), F.struct(F.lit("owner").alias("name"), F.lit("Person").alias("header")),
-        F.struct(F.lit("due_date").alias("name"), F.col("p_type").alias("header")),
-    )
     rows = labels(spark, folder).join(table(spark, folder, "part").select("p_partkey", "p_type"), "p_partkey")
-    near = fill.with_nearest_column(rows.withColumn("columns", columns), "label", "columns", "column")
-    return near.select("p_partkey", "column")
+    names = F.array(F.lit("task"), F.lit("owner"), F.lit("due_date"))
+    near = S.nearest_columns(F.array("label"), names, F.array(F.lit("Work to do"), F.lit("Person"), F.col("p_type")))
+    return rows.select("p_partkey", F.get(near, F.lit(0)).alias("column"))
 
 
 @check(

@@ -169,20 +169,26 @@ def bullet_item(text: Column) -> Column:
     )
 
     def step(acc: Column, part: Column) -> Column:
-        day = X.parse_date(part).cast("string")
+        text, day = part["text"], part["day"]
         is_due = day.isNotNull() & acc["due_date"].isNull()
-        words = F.size(_kept(F.split(part, r"\s+")))
-        is_owner = ~is_due & (words <= 4) & acc["owner"].isNull()
-        is_status = ~is_due & ~is_owner & acc["status"].isNull() & F.lower(part).isin(*STATUS_WORDS)
+        is_owner = ~is_due & (part["words"] <= 4) & acc["owner"].isNull()
+        is_status = ~is_due & ~is_owner & acc["status"].isNull() & F.lower(text).isin(*STATUS_WORDS)
         return F.struct(
             F.when(is_due, day).otherwise(acc["due_date"]).alias("due_date"),
-            F.when(is_owner, part).otherwise(acc["owner"]).alias("owner"),
-            F.when(is_status, part).otherwise(acc["status"]).alias("status"),
+            F.when(is_owner, text).otherwise(acc["owner"]).alias("owner"),
+            F.when(is_status, text).otherwise(acc["status"]).alias("status"),
         )
 
     many = F.size(parts) >= 2
     tail = F.when(many, F.slice(parts, 2, F.size(parts))).otherwise(F.array().cast("array<string>"))
-    read = F.aggregate(tail, start, step)
+    # each part is read once, then folded
+    known = F.transform(
+        tail,
+        lambda p: F.struct(
+            p.alias("text"), X.parse_date(p).cast("string").alias("day"), F.size(_kept(F.split(p, r"\s+"))).alias("words")
+        ),
+    )
+    read = F.aggregate(known, start, step)
     main = F.when(many, parts[0]).otherwise(rest)
     task = T.strip(F.regexp_replace(main, r"\s{2,}", " "), " -–—:")
     return F.struct(

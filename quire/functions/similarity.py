@@ -195,6 +195,29 @@ def each_of(name: pd.Series, label: pd.Series, options: pd.Series) -> pd.Series:
     return pd.Series([one(*row) for row in zip(name, label, options)])
 
 
+@F.pandas_udf(Ty.ArrayType(Ty.StringType()))
+def nearest_columns(fields: pd.Series, names: pd.Series, headers: pd.Series) -> pd.Series:
+    """Table column each source field means: the same name, else the most alike by name, header or synonyms."""
+
+    def nearest(name: str, columns: list[tuple[str, str]]) -> str | None:
+        best, chosen = 0.0, None
+        for column, header in columns:
+            options = (column, header, *ITEM_FIELDS.get(column, ()))
+            value = max(similarity(name, o) for o in options)
+            if value > best:
+                best, chosen = value, column
+        return chosen if best >= 0.7 else None
+
+    def one(wanted, cols, heads):
+        if wanted is None or cols is None:
+            return []
+        pairs = list(zip(cols, heads))
+        have = set(cols)
+        return [f if f in have else nearest(f, pairs) for f in wanted]
+
+    return pd.Series([one(*row) for row in zip(fields, names, headers)])
+
+
 @F.pandas_udf(Ty.BooleanType())
 def near_quote(quote: pd.Series, text: pd.Series) -> pd.Series:
     """A window of the normal text is at least 0.82 similar to the normal quote."""

@@ -49,32 +49,27 @@ def _int(text: Column) -> Column:
 
 _ISO = r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b"
 _DMY = r"\b(\d{1,2})[/.](\d{1,2})[/.](\d{4})\b"
-_DAY_NAME = r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3,9})\.?,?\s+(\d{4})\b"
-_NAME_DAY = r"\b([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})\b"
-_DAY_MONTH = r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3,9})\b"
+_DAY_NAME = r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3})[A-Za-z]{0,6}\.?,?\s+(\d{4})\b"
+_NAME_DAY = r"\b([A-Za-z]{3})[A-Za-z]{0,6}\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})\b"
+_DAY_MONTH = r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3})[A-Za-z]{0,6}\b"
 
 
 def parse_date(text: Column, dayfirst: bool = True, default_year: Column | None = None) -> Column:
     """First readable date anywhere in the text; forms are tried in order, each at its first match."""
 
-    def numbers(pattern: str, y: int, m: int, d: int) -> Column:
-        year, month, day = (_int(_part(text, pattern, g)) for g in (y, m, d))
-        if dayfirst:
-            return make_date(year, month, day)
-        swap = (day <= 12) & (month > 12)
-        return make_date(year, F.when(swap, day).otherwise(month), F.when(swap, month).otherwise(day))
-
-    def named(pattern: str, y: Column, m: int, d: int) -> Column:
-        return make_date(y, month_number(_part(text, pattern, m)), _int(_part(text, pattern, d)))
-
-    forms = [
-        numbers(_ISO, 1, 2, 3),
-        numbers(_DMY, 3, 2, 1),
-        named(_DAY_NAME, _int(_part(text, _DAY_NAME, 3)), 2, 1),
-        named(_NAME_DAY, _int(_part(text, _NAME_DAY, 3)), 1, 2),
-    ]
+    def named(pattern: str, order: str, tail: Column | None = None) -> Column:
+        spelled = F.initcap(F.regexp_replace(F.regexp_extract(text, pattern, 0), pattern, order))
+        return F.try_to_date(spelled if tail is None else F.concat_ws(" ", spelled, tail), "d MMM yyyy")
+
+    iso = F.regexp_extract(text, _ISO, 0)
+    dmy = F.translate(F.regexp_extract(text, _DMY, 0), ".", "/")
+    forms = [F.try_to_date(iso, "yyyy-M-d"), F.try_to_date(dmy, "d/M/yyyy")]
+    if not dayfirst:
+        # month and day change places only where the first reading has no such month
+        forms = [forms[0], F.try_to_date(iso, "yyyy-d-M"), forms[1], F.try_to_date(dmy, "M/d/yyyy")]
+    forms += [named(_DAY_NAME, "$1 $2 $3"), named(_NAME_DAY, "$2 $1 $3")]
     if default_year is not None:
-        forms.append(named(_DAY_MONTH, default_year.cast("int"), 2, 1))
+        forms.append(named(_DAY_MONTH, "$1 $2", default_year.cast("string")))
     return F.coalesce(*forms)
 
 

@@ -65,14 +65,15 @@ def block_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.withColumn("scores", S.role_scores(F.col("label"))).withColumn("top", F.get("scores", F.lit(0)))
 
 
-def _typed_value(value: Column, fmt: Column) -> tuple[Column, Column]:
-    typed = X.coerce(value, fmt)
+def _with_typed(df: DataFrame, value: str, fmt: Column) -> DataFrame:
+    """Adds ``shown``, the canonical text of a value, and ``fits``, whether it has the format."""
+    typed = F.col("__typed")
     shown = F.coalesce(
-        typed["v_date"].cast("string"),
-        F.when(typed["v_minutes"].isNotNull(), X.display_minutes(typed["v_minutes"])),
+        typed["v_date"].cast("string"), F.when(typed["v_minutes"].isNotNull(), X.display_minutes(typed["v_minutes"])),
         X.display_double(typed["v_double"]), typed["v_string"],
     )
-    return shown, typed["ok"]
+    staged = df.withColumn("__typed", X.coerce(F.col(value), fmt))
+    return staged.withColumns({"shown": shown, "fits": typed["ok"]}).drop("__typed")
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -98,11 +99,10 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 def _rule_facts(found: DataFrame) -> DataFrame:
     score, role = F.col("top.score"), F.col("top.name")
-    pairs = _pairs(found).where("not as_list")
-    shown, ok = _typed_value(F.col("value"), F.col("format"))
-    trust = F.least(F.lit(0.95), 0.55 + 0.4 * score) * F.when(ok, 1.0).otherwise(0.75)
+    pairs = _with_typed(_pairs(found).where("not as_list"), "value", F.col("format"))
+    trust = F.least(F.lit(0.95), 0.55 + 0.4 * score) * F.when(F.col("fits"), 1.0).otherwise(0.75)
     from_pairs = pairs.select(
-        "doc_id", "role", F.col("pos").alias("ord"), shown.alias("value"), F.round(trust, 3).alias("confidence"),
+        "doc_id", "role", F.col("pos").alias("ord"), F.col("shown").alias("value"), F.round(trust, 3).alias("confidence"),
         "evidence", F.lit("rules").alias("extractor"), F.col("value").alias("raw"),
     )
     single = ~R.is_collection(role)
@@ -350,8 +350,8 @@ def narrative_collections(docs: DataFrame, text: str = "text") -> DataFrame:
 def extract_facts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(facts, collections) of notes (doc_id, text): rules first, narrative where rules found nothing.
 
-    A narrative list is taken only if it has more items than the list the rules found. The blocks are
-    marked for caching: they are the one costly step, and both results read them.
+    A narrative list is taken only if it has more items than the list the rules found. Blocks and
+    lists are marked for caching: reading the text is the one costly step, and both results need it.
     """
     found = block_rows(docs, text).persist(StorageLevel.MEMORY_AND_DISK)
     both = _rule_facts(found).withColumn("__rule", F.lit(1)).unionByName(
@@ -364,7 +364,8 @@ def extract_facts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataF
         "doc_id", F.year(F.try_to_date("value", "yyyy-MM-dd")).alias("default_year")
     )
     told = narrative_collections(docs.join(years, "doc_id", "left"), text).withColumn("__rule", F.lit(0))
-    ruled = best_collection(_rule_collections(found)).withColumn("__rule", F.lit(1))
+    candidates = _rule_collections(found).persist(StorageLevel.MEMORY_AND_DISK)
+    ruled = best_collection(candidates).withColumn("__rule", F.lit(1))
     lists = best_per_group(
         ruled.unionByName(told), ["doc_id", "role"], [F.size("items"), F.col("__rule"), -F.col("ord")]
     ).drop("__rule")
@@ -381,14 +382,14 @@ def gate_candidates(
     texts = docs.select("doc_id", T.normalize_text(F.col("text")).alias("__norm"))
     usable = candidates.where("coalesce(value, '') <> '' and trim(coalesce(evidence, '')) <> ''")
     quoted = usable.join(texts, "doc_id").where(S.evidence_present(F.trim("evidence"), F.col("__norm"))).drop("__norm")
-    shown, ok = _typed_value(F.col("value"), R.expected_format(F.col("role"), roles, "text"))
-    weighed = quoted.withColumns(
-        {"raw": F.col("value"), "__conf": F.coalesce("confidence", F.lit(0.7)) * F.when(ok, 1.0).otherwise(0.8), "__shown": shown}
+    typed = _with_typed(quoted, "value", R.expected_format(F.col("role"), roles, "text"))
+    weighed = typed.withColumns(
+        {"raw": F.col("value"), "__conf": F.coalesce("confidence", F.lit(0.7)) * F.when(F.col("fits"), 1.0).otherwise(0.8)}
     )
     known = facts.select("doc_id", "role", F.col("confidence").alias("__known"))
     kept = weighed.join(known, ["doc_id", "role"], "left").where("__known is null or __conf > __known")
     ready = kept.select(
-        "doc_id", "role", "ord", F.col("__shown").alias("value"), F.round(F.least("__conf", F.lit(0.97)), 3).alias("confidence"),
+        "doc_id", "role", "ord", F.col("shown").alias("value"), F.round(F.least("__conf", F.lit(0.97)), 3).alias("confidence"),
         F.trim("evidence").alias("evidence"), F.lit("outside").alias("extractor"), "raw",
     )
     return best_fact(ready)

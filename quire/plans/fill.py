@@ -57,17 +57,27 @@ def flatten_collection(items: Column, multiline: Column) -> Column:
 
 
 # --- fields ---------------------------------------------------------------------------------------
-def _fuzzy(rest: DataFrame, arrays: DataFrame, floor: float) -> DataFrame:
-    """Best role per (job, node) among the arrays of its document, at least ``floor``."""
-    options = F.transform("options", lambda o: _spoken(o["role"]))
-    scored = rest.join(arrays, "doc_id").withColumn("__hit", S.best_of(_spoken(F.col("role")), F.col("label"), options))
-    hit = F.get("options", F.col("__hit.pos"))
+def _best_of_arrays(rows: DataFrame, arrays: DataFrame, open_: Column, name: str, floor: float) -> DataFrame:
+    """Adds ``name`` (role, score) of the best role among the arrays of a row's document, where ``open_``.
+
+    A document has one array unless it has very many roles, so the join rarely repeats a row; the
+    aggregate brings the repeats together again.
+    """
+    carried = [c for c in rows.columns if c not in ("job", "node_id")]
+    keyed = rows.withColumn("__open", open_).withColumn("__doc", F.when(F.col("__open"), F.col("doc_id")))
+    joined = keyed.join(arrays.withColumnRenamed("doc_id", "__doc"), "__doc", "left")
+    spoken = F.transform("options", lambda o: _spoken(o["role"]))
+    hit = joined.withColumn("__hit", S.best_of(_spoken(F.col("role")), F.col("label"), spoken))
+    found = F.get("options", F.col("__hit.pos"))
+    candidate = F.when(
+        F.col("__hit.score") >= floor,
+        F.struct(F.col("__hit.score").alias("score"), (-found["ord"]).alias("before"), found["role"].alias("role")),
+    )
     return (
-        scored.where(F.col("__hit.score") >= floor)
-        .select("job", "node_id", hit["role"].alias("src_role"), hit["ord"].alias("src_ord"), F.col("__hit.score").alias("sim"))
+        hit.withColumn("__candidate", candidate)
         .groupBy("job", "node_id")
-        .agg(F.max_by(F.struct("src_role", "sim"), F.struct("sim", (-F.col("src_ord")).alias("o"))).alias("m"))
-        .select("job", "node_id", "m.src_role", "m.sim")
+        .agg(F.first(F.struct(*carried)).alias("__row"), F.max("__candidate").alias(name))
+        .select("job", "node_id", *[F.col("__row")[c].alias(c) for c in carried], name)
     )
 
 
@@ -76,54 +86,52 @@ def match_facts(
 ) -> DataFrame:
     """Each (job, field) with the fact it takes: value, fact_conf, evidence, extractor, match_conf, step.
 
-    The first hit counts: exact role, list of the same role as text, similar list, similar fact.
-    Each step only sees what the steps before left over.
+    The first hit counts: exact role, list of the same role as text, similar list, similar fact. One
+    chain of left joins; a row that is settled carries a null key and takes no part in later steps.
     """
     wanted = jobs.join(fields, "template_id")
-    f = facts.select("doc_id", "role", F.col("value").alias("f_value"), F.col("confidence").alias("f_conf"),
-                     F.col("evidence").alias("f_ev"), F.col("extractor").alias("f_ext"))
-    c = collections.where(F.size("items") > 0).select(
-        "doc_id", "role", F.col("items").alias("c_items"), F.col("confidence").alias("c_conf"),
-        F.col("evidence").alias("c_ev"), F.col("extractor").alias("c_ext"),
-    )
-    exact = wanted.join(f, ["doc_id", "role"], "left").join(c, ["doc_id", "role"], "left")
-    by_fact = F.col("f_value").isNotNull()
-    text = F.when(~by_fact & F.col("c_items").isNotNull(), flatten_collection(F.col("c_items"), F.col("multiline")))
-    exact = exact.withColumn("__text", F.nullif(text, F.lit("")))
-    by_list = ~by_fact & F.col("__text").isNotNull()
-    done = exact.where(by_fact | by_list).select(
-        *wanted.columns,
-        F.when(by_fact, F.col("f_value")).otherwise(F.col("__text")).alias("value"),
-        F.when(by_fact, F.col("f_conf")).otherwise(F.col("c_conf") * 0.95).alias("fact_conf"),
-        F.when(by_fact, F.col("f_ev")).otherwise(F.col("c_ev")).alias("evidence"),
-        F.when(by_fact, F.col("f_ext")).otherwise(F.col("c_ext")).alias("extractor"),
-        F.when(by_fact, 1.0).otherwise(0.95).alias("match_conf"),
-        F.when(by_fact, "exact role").otherwise("list of the role").alias("step"),
-    )
-    rest = exact.where(~(by_fact | by_list)).select(*wanted.columns)
-    c_src = c.withColumnRenamed("role", "src_role")
-    similar = _fuzzy(rest, role_arrays(collections.where(F.size("items") > 0)), floor)
-    guess = F.col("role").startswith("x_") & ~F.col("src_role").startswith("x_")
-    penalty = F.when(guess, 0.55).otherwise(1.0)
-    by_similar = (
-        rest.join(similar, ["job", "node_id"]).join(c_src, ["doc_id", "src_role"])
-        .withColumn("value", F.nullif(flatten_collection(F.col("c_items"), F.col("multiline")), F.lit("")))
-        .where("value is not null")
-        .select(
-            *wanted.columns, "value", (F.col("c_conf") * 0.85 * F.col("sim") * penalty).alias("fact_conf"),
-            F.col("c_ev").alias("evidence"), F.col("c_ext").alias("extractor"),
-            (0.85 * F.col("sim") * penalty).alias("match_conf"), F.lit("similar list").alias("step"),
-        )
+    columns = wanted.columns
+    fact = F.struct("value", F.col("confidence").alias("conf"), "evidence", "extractor")
+    listing = F.struct("items", F.col("confidence").alias("conf"), "evidence", "extractor")
+    f = facts.select("doc_id", "role", fact.alias("fact"))
+    c = collections.where(F.size("items") > 0).select("doc_id", "role", listing.alias("list"))
+
+    def as_text(items: str) -> Column:
+        return F.nullif(flatten_collection(F.col(items), F.col("multiline")), F.lit(""))
+
+    exact = wanted.join(f.withColumnRenamed("fact", "f1"), ["doc_id", "role"], "left").join(
+        c.withColumnRenamed("list", "c1"), ["doc_id", "role"], "left"
     )
-    left = rest.join(by_similar.select("job", "node_id"), ["job", "node_id"], "left_anti")
-    near = _fuzzy(left, role_arrays(facts), floor)
-    f_src = f.withColumnRenamed("role", "src_role")
-    by_near = left.join(near, ["job", "node_id"], "left").join(f_src, ["doc_id", "src_role"], "left").select(
-        *wanted.columns, F.col("f_value").alias("value"), F.col("f_conf").alias("fact_conf"), F.col("f_ev").alias("evidence"),
-        F.col("f_ext").alias("extractor"), (0.90 * F.col("sim")).alias("match_conf"),
-        F.when(F.col("f_value").isNotNull(), "similar fact").otherwise("not found").alias("step"),
+    exact = exact.withColumn("t1", F.when(F.col("f1").isNull() & F.col("c1").isNotNull(), as_text("c1.items")))
+    opened = F.col("f1").isNull() & F.col("t1").isNull()
+    listed = _best_of_arrays(exact, role_arrays(collections.where(F.size("items") > 0)), opened, "m2", floor)
+    listed = listed.withColumn("__src", F.col("m2.role")).join(
+        c.select("doc_id", F.col("role").alias("__src"), F.col("list").alias("c2")), ["doc_id", "__src"], "left"
+    ).drop("__src")
+    listed = listed.withColumn("t2", F.when(F.col("c2").isNotNull(), as_text("c2.items")))
+    still = opened & F.col("t2").isNull()
+    near = _best_of_arrays(listed, role_arrays(facts), still, "m3", floor)
+    near = near.withColumn("__src", F.col("m3.role")).join(
+        f.select("doc_id", F.col("role").alias("__src"), F.col("fact").alias("f3")), ["doc_id", "__src"], "left"
+    ).drop("__src")
+    guess = F.col("role").startswith("x_") & ~F.col("m2.role").startswith("x_")
+    share = 0.85 * F.col("m2.score") * F.when(guess, 0.55).otherwise(1.0)
+    by = [
+        (F.col("f1").isNotNull(), F.col("f1.value"), F.col("f1.conf"), "f1", F.lit(1.0), "exact role"),
+        (F.col("t1").isNotNull(), F.col("t1"), F.col("c1.conf") * 0.95, "c1", F.lit(0.95), "list of the role"),
+        (F.col("t2").isNotNull(), F.col("t2"), F.col("c2.conf") * share, "c2", share, "similar list"),
+        (F.col("f3").isNotNull(), F.col("f3.value"), F.col("f3.conf"), "f3", 0.90 * F.col("m3.score"), "similar fact"),
+    ]
+
+    def first(pick) -> Column:
+        return F.coalesce(*[F.when(row[0], pick(row)) for row in by])
+
+    return near.select(
+        *columns,
+        first(lambda r: r[1]).alias("value"), first(lambda r: r[2]).alias("fact_conf"),
+        first(lambda r: F.col(f"{r[3]}.evidence")).alias("evidence"), first(lambda r: F.col(f"{r[3]}.extractor")).alias("extractor"),
+        first(lambda r: r[4]).alias("match_conf"), F.coalesce(first(lambda r: F.lit(r[5])), F.lit("not found")).alias("step"),
     )
-    return done.unionByName(by_similar).unionByName(by_near)
 
 
 def plan_fields(matched: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -160,125 +168,131 @@ def match_collections(
     """Each (job, table) with its list: exact role, base role, alike by name and columns, one fact as a row.
 
     ``tables`` has template_id, role, node_id, section, columns (array of name, header, format, editable).
+    One chain of left joins, as in ``match_facts``.
     """
     wanted = jobs.join(tables, "template_id")
-    c = collections.select(
-        "doc_id", F.col("role").alias("src_role"), "items", F.col("confidence").alias("coll_conf"), "evidence", "extractor"
-    )
+    columns = wanted.columns
+    carried = lambda df: [x for x in df.columns if x not in ("job", "node_id")]
+    listing = F.struct(F.col("role").alias("src"), "items", F.col("confidence").alias("conf"), "evidence", "extractor")
+    c = collections.select("doc_id", "role", listing.alias("list"))
+
+    def joined(df: DataFrame, role: Column, out: str) -> DataFrame:
+        other = c.select("doc_id", F.col("role").alias("__src"), F.col("list").alias(out))
+        return df.withColumn("__src", role).join(other, ["doc_id", "__src"], "left").drop("__src")
+
     base = F.regexp_replace("role", r"__.*$", "")
-    exact = (
-        wanted.withColumn("src_role", F.col("role")).join(c, ["doc_id", "src_role"]).withColumns(
-            {"match_conf": F.lit(1.0), "step": F.lit("exact role")}
-        )
-    )
-    rest = wanted.join(exact.select("job", "node_id"), ["job", "node_id"], "left_anti")
-    by_base = (
-        rest.where(base != F.col("role")).withColumn("src_role", base).join(c.where(F.size("items") > 0), ["doc_id", "src_role"])
-        .withColumns({"match_conf": F.lit(0.95), "step": F.lit("base role")})
-    )
-    rest = rest.join(by_base.select("job", "node_id"), ["job", "node_id"], "left_anti")
+    rows = joined(wanted, F.col("role"), "c1")
+    rows = joined(rows, F.when(F.col("c1").isNull() & (base != F.col("role")), base), "c2")
+    rows = rows.withColumn("c2", F.when(F.size("c2.items") > 0, F.col("c2")))
     fields = F.array_distinct(F.flatten(F.transform(F.slice("items", 1, 10), lambda m: F.map_keys(m))))
-    arrays = role_arrays(collections.withColumn("fields", fields), "fields", size=64)
-    names = F.transform("columns", lambda col: col["name"])
-    sims = S.each_of(_spoken(F.col("role")), F.col("section"), F.transform("options", lambda o: _spoken(o["role"])))
-    scored = rest.join(arrays, "doc_id").withColumn("__sims", sims).withColumn("__names", names)
+    arrays = role_arrays(collections.withColumn("fields", fields), "fields", size=64).withColumnRenamed("doc_id", "__doc")
+    opened = F.col("c1").isNull() & F.col("c2").isNull()
+    keyed = rows.withColumn("__doc", F.when(opened, F.col("doc_id"))).join(arrays, "__doc", "left")
+    keyed = keyed.withColumns(
+        {
+            "__sims": S.each_of(_spoken(F.col("role")), F.col("section"), F.transform("options", lambda o: _spoken(o["role"]))),
+            "__names": F.transform("columns", lambda col: col["name"]),
+        }
+    )
     rated = F.transform(
         "options",
         lambda o, i: F.struct(
             (
-                0.5 * F.get(F.col("__sims"), i)
+                0.5 * F.get("__sims", i)
                 + 0.5 * F.size(F.array_intersect(F.col("__names"), o["fields"])) / F.greatest(F.lit(1), F.size("__names"))
             ).alias("score"),
             (-o["ord"]).alias("before"), o["role"].alias("role"),
         ),
     )
+    held = carried(rows)
     best = (
-        scored.withColumn("__best", F.array_max(rated)).where(F.col("__best.score") >= floor)
-        .groupBy("job", "node_id").agg(F.max("__best").alias("m")).select("job", "node_id", F.col("m.role").alias("src_role"), F.col("m.score").alias("score"))
+        keyed.withColumn("__best", F.array_max(rated))
+        .groupBy("job", "node_id").agg(F.first(F.struct(*held)).alias("__row"), F.max("__best").alias("m3"))
+        .select("job", "node_id", *[F.col("__row")[x].alias(x) for x in held], F.when(F.col("m3.score") >= floor, F.col("m3")).alias("m3"))
     )
-    alike = rest.join(best, ["job", "node_id"]).join(c, ["doc_id", "src_role"]).withColumns(
-        {"match_conf": F.least(F.lit(1.0), 0.85 + 0.15 * F.col("score")), "step": F.lit("alike")}
-    ).drop("score")
-    rest = rest.join(best.select("job", "node_id"), ["job", "node_id"], "left_anti")
+    rows = joined(best, F.col("m3.role"), "c3")
+    # what is still open may take one fact of its role, of its singular, or a general text
     singular = F.when(F.col("role").endswith("s"), F.expr("substring(role, 1, length(role) - 1)"))
     tries = F.array_compact(F.array(F.col("role"), singular, F.lit("discussion"), F.lit("summary")))
     single = facts.where("coalesce(evidence, '') <> ''").select(
-        "doc_id", F.col("role").alias("src_role"), "value", F.col("confidence").alias("f_conf"),
-        F.col("evidence").alias("f_ev"), F.col("extractor").alias("f_ext"),
+        "doc_id", F.col("role").alias("__src"),
+        F.struct(F.col("role").alias("src"), "value", F.col("confidence").alias("conf"), "evidence", "extractor").alias("__fact"),
     )
-    tried = rest.select("*", F.posexplode(tries).alias("__try", "src_role")).join(single, ["doc_id", "src_role"])
-    first = tried.groupBy("job", "node_id").agg(
-        F.min_by(F.struct("src_role", "value", "f_conf", "f_ev", "f_ext"), "__try").alias("s")
+    last = F.coalesce("c1", "c2", "c3").isNull()
+    held = carried(rows)
+    tried = rows.withColumn("__tries", F.when(last, tries)).select("*", F.posexplode_outer("__tries").alias("__try", "__src"))
+    rows = (
+        tried.drop("__tries").join(single, ["doc_id", "__src"], "left")
+        .groupBy("job", "node_id")
+        .agg(
+            F.first(F.struct(*held)).alias("__row"),
+            F.min_by("__fact", F.when(F.col("__fact").isNotNull(), F.col("__try"))).alias("f4"),
+        )
+        .select("job", "node_id", *[F.col("__row")[x].alias(x) for x in held], "f4")
     )
-    primary = F.coalesce(F.get(names, F.lit(0)), F.lit("text"))
-    wrapped = rest.join(first, ["job", "node_id"], "left").select(
-        *wanted.columns, F.col("s.src_role").alias("src_role"),
-        F.when(F.col("s").isNotNull(), F.array(F.map_from_arrays(F.array(primary), F.array("s.value")))).alias("items"),
-        (F.col("s.f_conf") * 0.85).alias("coll_conf"), F.col("s.f_ev").alias("evidence"), F.col("s.f_ext").alias("extractor"),
-        F.when(F.col("s").isNotNull(), 0.80).alias("match_conf"),
-        F.when(F.col("s").isNotNull(), "one fact as a row").otherwise("not found").alias("step"),
+    primary = F.coalesce(F.get(F.transform("columns", lambda col: col["name"]), F.lit(0)), F.lit("text"))
+    wrapped = F.array(F.map_from_arrays(F.array(primary), F.array("f4.value")))
+    by = [
+        (F.col("c1").isNotNull(), "c1", F.col("c1.items"), F.col("c1.conf"), F.lit(1.0), "exact role"),
+        (F.col("c2").isNotNull(), "c2", F.col("c2.items"), F.col("c2.conf"), F.lit(0.95), "base role"),
+        (F.col("c3").isNotNull(), "c3", F.col("c3.items"), F.col("c3.conf"), F.least(F.lit(1.0), 0.85 + 0.15 * F.col("m3.score")), "alike"),
+        (F.col("f4").isNotNull(), "f4", wrapped, F.col("f4.conf") * 0.85, F.lit(0.80), "one fact as a row"),
+    ]
+
+    def first(pick) -> Column:
+        return F.coalesce(*[F.when(row[0], pick(row)) for row in by])
+
+    return rows.select(
+        *columns, first(lambda r: F.col(f"{r[1]}.src")).alias("src_role"), first(lambda r: r[2]).alias("items"),
+        first(lambda r: r[3]).alias("coll_conf"), first(lambda r: F.col(f"{r[1]}.evidence")).alias("evidence"),
+        first(lambda r: F.col(f"{r[1]}.extractor")).alias("extractor"), first(lambda r: r[4]).alias("match_conf"),
+        F.coalesce(first(lambda r: F.lit(r[5])), F.lit("not found")).alias("step"),
     )
-    return exact.unionByName(by_base).unionByName(alike).unionByName(wrapped)
 
 
-def with_nearest_column(df: DataFrame, name: str, columns: str, out: str, floor: float = 0.7) -> DataFrame:
-    """Adds the table column a source field means: by column name, header or synonyms; null below ``floor``."""
-    none = F.lit(None).cast("string")
-    staged = df.withColumns(
-        {
-            "__by_name": S.each_of(F.col(name), none, F.transform(columns, lambda c: c["name"])),
-            "__by_header": S.each_of(F.col(name), none, F.transform(columns, lambda c: F.coalesce(c["header"], F.lit("")))),
-            "__known": S.field_scores(F.col(name)),
-        }
+def _with_cells(matched: DataFrame, policy: Policy) -> DataFrame:
+    """Adds the placed cells of each table and the counts its confidence needs; nothing leaves the row."""
+    limited = F.slice("items", 1, policy.max_rows_per_table) if policy.max_rows_per_table else F.col("items")
+    staged = matched.withColumn("__open", F.filter("columns", lambda c: F.coalesce(c["editable"], F.lit(True)))).withColumn(
+        "__items", F.coalesce(limited, F.array().cast("array<map<string,string>>"))
     )
-    synonym = lambda n: F.coalesce(F.get(F.filter("__known", lambda k: k["name"] == n), F.lit(0))["score"], F.lit(0.0))
-    rated = F.transform(
-        columns,
-        lambda c, i: F.struct(
-            F.greatest(F.get("__by_name", i), F.get("__by_header", i), synonym(c["name"])).alias("score"),
-            (-i).alias("before"), c["name"].alias("name"),
+    staged = staged.withColumn("__fields", F.array_distinct(F.flatten(F.transform("__items", lambda m: F.map_keys(m)))))
+    staged = staged.withColumn(
+        "__target",
+        S.nearest_columns(
+            F.col("__fields"), F.transform("__open", lambda c: c["name"]),
+            F.transform("__open", lambda c: F.coalesce(c["header"], F.lit(""))),
         ),
     )
-    best = staged.withColumn("__best", F.array_max(rated))
-    return best.withColumn(out, F.when(F.col("__best.score") >= floor, F.col("__best.name"))).drop(
-        "__by_name", "__by_header", "__known", "__best"
+
+    def cells_of(item: Column, row: Column) -> Column:
+        def cell(e: Column) -> Column:
+            column = F.get("__target", (F.array_position("__fields", e["key"]) - 1).cast("int"))
+            return F.struct(row.cast("bigint").alias("row"), column.alias("column"), e["value"].alias("raw"))
+
+        return F.filter(F.transform(F.map_entries(item), cell), lambda x: x["column"].isNotNull())
+
+    staged = staged.withColumn("__cells", F.flatten(F.transform("__items", cells_of)))
+    return staged.withColumns(
+        {
+            "offered": F.aggregate("__items", F.lit(0), lambda n, m: n + F.size(m)),
+            "placed": F.size("__cells"),
+            "n_rows": F.size(F.array_distinct(F.transform("__cells", lambda x: x["row"]))).cast("bigint"),
+            "used": F.size(F.array_distinct(F.transform("__cells", lambda x: x["column"]))),
+        }
     )
 
 
 def plan_tables(matched: DataFrame, policy: Policy = Policy()) -> tuple[DataFrame, DataFrame]:
-    """(one instruction per table, its cells as job, node_id, row, column, value, format, ok)."""
-    open_columns = F.filter("columns", lambda c: F.coalesce(c["editable"], F.lit(True)))
-    base = matched.withColumn("__open", open_columns)
-    limited = F.slice("items", 1, policy.max_rows_per_table) if policy.max_rows_per_table else F.col("items")
-    offered = base.where(F.size("items") > 0).select(
-        "job", "node_id", "__open", F.posexplode(limited).alias("row", "item")
-    ).select("job", "node_id", "__open", "row", F.explode("item").alias("field", "raw"))
-    exact = F.exists("__open", lambda c: c["name"] == F.col("field"))
-    # distinct source fields per table are few; the similarity runs once for each of them
-    unknown = offered.where(~exact).select("job", "node_id", "field", "__open").dropDuplicates(["job", "node_id", "field"])
-    near = with_nearest_column(unknown, "field", "__open", "near").select("job", "node_id", "field", "near")
-    placed = offered.withColumn("__exact", exact).join(near, ["job", "node_id", "field"], "left").withColumn(
-        "column", F.when(F.col("__exact"), F.col("field")).otherwise(F.col("near"))
-    )
-    fmt = F.get(F.filter("__open", lambda c: c["name"] == F.col("column")), F.lit(0))["format"]
-    cells = placed.withColumn("format", F.coalesce(fmt, F.lit("text"))).withColumn("__typed", X.coerce(F.col("raw"), F.col("format")))
-    kept = cells.where("column is not null").select(
-        "job", "node_id", F.col("row").cast("bigint").alias("row"), "column",
-        F.when(F.col("__typed.ok"), X.to_display(F.col("__typed"))).otherwise(F.col("raw")).alias("value"), "format", F.col("__typed.ok").alias("ok"),
-    )
-    counts = placed.groupBy("job", "node_id").agg(
-        F.count(F.lit(1)).alias("offered"), F.count("column").alias("placed"),
-        F.count_distinct(F.when(F.col("column").isNotNull(), F.col("row"))).alias("n_rows"),
-        F.count_distinct("column").alias("used"),
-    )
-    joined = base.join(counts, ["job", "node_id"], "left")
-    coverage = F.coalesce(F.col("placed") / F.greatest(F.lit(1), F.col("offered")), F.lit(0.0))
+    """(one instruction per table, its cells as job, template_id, node_id, role, row, column, value, format, ok)."""
+    staged = _with_cells(matched, policy)
+    coverage = F.col("placed") / F.greatest(F.lit(1), F.col("offered"))
     conf = F.least(F.lit(0.99), geo_mean_of(F.col("confidence"), F.col("coll_conf"), F.col("match_conf")) * (0.85 + 0.15 * coverage))
-    staged = joined.withColumn("__conf", conf)
+    rated = staged.withColumn("__conf", conf)
     editable = F.coalesce("editable", F.lit(True))
-    filled = editable & (F.coalesce("n_rows", F.lit(0)) > 0)
+    filled = editable & (F.col("n_rows") > 0)
     critical = R.is_critical(F.col("role"))
-    instructions = staged.select(
+    instructions = rated.select(
         "job", "template_id", F.lit("table").alias("kind"), "node_id", "role", F.coalesce("section", "role").alias("label"),
         F.lit("text").alias("value_format"), critical.alias("critical"),
         F.when(filled, F.concat(F.col("n_rows").cast("string"), F.lit(" row(s)"))).alias("value"),
@@ -288,11 +302,20 @@ def plan_tables(matched: DataFrame, policy: Policy = Policy()) -> tuple[DataFram
         F.when(filled, F.col("extractor")).alias("extractor"),
         F.when(~editable, PROTECTED).when(~filled, NOT_FOUND)
         .otherwise(decide(F.col("__conf"), critical, F.coalesce("evidence", F.lit("")) != "", policy)).alias("decision"),
-        "step",
+        F.col("step").alias("note"),
         F.round(coverage, 6).alias("coverage"),
-        F.round(F.coalesce("used", F.lit(0)) / F.greatest(F.lit(1), F.size("__open")), 6).alias("columns_used"),
-    ).withColumnRenamed("step", "note")
-    return instructions, kept
+        F.round(F.col("used") / F.greatest(F.lit(1), F.size("__open")), 6).alias("columns_used"),
+    )
+    fmt = F.get(F.filter("__open", lambda c: c["name"] == F.col("column")), F.lit(0))["format"]
+    cells = staged.select("job", "template_id", "node_id", "role", "__open", F.explode("__cells").alias("x")).select(
+        "job", "template_id", "node_id", "role", "__open", "x.row", "x.column", "x.raw"
+    ).withColumn("format", F.coalesce(fmt, F.lit("text")))
+    typed = cells.withColumn("__typed", X.coerce(F.col("raw"), F.col("format")))
+    return instructions, typed.select(
+        "job", "template_id", "node_id", "role", "row", "column",
+        F.when(F.col("__typed.ok"), X.to_display(F.col("__typed"))).otherwise(F.col("raw")).alias("value"),
+        "format", F.col("__typed.ok").alias("ok"),
+    )
 
 
 def fill_plan(
