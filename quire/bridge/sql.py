@@ -102,6 +102,10 @@ def _join_notes() -> None:
 
     CTES.update(PLAN_CTES)
     NEEDS.update(PLAN_NEEDS)
+    from quire.bridge.grids import GRID_CTES, GRID_NEEDS
+
+    CTES.update(GRID_CTES)
+    NEEDS.update(GRID_NEEDS)
     NEEDS.update({"head": ("ordered",), "notes": ("head", "lparts")})
 
 

@@ -124,9 +124,11 @@ def _ranker(names: Iterable[tuple[str, tuple[str, ...]]], floor: float):
     return rank
 
 
-def role_scores(label: Column, roles: Iterable[Role] = BASE_ROLES, floor: float = 0.35) -> Column:
+def role_scores(
+    label: Column, roles: Iterable[Role] = BASE_ROLES, floor: float = 0.35, synonyms_only: bool = False
+) -> Column:
     """Array of (name, score, synonym, ord) of the roles a label may mean, best first."""
-    names = [(r.role, r.names()) for r in roles if not r.role.startswith("x_")]
+    names = [(r.role, r.synonyms if synonyms_only else r.names()) for r in roles if not r.role.startswith("x_")]
 
     @F.pandas_udf(Ty.ArrayType(_SCORE))
     def scored(labels: pd.Series) -> pd.Series:
@@ -160,6 +162,22 @@ def header_fields(headers: pd.Series) -> pd.Series:
     return headers.map(lambda row: [field(h) for h in (row if row is not None else ())])
 
 
+@F.pandas_udf(Ty.ArrayType(_SCORE))
+def all_field_scores(headers: pd.Series) -> pd.Series:
+    """Best score of every item field over all headers of a table."""
+    rank = _cached_ranker(_FIELD_NAMES, 0.0)
+
+    def one(row):
+        best: dict[str, dict] = {}
+        for header in row if row is not None else ():
+            for hit in rank(header or ""):
+                if hit["name"] not in best or hit["score"] > best[hit["name"]]["score"]:
+                    best[hit["name"]] = hit
+        return list(best.values())
+
+    return headers.map(one)
+
+
 @lru_cache(maxsize=64)
 def _cached_ranker(names: tuple, floor: float):
     return _ranker(names, floor)
