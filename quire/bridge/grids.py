@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.bridge.plans import numbered_lines
@@ -69,9 +70,10 @@ def forms(spark: SparkSession, folder: str) -> DataFrame:
             for r, c, text, k in _FORM
         ]
     )
+    # spec building reads a grid many times; a stored grid is one scan, this derived one is kept as such
     return ordered_parts(spark, folder).where("o_orderkey % 5 = 0").select(
         F.col("o_orderkey").alias("book"), F.lit("Form").alias("sheet"), F.explode(cells).alias("x")
-    ).select("book", "sheet", "x.*")
+    ).select("book", "sheet", "x.*").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 GRID_CTES = {

@@ -159,7 +159,7 @@ def _(spark, folder):
     "jn19_label_value_pairs",
     with_views(
         "forms",
-        "select book, unnest([2, 3, 4, 5, 7]) as r, unnest(['Customer', 'Meeting Date', 'Owner', 'Notes', 'Total']) as label, unnest([2, 3, 4, 6, 7]) as t_r, unnest([2, 4, 2, 1, 2]) as t_c, "
+        "select book, unnest([2, 3, 4, 5, 7]) as r, unnest(['Customer', 'Meeting Date', 'Owner', 'Notes', 'Total']) as label, unnest([2, 3, 4, 6, 7]) as t_r, unnest([2, 2, 2, 1, 2]) as t_c, "
         "unnest(['right', 'right', 'right', 'below', 'token']) as how from forms",
     ),
 )
