@@ -202,22 +202,14 @@ def _(spark, folder):
     return G.is_cell_snapshot(rows.unionByName(heads))
 
 
-def built(spark, folder):
-    return S.build_spec(B.forms(spark, folder))
-
-
-@check("cq06_build_spec")
-def _(spark, folder):
-    spec = built(spark, folder)
-    return spec["fields"].select("template_id", "node_id", "role", "label", "confidence", "section", "value_format", "decided_by").unionByName(
-        spec["tables"].select("template_id", "node_id", "role", F.array_join("headers", ",").alias("label"), "confidence", "section",
-                              F.lit("table").alias("value_format"), "decided_by")
-    )
-
-
 @check("wn10_assign_columns")
 def _(spark, folder):
-    return built(spark, folder)["columns"].select("template_id", "idx", "header", "field", "confidence")
+    heads = F.array(F.lit("Sl No"), F.lit("Closure Date"), F.col("p_type"), F.lit("Status"), F.lit("Assigned to"))
+    rows = table(spark, folder, "part").select(
+        F.lit(0).alias("template_id"), F.col("p_partkey").alias("node_id"), F.posexplode(heads).alias("idx", "header"),
+        F.array().cast("array<string>").alias("allowed"), F.lit(True).alias("editable"),
+    )
+    return S.assign_columns(rows).select("node_id", "idx", "header", "field", "confidence")
 
 
 def scored_labels(spark, folder):
@@ -297,12 +289,24 @@ def _(spark, folder):
     return both.withColumn("fingerprint", F.element_at(F.split("fingerprint", r"\|"), 1))
 
 
-@check("cq13_templatize")
+@check(
+    "cq13_templatize",
+    with_views(
+        "plan",
+        "select template_id, node_id, case when rn % 2 = 0 then concat('{{', role, '}}') else 'not editable' end as token from (select distinct template_id, node_id, rn, role from plan where kind = 'field') "
+        "union all select template_id, node_id, concat('{{', case when rn % 2 = 0 then 'task' else 'owner' end, '}}') from (select distinct template_id, node_id, rn from plan where kind = 'table')",
+    ),
+)
 def _(spark, folder):
-    spec = built(spark, folder)
-    slots, skipped = S.templatize(spec["fields"], spec["tables"], spec["columns"], spec["unresolved"])
-    return slots.select("template_id", "node_id", "role", "token").unionByName(
-        skipped.select("template_id", "node_id", F.lit("").alias("role"), F.col("reason").alias("token"))
+    plan = BP.plan(spark, folder).select("template_id", "node_id", "role", "kind").distinct()
+    even = F.col("node_id").cast("bigint") % 2 == 0
+    fields = plan.where("kind = 'field'").withColumn("editable", even)
+    tables = plan.where("kind = 'table'")
+    columns = tables.select("template_id", "node_id", F.when(even, "task").otherwise("owner").alias("field"), F.lit(True).alias("editable"))
+    none = plan.where("false").select("template_id", "node_id", F.lit("").alias("reason"))
+    slots, skipped = S.templatize(fields, tables, columns, none)
+    return slots.select("template_id", "node_id", "token").unionByName(
+        skipped.select("template_id", "node_id", F.col("reason").alias("token"))
     )
 
 
