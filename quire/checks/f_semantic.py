@@ -114,7 +114,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    best = X.best_collection(B.collections(spark, folder), rows=1000)
+    best = X.best_collection(B.collections(spark, folder))
     return best.select("doc_id", "role", "ord", F.size("items").cast("bigint").alias("items"))
 
 

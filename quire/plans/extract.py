@@ -266,23 +266,27 @@ def _fold_parts(pdf: pd.DataFrame) -> pd.DataFrame:
 def best_collection(collections: DataFrame, rows: int = PART_ROWS) -> DataFrame:
     """Ordered fold per (document, role): a later collection replaces one with fewer items or less confidence.
 
-    Order matters, so this is no plain maximum. Only sizes and confidences travel. Groups are cut into
-    parts of their order; a group of one part, which nearly all are, is folded by built-in expressions.
-    A larger one has each part reduced to its running maxima, and those are folded.
+    Order matters, so this is no plain maximum. Only sizes and confidences travel. A group of up
+    to ``rows`` candidates, which nearly all are, is folded by built-in expressions. A larger one is cut
+    into parts of its order, each part is reduced to its running maxima, and those are folded.
     """
     light = collections.select(
         "doc_id", "role", F.floor(F.col("ord") / F.lit(rows)).alias("part"), F.col("ord").cast("bigint").alias("ord"),
         F.size("items").cast("bigint").alias("n"), F.col("confidence").alias("conf"),
     )
     parts = light.groupBy("doc_id", "role", "part").agg(F.sort_array(F.collect_list(F.struct("ord", "n", "conf"))).alias("steps"))
-    groups = parts.groupBy("doc_id", "role").agg(F.count(F.lit(1)).alias("n_parts"), F.first("steps").alias("steps"))
+    totals = parts.groupBy("doc_id", "role").agg(F.sum(F.size("steps")).alias("total"))
+    sized = parts.join(totals, ["doc_id", "role"])
+    whole = sized.where(F.col("total") <= rows).groupBy("doc_id", "role").agg(
+        F.sort_array(F.flatten(F.collect_list("steps"))).alias("steps")
+    )
     fold = F.aggregate(
         F.slice("steps", 2, F.size("steps")), F.get("steps", F.lit(0)),
         lambda a, b: F.when((b["n"] > a["n"]) | (b["conf"] > a["conf"]), b).otherwise(a),
     )
-    small = groups.where("n_parts = 1").select("doc_id", "role", fold["ord"].alias("ord"))
+    small = whole.select("doc_id", "role", fold["ord"].alias("ord"))
     large = (
-        parts.join(groups.where("n_parts > 1").select("doc_id", "role"), ["doc_id", "role"], "left_semi")
+        sized.where(F.col("total") > rows)
         .select("doc_id", "role", "part", F.explode("steps").alias("s")).select("doc_id", "role", "part", "s.*")
         .groupBy("doc_id", "role", "part").applyInPandas(_summarise, _STEP)
         .groupBy("doc_id", "role").applyInPandas(_fold_parts, "doc_id bigint, role string, ord bigint")
