@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import simhash
+from quire.llm import quality, simhash, toxicity
 from quire.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,53 @@ def query(name: str, sql: str | None = None):
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.simhash_groups(read(spark, folder, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+_OP8_SQL = r"""
+with docs as (
+  select row_number() over () as rid, doc_id, source as host, coalesce(text, '') as text, md5(coalesce(text, '')) as k,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+  from documents),
+base as (
+  select rid, doc_id, host, k, text, words, len(words)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols
+  from docs),
+split as (select rid, host, k, n_words, unnest(string_split(text, chr(10))) as line from base),
+lines as (
+  select rid, host, k, n_words, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as parts from split where regexp_matches(line, '[^\x20\x09-\x0D]')),
+dups as (select rid, (count(*) - count(distinct line))::bigint as n from lines group by rid),
+windows as (
+  select rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as w from (select rid, words, unnest(range(1, len(words) - 1)) as i from base)),
+twice as (select rid, i from (select rid, i, count(*) over (partition by rid, w) as n from windows) where n > 1),
+repeats as (select rid, count(distinct i + d)::bigint as n from twice, (values (0), (1), (2)) as t(d) group by rid),
+normal as (select rid, host, k, n_words, array_to_string(parts, ' ') as line, len(parts) as w from lines),
+sized as (
+  select distinct host, k, line,
+    length(bin(n_words)) * 16 + ((n_words >> greatest(length(bin(n_words)) - 5, 0)::bigint) & 15) as size from normal),
+hosts as (select host, count(distinct k) as n from base group by host),
+often as (
+  select host, line from (select host, line, count(distinct k) as texts, count(distinct size) as classes from sized group by host, line) s
+  join hosts h using (host) where texts > 20 and classes > 8 and texts > h.n * 0.001),
+lost as (select rid, sum(w)::bigint as n from normal join often using (host, line) group by rid),
+result as (
+  select doc_id, n_words, word_chars, n_symbols, coalesce(d.n, 0)::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words,
+    coalesce(l.n, 0)::bigint as removed_words
+  from base left join dups d using (rid) left join repeats r using (rid) left join lost l using (rid)),
+failed as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from result)
+select *, not base_failed and 5 * (n_words - removed_words) >= n_words as kept from failed
+"""
+
+
+@query("op8_line_frequency", _OP8_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge(read(spark, folder, "documents"))
+    return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
+
+
+@query("op10_restored_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    model = toxicity.train(docs, read(spark, folder, "labels"))
+    scored = toxicity.toxicity(docs, model)
+    return scored.select(
+        F.col("id").alias("doc_id"), (~toxicity.in_training(F.col("id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
