@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,12 +20,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch_of, keyed_text, raw
+from quire.llm.common import batch_of, keyed_text, raw, stored
 
 #: Labelled rows of each class that the table of word beginnings is fitted on.
 TRAIN_ROWS = 6000
 #: A word beginning is kept if so many distinct training texts that are toxic have it.
-MIN_TEXTS = 5
+MIN_TEXTS = 8
+#: Standard deviations that a count is lowered by before its share is taken.
+CAUTION = 1.5
 #: Lengths of the word beginnings, besides the whole word.
 STEMS = (4, 5, 6)
 #: What each sign may stand for, fixed values.
@@ -95,7 +96,8 @@ def decode(word: str, model: np.ndarray) -> str:
     runs: list[list[str]] = []
     for m in re.finditer(r"(.)\1*", word.lower().translate(_FOLD)):
         sign, n = m.group(1), len(m.group())
-        options = [c * k for c in SIGNS.get(sign, sign) if c.isalpha() for k in sorted({1, min(n, 2)})]
+        counts = {n} if sign.isalpha() and n < 3 else {1, min(n, 2)}
+        options = [c * k for c in SIGNS.get(sign, sign) if c.isalpha() for k in sorted(counts)]
         if sign.isalpha() and n > 2:
             options.append(sign * n)
         if options:
@@ -161,7 +163,7 @@ def _near_key(words: list[str]) -> int:
 
 
 def _features(labels: dict[int, int], model: np.ndarray):
-    schema = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("toxic", pa.int64()), ("stems", pa.list_(pa.string()))])
+    schema = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("toxic", pa.int64()), ("words", pa.list_(pa.string()))])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(model)
@@ -171,9 +173,8 @@ def _features(labels: dict[int, int], model: np.ndarray):
                 if key in labels:
                     plain = (text or b"").decode("utf-8", "replace")
                     listed = plain.split()
-                    found = {s for w in set(listed) for f in words.forms(w) for s in stems(f)}
-                    found.update(s for f in words.spaced(plain) for s in stems(f))
-                    rows.append((key, _near_key(listed), labels[key], sorted(found)))
+                    found = {f for w in set(listed) for f in words.forms(w)}.union(words.spaced(plain))
+                    rows.append((key, _near_key(listed), labels[key], sorted(f for f in found if len(f) > 2)))
             if rows:
                 yield batch_of(schema, list(zip(*rows, strict=True)))
 
@@ -187,6 +188,18 @@ class ToxicModel:
     prior: float
 
 
+def _shares(held: DataFrame, sizes: tuple[int, int], prior: float) -> dict[str, float]:
+    """Cautious toxic shares of the stems ``held`` by toxic and other texts, of those well above the prior."""
+    counted = held.groupBy("stem").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    odds, shares = prior / (1 - prior), {}
+    for r in counted.where((F.col("bad") >= MIN_TEXTS) & (F.col("bad") * 4 >= F.col("good"))).collect():
+        sure = r.bad - CAUTION * math.sqrt(r.bad)
+        ratio = odds * (sure / sizes[0]) / ((r.good + min(2.0, sizes[1] / 500)) / sizes[1])
+        if ratio / (1 + ratio) > 2 * prior:
+            shares[r.stem] = ratio / (1 + ratio)
+    return shares
+
+
 def in_training(id_col: Column) -> Column:
     """Whether a row's label may be learnt from: crc32 of the id as text, mod 5, is not 0."""
     return F.crc32(id_col.cast("string")) % 5 != 0
@@ -207,16 +220,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for label in (0, 1):
         chosen = known.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(rows)
         picked |= {r.id: label for r in chosen.collect()}
-    found = keyed_text(docs, id_col, text_col).where(in_training(F.col("id"))).mapInArrow(_features(picked, letters), "id long, near long, toxic long, stems array<string>")
-    found = found.groupBy("near").agg(F.max("toxic").alias("toxic"), F.min_by("stems", "id").alias("stems"))
-    counted = found.select("toxic", F.explode(F.concat("stems", F.array(F.lit("")))).alias("stem")).groupBy("stem").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    counted = counted.where((F.col("bad") >= MIN_TEXTS) & (F.col("bad") * 4 >= F.col("good")) | (F.col("stem") == "")).collect()
-    size = next(((max(1, r.bad), max(1, r.good)) for r in counted if r.stem == ""), (1, 1))
-    odds, shares = prior / (1 - prior), {}
-    for r in counted:
-        ratio = odds * (r.bad / size[0]) / ((r.good + min(2.0, size[1] / 500)) / size[1])
-        if r.stem and ratio / (1 + ratio) > 2 * prior:
-            shares[r.stem] = ratio / (1 + ratio)
+    found = keyed_text(docs, id_col, text_col).where(in_training(F.col("id"))).mapInArrow(_features(picked, letters), "id long, near long, toxic long, words array<string>")
+    found = stored(found.groupBy("near").agg(F.max("toxic").alias("toxic"), F.min_by("words", "id").alias("words")), "training")
+    size = found.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
+    sizes = max(1, size[0]), max(1, size[1] - size[0])
+    worded = found.select("near", "toxic", F.explode("words").alias("word"))
+    whole = _shares(worded.withColumn("stem", F.concat("word", F.lit("$"))), sizes, prior)
+    # beginnings are judged by the words that are not telling as a whole: "lose" by what begins so, "loser" left out
+    telling = [k[:-1] for k, v in whole.items() if v >= 0.6]
+    rest = worded.where(~F.col("word").isin(telling)) if telling else worded
+    begun = [F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEMS]
+    begun = rest.select("near", "toxic", F.explode(F.array_compact(F.array(*begun))).alias("stem")).distinct()
+    shares = _shares(begun, sizes, prior) | whole
     return ToxicModel(letters, shares, prior)
 
 
