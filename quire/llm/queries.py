@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import quality, simhash, toxicity
+from quire.llm import bpe, mixing, quality, simhash, toxicity
 from quire.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +79,17 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.toxicity(docs, model)
     return scored.select(
         F.col("id").alias("doc_id"), (~toxicity.in_training(F.col("id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op3_splitting_tree_mix")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    plan = mixing.mix_plan(read(spark, folder, "documents"))
+    taken = F.col("size") * F.size("copies")
+    rows = plan.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+@query("op4_tree_bpe")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    made = bpe.encode_digests(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return made.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")

@@ -33,7 +33,7 @@ CHUNK = 8192
 BLOCK = 1 << 18
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-_PRINTS = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+_PRINTS = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.int64())])
 _CHUNKS = pa.schema([("top", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("leaves", pa.binary())])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -64,12 +64,14 @@ def _signed(value: int) -> int:
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield batch_of(_PRINTS, [batch.column(0), [_signed(fingerprint(t)) for t in raw(batch, "text")]])
+        texts = raw(batch, "text")
+        keys = [_signed(xxhash.xxh64_intdigest(t or b"", SEED)) for t in texts]
+        yield batch_of(_PRINTS, [batch.column(0), keys, [_signed(fingerprint(t)) for t in texts]])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and ``fp`` (the fingerprint as a signed long), one row per row."""
-    return keyed_text(docs, id_col, text_col).mapInArrow(_prints, "id long, fp long")
+    """``id``, ``text_key`` (the text's own hash) and ``fp`` (the fingerprint as a signed long), one row per row."""
+    return keyed_text(docs, id_col, text_col).mapInArrow(_prints, "id long, text_key long, fp long")
 
 
 def _chunks(top_bits: int):
@@ -214,7 +216,8 @@ def fingerprint_links(leaves: DataFrame, n: int, budget: int = BUDGET) -> DataFr
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
-    """``id``, ``fp`` (signed long) and ``component`` (smallest id of the group), one row per row of ``docs``.
+    """``id``, ``text_key``, ``fp`` (signed long), ``root`` (the group's own fingerprint) and ``component`` (smallest id of
+    the group), one row per row of ``docs``.
 
     A null or empty text has fingerprint zero and is linked like any other; texts of one or two words hash the whole
     sequence; repeated rows are in one group; rows without an id are grouped but never name a group, and a group of
@@ -226,5 +229,27 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = components(links)
     rooted = leaves.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    named = rooted.select("fp", "root").join(named, "root").select("fp", "component")
-    return marked.join(named, "fp").select("id", "fp", "component")
+    named = rooted.select("fp", "root").join(named, "root").select("fp", "root", "component")
+    return marked.join(named, "fp").select("id", "text_key", "fp", "root", "component")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their group: one row of each.
+
+    It is a row with the group's smallest id, rows without an id last; among such rows (repeated ids) the one whose text
+    and then whose columns have the smallest hash.
+    """
+    groups = simhash_groups(docs, id_col, text_col, budget).groupBy("root", "id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "n")).alias("f"))
+    first = stored(first.select(F.col("f.id").alias("__id"), F.col("f.text_key").alias("__key"), F.col("f.n").alias("__n")), "first")
+    key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+
+    def met(wanted: DataFrame) -> DataFrame:
+        return docs.join(wanted, docs[id_col].cast("long").eqNullSafe(wanted["__id"]) & (key == wanted["__key"]), "left_semi")
+
+    single, repeated = met(first.where("__n = 1")), first.where("__n > 1")
+    if repeated.isEmpty():
+        return single
+    one = met(repeated).groupBy(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__key"))
+    one = one.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row"))
+    return single.union(one.select(*[F.col("__row").getField(c) for c in docs.columns]))

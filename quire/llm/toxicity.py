@@ -235,38 +235,50 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return ToxicModel(letters, shares, prior)
 
 
-def _scored(model: ToxicModel):
+class Scorer:
+    """Scores texts by their two most telling words, as written, restored or spelled out; remembers words."""
+
+    def __init__(self, model: ToxicModel, room: int = 400_000) -> None:
+        self.model, self.room, self.words, self.known = model, room, Words(model.letters), {}
+
+    def _form(self, form: str) -> float:
+        return max((self.model.shares.get(s, 0.0) for s in stems(form)), default=0.0)
+
+    def __call__(self, text: bytes | None) -> float:
+        plain, found = (text or b"").decode("utf-8", "replace"), []
+        for word in set(plain.split()):
+            value = self.known.get(word)
+            if value is None:
+                value = max(map(self._form, self.words.forms(word)))
+                if len(self.known) < self.room:
+                    self.known[word] = value
+            if value:
+                found.append(value)
+        found += [v for f in self.words.spaced(plain) if (v := self._form(f))]
+        score = self.model.prior / 2
+        for value in sorted(found, reverse=True)[:2]:
+            score = 1 - (1 - score) * (1 - value)
+        return score
+
+
+def toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: ``id`` and ``score`` in [0, 1]. A null or empty text gets half the share of toxic labels."""
     schema = pa.schema([("id", pa.int64()), ("score", pa.float64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shares, known, room = Words(model.letters), model.shares, {}, 400_000
+        scorer = Scorer(model)
+        for batch in batches:
+            yield batch_of(schema, [batch.column(0), [scorer(t) for t in raw(batch, "text")]])
 
-        def of(form: str) -> float:
-            return max((shares.get(s, 0.0) for s in stems(form)), default=0.0)
+    return keyed_text(docs, id_col, text_col).mapInArrow(score, "id long, score double")
 
-        for batch in batches:
-            out = []
-            for text in raw(batch, "text"):
-                plain = (text or b"").decode("utf-8", "replace")
-                found = []
-                for w in set(plain.split()):
-                    value = known.get(w)
-                    if value is None:
-                        value = max(map(of, words.forms(w)))
-                        if len(known) < room:
-                            known[w] = value
-                    if value:
-                        found.append(value)
-                found += [v for f in words.spaced(plain) if (v := of(f))]
-                clean = model.prior / 2
-                for v in sorted(found, reverse=True)[:2]:
-                    clean = 1 - (1 - clean) * (1 - v) if v > clean else clean
-                out.append(clean)
-            yield batch_of(schema, [batch.column(0), out])
-
-    return score
 
+def keep_harmless(docs: DataFrame, model: ToxicModel, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below the limit."""
 
-def toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: ``id`` and ``score`` in [0, 1]. A null or empty text gets half the share of toxic labels."""
-    return keyed_text(docs, id_col, text_col).mapInArrow(_scored(model), "id long, score double")
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer(t) < limit for t in raw(batch, text_col)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
