@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, mixing, quality, simhash, toxicity
+from quire.llm import bpe, mixing, planes, quality, simhash, toxicity
 from quire.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     made = bpe.encode_digests(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return made.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op5_bit_planes")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    made = planes.planes_round_trip(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return made.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
