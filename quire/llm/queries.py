@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, mixing, planes, quality, simhash, toxicity
+from quire.llm import bpe, html_text, mixing, planes, quality, simhash, toxicity
 from quire.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     made = planes.planes_round_trip(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return made.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query("op9_minimum_cut_text")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    made = html_text.extract(read(spark, folder, "pages"))
+    return made.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
