@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, html_text, mixing, planes, quality, simhash, toxicity
+from quire.llm import bpe, html_text, mixing, planes, quality, simhash, toxicity, url_filter
 from quire.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,52 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     made = html_text.extract(read(spark, folder, "pages"))
     return made.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+_OP6_SQL = r"""
+with rest as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as r from pages),
+hosts as (select page_id, r, regexp_extract(coalesce(r, ''), '^[^/?#]*') as h from rest),
+urls as (
+  select page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(substr(coalesce(r, ''), length(h) + 1), '^[^?#]*') as path
+  from hosts),
+fits as (
+  select *, case
+    when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/'
+    when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then 'example.com/de/'
+    when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
+    when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end as rule
+  from urls),
+shaped as (
+  select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 1 when rule is not null then 0 end as blocked,
+    array_to_string(list_transform(list_filter(string_split(path, '/'), lambda p: p <> ''), lambda p: case
+      when regexp_matches(p, '^[0-9a-fA-F]{8,}$|^[0-9a-fA-F-]{36}$') then '{h}' else regexp_replace(p, '[0-9]+', '{n}', 'g') end), '/') as shape
+  from fits),
+paths as (select host, shape, string_split(shape, '/') as parts, count(blocked) as n, count(case when blocked = 1 then 1 end) as b from shaped group by host, shape),
+steps as (select host, shape, parts, unnest(range(1, len(parts) + 1)) as i from paths),
+named as (select host, shape, i, parts[i] as part, array_to_string(parts[1:i - 1], '/') as before from steps),
+wide as (
+  select host, i, before from named where not contains(part, '{') group by host, i, before having count(distinct part) > 32),
+general as (
+  select n.host, n.shape, i, case when w.host is not null and not contains(part, '{') then '*' else part end as part
+  from named n left join wide w using (host, i, before)),
+whole as (select host, shape, list(part order by i) as t from general group by host, shape),
+leaves as (select host, shape, array_to_string(t[1:len(t) - 1], '/') as node, t[len(t)] as branch from whole),
+branches as (select host, node, branch, sum(n) as n, sum(b) as b from paths join leaves using (host, shape) group by host, node, branch),
+nodes as (select host, node, case when sum(n) > 0 then sum(b)::double / sum(n) end as p from branches group by host, node),
+merged as (
+  select host, node, branch, n, b,
+    case when n > 0 and abs(b::double / n - p) <= 1.96 * sqrt(p * (1 - p) / n) then '*' else branch end as merged
+  from branches join nodes using (host, node)),
+overall as (select case when sum(n) > 0 then sum(b)::double / sum(n) else 0.5 end as share from paths),
+sums as (select host, node, merged, sum(n) as n, sum(b) as b from merged group by host, node, merged),
+groups as (select host, node, merged, n > 0 and (b + 5.0 * share) / (n + 5.0) > 0.8 as rejected from sums, overall)
+select page_id, s.host, path, rule, case when node = '' then '' else node || '/' end || g.merged as template,
+  case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' when rejected then 'block' else 'allow' end as verdict
+from shaped s join leaves l using (host, shape) join merged m using (host, node, branch) join groups g using (host, node, merged)
+"""
+
+
+@query("op6_path_template_tree", _OP6_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge_urls(read(spark, folder, "pages")).withColumnRenamed("id", "page_id")
