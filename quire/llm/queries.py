@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, html_text, mixing, planes, quality, simhash, toxicity, url_filter
+from quire.llm import bpe, html_text, licenses, mixing, planes, quality, simhash, toxicity, url_filter
 from quire.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,18 @@ from shaped s join leaves l using (host, shape) join merged m using (host, node,
 @query("op6_path_template_tree", _OP6_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, folder, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query("op7_fuzzy_notices")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan_licenses(read(spark, folder, "documents"))
+    base, labels = F.col("phrases.label"), F.concat(F.col("phrases.label"), F.col("notices.label"))
+
+    def listed(names):
+        return F.array_join(F.array_sort(F.array_distinct(names)), ",")
+
+    exact = F.when(F.size("phrases") > 0, 1.0).otherwise(0.0)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", F.size("phrases").cast("long").alias("n_base"), F.array_min("phrases.first").alias("first_word"),
+        F.array_max("phrases.first").alias("last_word"), listed(base).alias("base_labels"), listed(labels).alias("labels"),
+        F.greatest(exact, F.coalesce(F.array_max("notices.score"), F.lit(0.0))).alias("score"))
