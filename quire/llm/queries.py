@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, html_text, licenses, mixing, planes, quality, simhash, toxicity, url_filter
+from quire.llm import bpe, html_text, licenses, mixing, planes, quality, simhash, toxicity, url_filter, vector_graph
 from quire.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,24 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_words", F.size("phrases").cast("long").alias("n_base"), F.array_min("phrases.first").alias("first_word"),
         F.array_max("phrases.first").alias("last_word"), listed(base).alias("base_labels"), listed(labels).alias("labels"),
         F.greatest(exact, F.coalesce(F.array_max("notices.score"), F.lit(0.0))).alias("score"))
+
+
+_OP1_SQL = """
+with recursive good as (
+  select vec_id, embedding::double[] as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from good a join good b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.9),
+reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on r.b = l.a),
+lowest as (select a, min(b) as low from reach group by a),
+counts as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, low as component_id, vec_id = low as kept
+from embeddings join lowest l on l.a = vec_id left join counts c on c.a = vec_id
+"""
+
+
+@query("op1_vector_graph", _OP1_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    groups = vector_graph.vector_groups(read(spark, folder, "embeddings"))
+    return groups.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
