@@ -24,12 +24,12 @@ def _spelled(rows: DataFrame, extra: str) -> DataFrame:
 
 
 def cells_a(spark: SparkSession, folder: str) -> DataFrame:
-    rows = numbered_lines(spark, folder).where("l_orderkey % 5 = 0").withColumn("qty", F.col("l_quantity").cast("int").cast("string"))
+    rows = numbered_lines(spark, folder).withColumn("qty", F.col("l_quantity").cast("int").cast("string"))
     return _spelled(rows, "cast(null as string)")
 
 
 def cells_b(spark: SparkSession, folder: str) -> DataFrame:
-    rows = numbered_lines(spark, folder).where("l_orderkey % 5 = 0 and l_partkey % 11 <> 0")
+    rows = numbered_lines(spark, folder).where("l_partkey % 11 <> 0")
     qty = F.col("l_quantity").cast("int").cast("string")
     rows = rows.withColumn("qty", F.when(F.col("l_partkey") % 7 == 0, F.concat(qty, F.lit("*"))).otherwise(qty))
     return _spelled(rows, "case when l_partkey % 5 = 0 then 'new' end")
@@ -57,7 +57,7 @@ def _look(marks: str, mark: str):
 
 
 def forms(spark: SparkSession, folder: str) -> DataFrame:
-    """One form per fifth order: banner, labels with their slots, a token, a table of four columns."""
+    """One form per order: banner, labels with their slots, a token, a table of four columns."""
     cells = F.array(
         *[
             F.struct(
@@ -71,16 +71,16 @@ def forms(spark: SparkSession, folder: str) -> DataFrame:
         ]
     )
     # spec building reads a grid many times; a stored grid is one scan, this derived one is kept as such
-    return ordered_parts(spark, folder).where("o_orderkey % 5 = 0").select(
+    return ordered_parts(spark, folder).select(
         F.col("o_orderkey").alias("book"), F.lit("Form").alias("sheet"), F.explode(cells).alias("x")
     ).select("book", "sheet", "x.*").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 GRID_CTES = {
     "ca": "select l_orderkey as book, rn + 1 as r, unnest([1, 2, 3]) as c, unnest([cast(l_partkey as varchar), cast(cast(l_quantity as int) as varchar), l_returnflag]) as value "
-    "from nlines where l_orderkey % 5 = 0",
+    "from nlines",
     "cb": "select * from (select l_orderkey as book, rn + 1 as r, unnest([1, 2, 3, 4]) as c, unnest([cast(l_partkey as varchar), concat(cast(l_quantity as int), case when l_partkey % 7 = 0 then '*' else '' end), l_returnflag, "
-    "case when l_partkey % 5 = 0 then 'new' end]) as value from nlines where l_orderkey % 5 = 0 and l_partkey % 11 <> 0) where value is not null",
-    "forms": "select o_orderkey as book, o_custkey, p_name, p_type from ordered where o_orderkey % 5 = 0",
+    "case when l_partkey % 5 = 0 then 'new' end]) as value from nlines where l_partkey % 11 <> 0) where value is not null",
+    "forms": "select o_orderkey as book, o_custkey, p_name, p_type from ordered",
 }
 GRID_NEEDS = {"ca": ("nlines",), "cb": ("nlines",), "forms": ("ordered",)}

@@ -123,11 +123,10 @@ TEMPLATE = (
 # --------------------------------------------------------------------------------------------------
 
 
-def _head(spark: SparkSession, folder: str, every: int) -> DataFrame:
+def _head(spark: SparkSession, folder: str) -> DataFrame:
     customer = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
     return (
         ordered_parts(spark, folder)
-        .where(f"o_orderkey % {every} = 0")
         .withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
         .join(customer, F.col("c_custkey") == F.col("o_custkey"))
     )
@@ -147,24 +146,24 @@ def line_parts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def general_notes(spark: SparkSession, folder: str, every: int = 5) -> DataFrame:
-    """doc_id, text: every fifth order with its lines as bullets and pipe rows."""
+def general_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, text: every order with its lines as bullets and pipe rows."""
     order = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    rows = line_parts(spark, folder).where(f"l_orderkey % {every} = 0")
+    rows = line_parts(spark, folder)
     packed = F.sort_array(F.collect_list(F.struct(*order, F.expr(BULLET).alias("b"), F.expr(PIPE).alias("p"))))
     lines = rows.groupBy("l_orderkey").agg(packed.alias("rows")).select(
         "l_orderkey", F.size("rows").alias("n"),
         F.array_join(F.transform("rows", lambda r: r["b"]), "\n").alias("bullets"),
         F.array_join(F.transform("rows", lambda r: r["p"]), "\n").alias("pipes"),
     )
-    return _head(spark, folder, every).join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return _head(spark, folder).join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_orderkey").alias("doc_id"), F.expr(GENERAL).alias("text"), "o_orderdate"
     )
 
 
-def profile_notes(spark: SparkSession, folder: str, expression: str, every: int = 5) -> DataFrame:
+def profile_notes(spark: SparkSession, folder: str, expression: str) -> DataFrame:
     """doc_id, text of one note shape; one order, one note."""
-    return _head(spark, folder, every).select(F.col("o_orderkey").alias("doc_id"), F.expr(expression).alias("text"))
+    return _head(spark, folder).select(F.col("o_orderkey").alias("doc_id"), F.expr(expression).alias("text"))
 
 
 def template_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -179,10 +178,10 @@ NOTE_CTES = {
     "notes": f"select o_orderkey as doc_id, {GENERAL} as text, o_orderdate from head join (select l_orderkey, count(*) as n, "
     f"string_agg({BULLET}, chr(10) order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) as bullets, "
     f"string_agg({PIPE}, chr(10) order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) as pipes "
-    "from lparts where l_orderkey % 5 = 0 group by 1) on l_orderkey = o_orderkey",
+    "from lparts group by 1) on l_orderkey = o_orderkey",
     "tpl": f"select p_partkey as template_id, {TEMPLATE} as text from part",
 }
 
 
-def notes_sql(expression: str, every: int = 5) -> str:
-    return f"select o_orderkey as doc_id, {expression} as text from head where o_orderkey % {every} = 0"
+def notes_sql(expression: str) -> str:
+    return f"select o_orderkey as doc_id, {expression} as text from head"

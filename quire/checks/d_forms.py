@@ -20,8 +20,8 @@ def joined(rows, columns, lists=()):
     return F.array_join(F.transform(rows, lambda r: F.concat_ws(" ~ ", *cells(r))), "\n")
 
 
-def head_sql(query: str, every: int = 5) -> str:
-    return with_views("head", query, h=f"select *, o_orderkey as doc_id, o_orderkey % 4 as v from head where o_orderkey % {every} = 0")
+def head_sql(query: str) -> str:
+    return with_views("head", query, h="select *, o_orderkey as doc_id, o_orderkey % 4 as v from head")
 
 
 _CAP = "concat(upper(p_name[1]), p_name[2:])"

@@ -162,18 +162,17 @@ _SLOTS_SQL = "select * from (values " + ", ".join(
     with_views(
         "",
         "select template_id, id, label, concat(label, '?') as question, required, type as field_type from (select o_orderkey as template_id, "
-        "case o_orderkey % 5 when 0 then 'mom' when 1 then 'bfl' when 2 then 'poc_list' when 3 then 'brd' else 'sample_ppt' end as profile from orders where o_orderstatus = 'P') join slots using (profile)",
+        "case o_orderkey % 5 when 0 then 'mom' when 1 then 'bfl' when 2 then 'poc_list' when 3 then 'brd' else 'sample_ppt' end as profile from orders) join slots using (profile)",
         slots=_SLOTS_SQL,
     ),
 )
 def _(spark, folder):
-    rows = table(spark, folder, "orders").where("o_orderstatus = 'P'").select(
+    rows = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("template_id"),
         F.element_at(F.array(*[F.lit(p.id) for p in P.PROFILES]), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("profile"),
     )
-    # the slot table is fixed configuration: 53 rows
     fields = A.project_fields(P.slot_table(spark))
-    return rows.join(F.broadcast(fields), "profile").select("template_id", "id", "label", "question", "required", "field_type")
+    return rows.join(fields, "profile").select("template_id", "id", "label", "question", "required", "field_type")
 
 
 @check(
