@@ -151,4 +151,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = plan.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("text_key").alias("__key"), F.explode("copies").alias("__copy"))
     key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
     same = docs[id_col].cast("long").eqNullSafe(plan["__id"]) & docs[source_col].cast("string").eqNullSafe(plan["__source"]) & (key == plan["__key"])
-    return docs.join(plan, same).repartitionByRange("__copy.shard", "__copy.at").sortWithinPartitions("__copy.shard", "__copy.at").select(*[docs[c] for c in docs.columns])
+    order = [plan["__copy"]["shard"], plan["__copy"]["at"]]
+    return docs.join(plan, same).repartitionByRange(*order).sortWithinPartitions(*order).select(*[docs[c] for c in docs.columns])

@@ -40,6 +40,8 @@ DEGREE = 24
 ALPHA = 1.2
 MEDOIDS = 16
 BEAM = 16
+#: Nodes of a beam that one step goes on from.
+AT_ONCE = 4
 #: Nodes of the audit, and the recall below which the graph is built again.
 AUDIT = 512
 RECALL = 0.95
@@ -96,7 +98,11 @@ def _assigned(centres: np.ndarray, overlap: int):
 
 
 def robust_prune(vectors: np.ndarray, nearest: int = NEAREST, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
-    """Neighbours of each vector: nearest first, without those that an earlier neighbour is closer to; and edges back."""
+    """Neighbours of each vector: nearest first, without those that an earlier neighbour is closer to; and edges back.
+
+    A node that many name keeps the edges back to its nearest ones up to the degree. Every node is also named by the two
+    neighbours it keeps first, whatever their number of edges: else no search would come to the rim of a dense cluster.
+    """
     n = len(vectors)
     if n < 2:
         return [np.empty(0, np.int64)] * n
@@ -124,7 +130,7 @@ def robust_prune(vectors: np.ndarray, nearest: int = NEAREST, degree: int = DEGR
     order = np.lexsort((-alike[b, a], b))
     back, rank = b[order], np.arange(len(b))
     rank = rank - np.maximum.accumulate(np.where(np.concatenate(([True], back[1:] != back[:-1])), rank, 0))
-    x, y = np.concatenate((a, back[rank < degree])), np.concatenate((b, a[order][rank < degree]))
+    x, y = np.concatenate((a, back[rank < degree], *targets[:2])), np.concatenate((b, a[order][rank < degree], *sources[:2]))
     pairs = np.unique(x * n + y)
     return np.split(pairs % n, np.searchsorted(pairs // n, np.arange(1, n)))
 
@@ -145,12 +151,11 @@ def _medoids(vectors: np.ndarray, m: int = MEDOIDS) -> np.ndarray:
     return np.array(chosen)
 
 
-def range_search(graph: np.ndarray, near: np.ndarray, queries: np.ndarray, own: np.ndarray, cosine: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) within the range that the search meets.
-
-    ``near`` holds each node's neighbours, filled up with -1; ``own`` each query's node, or -1.
-    """
+def range_search(graph: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, own: np.ndarray, cosine: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, node) within the range that the search meets; ``lists`` has each node's neighbours, ``own`` each query's node, or -1."""
     n, m, limit = len(graph), len(queries), np.float32(cosine - SLACK)
+    degree, near = np.array([len(x) for x in lists]), np.concatenate([*lists, np.empty(0, np.int64)])
+    first = np.cumsum(degree) - degree
     starts = _medoids(graph)
     score = np.full((m, n), -2, np.float32)  # of the nodes met so far
 
@@ -160,9 +165,9 @@ def range_search(graph: np.ndarray, near: np.ndarray, queries: np.ndarray, own:
             score[a, b] = np.einsum("pd,pd->p", queries[a], graph[b])
 
     def fresh(q: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        q, around = np.repeat(q, near.shape[1]), near[node].reshape(-1)
-        new = around >= 0
-        q, around = q[new], around[new]
+        size = degree[node]
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        q, around = np.repeat(q, size), near[np.repeat(first[node], size) + within]
         new = score[q, around] < -1
         flat = np.unique(q[new] * n + around[new])
         return flat // n, flat % n
@@ -176,11 +181,11 @@ def range_search(graph: np.ndarray, near: np.ndarray, queries: np.ndarray, own:
         top = np.argpartition(-score, width - 1, axis=1)[:, :width]
         value = np.take_along_axis(score, top, axis=1)
         waiting = np.where(np.take_along_axis(done, top, axis=1) | (value < -1), np.float32(-3), value)
-        pick = np.argmax(waiting, axis=1)
-        q = np.flatnonzero(waiting[np.arange(m), pick] > -2)
+        pick = np.argpartition(-waiting, min(AT_ONCE, width) - 1, axis=1)[:, :AT_ONCE]
+        q, k = np.nonzero(np.take_along_axis(waiting, pick, axis=1) > -2)
         if not len(q):
             break
-        node = top[q, pick[q]]
+        node = top[q, pick[q, k]]
         done[q, node] = True
         meet(*fresh(q, node))
     while True:
@@ -188,8 +193,10 @@ def range_search(graph: np.ndarray, near: np.ndarray, queries: np.ndarray, own:
         if not len(q):
             return np.nonzero(score >= limit)
         done[q, node] = True
-        for at in range(0, len(q), 1 << 15):
-            meet(*fresh(q[at : at + (1 << 15)], node[at : at + (1 << 15)]))
+        # as many at once as have a bounded number of edges together
+        turns = np.flatnonzero(np.diff(np.cumsum(degree[node]) >> 18)) + 1
+        for some, those in zip(np.split(q, turns), np.split(node, turns), strict=True):
+            meet(*fresh(some, those))
 
 
 def _searched(cosine: float, block: int = 128):
@@ -202,9 +209,6 @@ def _searched(cosine: float, block: int = 128):
             return pd.DataFrame({"key": [], "n": [], "root": []})
         units, wanted = _matrix(nodes["unit"]), _matrix(asks["unit"])
         lists = [np.searchsorted(keys, near[np.isin(near, keys)]) for near in nodes["near"]]
-        near = np.full((len(keys), max(1, max(map(len, lists)))), -1)
-        for k, x in enumerate(lists):
-            near[k, : len(x)] = x
         own = np.searchsorted(keys, asked)
         own = np.where((own < len(keys)) & (keys[np.minimum(own, len(keys) - 1)] == asked), own, -1)
         homes, ask_homes = np.array(nodes["centres"].tolist()), np.array(asks["centres"].tolist())
@@ -212,7 +216,7 @@ def _searched(cosine: float, block: int = 128):
         small, small_asks = units.astype(np.float32), wanted.astype(np.float32)
         forest = Forest(len(keys) + len(asked))
         for at in range(0, len(asked), block):
-            q, node = range_search(small, near, small_asks[at : at + block], own[at : at + block], cosine)
+            q, node = range_search(small, lists, small_asks[at : at + block], own[at : at + block], cosine)
             q = q + at
             keep = asked[q] != keys[node]
             q, node = q[keep], node[keep]
