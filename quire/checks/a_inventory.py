@@ -272,7 +272,7 @@ def _(spark, folder):
 
 @check(
     "pf09_identifiers",
-    f"select p_partkey, {Q.snake('t')} as snake, coalesce(nullif(substr({Q.snake('t')}, 1, 48), ''), 'field') as slug, "
+    f"select p_partkey, {Q.snake('t')} as snake, coalesce(nullif({Q.snake('t')}, ''), 'field') as slug, "
     "array_to_string(list_transform(list_filter(string_split(replace(replace(u, '_', ' '), '-', ' '), ' '), lambda w: w <> ''), "
     "lambda w: case when w = lower(w) and w <> upper(w) then concat(upper(w[1]), w[2:]) else w end), ' ') as title, "
     f"{Q.pretty('f')} as pretty "

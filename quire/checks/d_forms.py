@@ -321,7 +321,7 @@ def _mixed(spark, folder):
     names = list(head) + [None]
     rows = None
     for i, name in enumerate(names):
-        part = N.profile_notes(spark, folder, head.get(name, N.SCENARIOS)).where(f"(doc_id / 5) % 6 = {i}").withColumn("profile", F.lit(name).cast("string"))
+        part = N.profile_notes(spark, folder, head.get(name, N.SCENARIOS)).where(f"doc_id % 6 = {i}").withColumn("profile", F.lit(name).cast("string"))
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
@@ -333,7 +333,7 @@ def _mixed(spark, folder):
         "case k when 0 then case when v < 2 then case when v = 1 then 'Attendees (team)' else '' end when v >= 2 then 'Action plan' end "
         "when 1 then case when v = 0 then '' else 'Business process' end when 2 then '' when 3 then '' "
         "when 4 then concat_ws(',', case when v < 2 then 'Team name' end, case when v <> 2 then 'Problem statement ID' end, case when v = 3 then 'Theme' end, case when v <> 0 then 'Team members' end) else '' end as missing "
-        "from (select *, (doc_id // 5) % 6 as k from h)"
+        "from (select *, doc_id % 6 as k from h)"
     ),
 )
 def _(spark, folder):

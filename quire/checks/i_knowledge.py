@@ -60,7 +60,7 @@ def _(spark, folder):
     with_views(
         "",
         "select qid, slide_number, body from (select q.qid, slide_number, body, row_number() over (partition by q.qid order by slide_number) as k from "
-        "(select *, substr(t, 1, 700) as body from (select *, regexp_replace(regexp_replace(content, '^\\s+', ''), '\\s+$', '') as t from grouped) where category <> 'document_control' and length(t) >= 20) g "
+        "(select *, t as body from (select *, regexp_replace(regexp_replace(content, '^\\s+', ''), '\\s+$', '') as t from grouped) where category <> 'document_control' and length(t) >= 20) g "
         "join (select n_nationkey as qid, cast(n_nationkey % 5 + 10 as varchar) as scope from nation) q on g.root = q.scope) where k <= 12",
         chunks=_CHUNKS, grouped=_GROUPED,
     ),
@@ -160,7 +160,7 @@ def _(spark, folder):
     return LN.label_block_pairs(T.line_table(rows, ["doc_id"], "text"))
 
 
-@check("tk09_audit_feed", "select * from (select event_id, user_id as template_id, event_type as action from events order by ts desc, event_id desc limit 200) where template_id = 3")
+@check("tk09_audit_feed", "select event_id, user_id as template_id, event_type as action from events where user_id = 3")
 def _(spark, folder):
     events = table(spark, folder, "events").select("event_id", F.col("user_id").alias("template_id"), F.col("event_type").alias("action"), F.col("ts").alias("created_at"))
     return LN.audit_feed(events, 3).drop("created_at")

@@ -146,9 +146,9 @@ def snake(text: Column) -> Column:
 
 
 def slugify(text: Column) -> Column:
-    """Snake case cut to 48 characters; an empty result becomes ``field``."""
-    cut = F.substring(snake(text), 1, 48)
-    return F.when(cut == "", "field").otherwise(cut)
+    """Snake case of the whole text; an empty result becomes ``field``."""
+    slug = snake(text)
+    return F.when(slug == "", "field").otherwise(slug)
 
 
 def title_from_ident(text: Column) -> Column:
@@ -161,7 +161,7 @@ def title_from_ident(text: Column) -> Column:
             words,
             lambda w: F.when(
                 (w == F.lower(w)) & (w != F.upper(w)),
-                F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000)),
+                F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))),
             ).otherwise(w),
         ),
         " ",

@@ -43,12 +43,12 @@ def _kept(items: Column) -> Column:
 
 
 def map_vocab(value: Column, table: dict[str, str], default: Column | str) -> Column:
-    """Controlled word; an unknown value is cut to 40 characters, an empty one becomes the default."""
+    """Controlled word; an unknown value stays as it is, an empty one becomes the default."""
     raw = T.strip(F.coalesce(value, F.lit("")))
     pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     fallback = default if isinstance(default, Column) else F.lit(default)
     return F.when(raw == "", fallback).otherwise(
-        F.coalesce(pairs[T.squeeze(F.lower(raw))], F.substring(raw, 1, 40))
+        F.coalesce(pairs[T.squeeze(F.lower(raw))], raw)
     )
 
 
@@ -73,7 +73,7 @@ def split_list(blob: Column) -> Column:
 
 
 def _capital(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
 
 
 def agenda_items(text: Column) -> Column:
@@ -221,7 +221,7 @@ def polish_function_row(
     name, desc = T.strip(row["process"]), T.strip(row["description"])
     shown = (
         F.when((name != "") & ~name.rlike(r"^\d"), F.concat(code, F.lit(" "), name))
-        .when((name == "") & (desc != ""), F.concat(code, F.lit(" "), F.substring(desc, 1, 60)))
+        .when((name == "") & (desc != ""), F.concat(code, F.lit(" "), desc))
         .otherwise(name)
     )
 
@@ -288,14 +288,14 @@ def prose_rows(text: Column) -> Column:
             ),
         ).otherwise(
             F.struct(
-                F.substring(T.strip(by_stop[0]), 1, 80).alias("process"),
+                T.strip(by_stop[0]).alias("process"),
                 F.coalesce(T.strip(F.get(by_stop, F.lit(1))), s).alias("rest"),
             )
         )
 
     named = F.filter(
         F.transform(usable, split),
-        lambda r: (r["process"] != "") & ~_starts_with_any(r["process"], PROSE_SKIPS) & (F.length(r["process"]) <= 90),
+        lambda r: (r["process"] != "") & ~_starts_with_any(r["process"], PROSE_SKIPS),
     )
 
     def labelled(rest: Column, names: str) -> Column:
@@ -310,7 +310,7 @@ def prose_rows(text: Column) -> Column:
         given = labelled(rest, "description|desc")
         plain = T.strip(F.regexp_replace(F.regexp_replace(rest, words, ""), r"\s{2,}", " "), " ;,")
         first = T.strip(F.element_at(F.split(plain, ";"), 1))
-        desc = F.when(first != "", F.substring(first, 1, 160)).otherwise(r["process"])
+        desc = F.when(first != "", first).otherwise(r["process"])
         return F.struct(
             r["process"].alias("process"), F.when(given != "", given).otherwise(desc).alias("description"),
             labelled(rest, "input").alias("input"), labelled(rest, "output").alias("output"),
@@ -343,9 +343,7 @@ def flow_steps(text: Column) -> Column:
     by_mark = _kept(F.transform(F.split(raw, " ; "), lambda p: T.strip(p)))
     numbered = _kept(F.transform(T.all_found(raw, r"(?:^|[;\n])\s*\d+[.)]\s*([^\n;]+)"), lambda p: T.strip(p)))
     by_line = _kept(F.transform(T.lines(raw), T.bare_line))
-    sentences = F.slice(
-        F.filter(F.transform(F.split(raw, r"(?<=[.!?])\s+"), lambda p: T.strip(p)), lambda p: F.length(p) > 12), 1, 8
-    )
+    sentences = F.filter(F.transform(F.split(raw, r"(?<=[.!?])\s+"), lambda p: T.strip(p)), lambda p: F.length(p) > 12)
     none = F.array().cast("array<string>")
     return (
         F.when(raw == "", none)
@@ -371,16 +369,15 @@ def item_flow(item: Column, features: Column, overview: Column) -> Column:
         F.lit("Record the outcome and continue the process"),
     )
     epic = item["type"] == "Epic"
-    chosen = (
+    return (
         F.when(T.strip(F.coalesce(item["flow"], F.lit(""))) != "", own)
         .when(F.size(acceptance) >= 2, acceptance)
         .when(F.size(description) >= 2, description)
         .when(epic & (F.size(features) > 0), features)
-        .when(epic & (F.size(about) > 0), F.slice(about, 1, 6))
+        .when(epic & (F.size(about) > 0), about)
         .when(item["type"] == "User Story", story)
         .otherwise(plain)
     )
-    return F.slice(chosen, 1, 8)
 
 
 def polish_items(df: DataFrame, items: str, overview: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from quire.operators.ordered import best_per_group, carry_forward
 
 # --- fixed values: points and limits --------------------------------------------------------------
 CODE_POINTS, DEPTH_POINTS, ANYWHERE_POINTS, TOKEN_POINTS, TOKEN_CAP, FLOOR = 80, 15, 40, 3, 40, 20
-PASSAGES, PASSAGE_CHARS, SHORT_BODY = 12, 700, 20
+PASSAGES, SHORT_BODY = 12, 20
 # --------------------------------------------------------------------------------------------------
 
 
@@ -59,12 +59,13 @@ def kb_passages(chunks: DataFrame, scopes: DataFrame, n: int = PASSAGES) -> Data
     """First ``n`` useful chunks in the scope of each query (qid, scope), by slide: qid, slide_number, title, body."""
     body = T.strip(F.col("content"))
     useful = kb_group_chunks(chunks).where((F.col("category") != "document_control") & (F.length(body) >= SHORT_BODY))
-    inside = useful.withColumn("scope", F.explode(T.code_ancestors(F.col("code")))).join(scopes.select("qid", "scope"), "scope")
+    wanted = scopes.select("scope").distinct()
+    inside = useful.withColumn("scope", F.explode(T.code_ancestors(F.col("code")))).join(wanted, "scope", "left_semi")
     from pyspark.sql import Window as W
 
-    # a filter on row_number <= n keeps only n rows per query and map task before the shuffle
-    ranked = inside.withColumn("k", F.row_number().over(W.partitionBy("qid").orderBy("slide_number")))
-    return ranked.where(F.col("k") <= n).select("qid", "slide_number", "title", F.substring(body, 1, PASSAGE_CHARS).alias("body"))
+    # each scope is ranked once, and a filter on row_number <= n keeps only n rows per scope and map task before the shuffle
+    ranked = inside.withColumn("k", F.row_number().over(W.partitionBy("scope").orderBy("slide_number"))).where(F.col("k") <= n)
+    return scopes.select("qid", "scope").join(ranked, "scope").select("qid", "slide_number", "title", body.alias("body"))
 
 
 def kb_scope(queries: DataFrame, steps: DataFrame) -> DataFrame:

@@ -49,7 +49,8 @@ def label_block_pairs(lines: DataFrame) -> DataFrame:
     )
 
 
-def audit_feed(events: DataFrame, template_id=None, n: int = 200) -> DataFrame:
-    """The newest ``n`` events, then those of one template."""
-    newest = events.orderBy(F.desc("created_at"), F.desc("event_id")).limit(n)
-    return newest if template_id is None else newest.where(F.col("template_id") == template_id)
+def audit_feed(events: DataFrame, template_id=None, n: int | None = None) -> DataFrame:
+    """Events of one template or of all, the newest first; all of them or the newest ``n``."""
+    mine = events if template_id is None else events.where(F.col("template_id") == template_id)
+    ordered = mine.orderBy(F.desc("created_at"), F.desc("event_id"))
+    return ordered if n is None else ordered.limit(n)

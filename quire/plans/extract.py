@@ -112,13 +112,13 @@ def _rule_facts(found: DataFrame) -> DataFrame:
         "doc_id", role.alias("role"), F.col("pos").alias("ord"),
         F.array_join(F.transform("items", lambda b: F.concat(F.lit("• "), b)), "\n").alias("value"),
         F.round(F.least(F.lit(0.9), 0.5 + 0.4 * score), 3).alias("confidence"),
-        F.concat(F.col("label"), F.lit(": "), F.substring(first, 1, 300)).alias("evidence"),
+        F.concat(F.col("label"), F.lit(": "), first).alias("evidence"),
         F.lit("rules").alias("extractor"), _none("string").alias("raw"),
     )
     from_prose = found.where((F.col("kind") == "prose") & (score >= 0.72) & single).select(
         "doc_id", role.alias("role"), F.col("pos").alias("ord"), "value",
         F.round(F.least(F.lit(0.92), 0.55 + 0.4 * score), 3).alias("confidence"),
-        F.substring("value", 1, 300).alias("evidence"), F.lit("rules").alias("extractor"), _none("string").alias("raw"),
+        F.col("value").alias("evidence"), F.lit("rules").alias("extractor"), _none("string").alias("raw"),
     )
     return from_pairs.unionByName(from_bullets).unionByName(from_prose)
 
@@ -149,7 +149,7 @@ def _rule_collections(found: DataFrame) -> DataFrame:
     from_bullets = bulleted.select(
         "doc_id", "role", F.col("pos").alias("ord"),
         F.filter(F.transform("items", item), lambda m: F.size(m) > 0).alias("items"), F.lit(0.82).alias("confidence"),
-        F.concat("label", F.lit(": "), F.substring(F.array_join(F.slice("items", 1, 3), "; "), 1, 300)).alias("evidence"),
+        F.concat("label", F.lit(": "), F.array_join(F.slice("items", 1, 3), "; ")).alias("evidence"),
         F.lit("rules").alias("extractor"),
     )
     return pairs.unionByName(from_bullets).unionByName(_tables(found))

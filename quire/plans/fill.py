@@ -184,7 +184,7 @@ def match_collections(
     rows = joined(wanted, F.col("role"), "c1")
     rows = joined(rows, F.when(F.col("c1").isNull() & (base != F.col("role")), base), "c2")
     rows = rows.withColumn("c2", F.when(F.size("c2.items") > 0, F.col("c2")))
-    fields = F.array_distinct(F.flatten(F.transform(F.slice("items", 1, 10), lambda m: F.map_keys(m))))
+    fields = F.array_distinct(F.flatten(F.transform("items", lambda m: F.map_keys(m))))
     arrays = role_arrays(collections.withColumn("fields", fields), "fields", size=64).withColumnRenamed("doc_id", "__doc")
     opened = F.col("c1").isNull() & F.col("c2").isNull()
     keyed = rows.withColumn("__doc", F.when(opened, F.col("doc_id"))).join(arrays, "__doc", "left")

@@ -92,7 +92,7 @@ def extract_meeting(
     marked = F.filter(T.lines(raw), lambda s: s.contains(":") & s.rlike(r"(?i)^(purpose|title|subject|meeting)\b"))
     by_line = F.when(F.size(marked) > 0, T.strip(F.regexp_replace(F.get(marked, F.lit(0)), r"^[^:]*:", "")))
     first = T.strip(F.element_at(F.split(T.strip(raw), r"\."), 1))
-    opening = F.when((F.length(T.strip(raw)) > 8) & (F.length(first) > 5), F.substring(first, 1, 120))
+    opening = F.when((F.length(T.strip(raw)) > 8) & (F.length(first) > 5), first)
     return base.select(
         *notes.columns,
         F.coalesce(T.strip(title), by_line, opening).alias("purpose"),
@@ -215,22 +215,22 @@ def sanitize_identity(ctx: DataFrame) -> DataFrame:
     theme = T.strip(F.element_at(T.lines(T.strip(F.col("theme"))), 1), " .")
     moved = (F.length(theme) > 80) | theme.rlike(r"(?i)\bfor\b.+\bso that\b")
     pitch = F.coalesce(F.col("pitch"), F.when(moved, theme))
-    short = F.substring(T.strip(T.squeeze(T.strip(pitch)), " ."), 1, 280)
+    short = T.strip(T.squeeze(T.strip(pitch)), " .")
     return ctx.withColumns(
         {
-            "team_name": F.when((first != "") & ~bad_team, F.substring(first, 1, 80)),
+            "team_name": F.when((first != "") & ~bad_team, first),
             "problem_statement_id": F.when(number.isNotNull(), F.concat(F.lit("PS-"), number)).when(
                 (statement != "") & ~long, F.col("problem_statement_id")
             ),
-            "theme": F.when((theme != "") & ~moved, F.substring(theme, 1, 80)),
+            "theme": F.when((theme != "") & ~moved, theme),
             "team_members": F.when(~T.strip(members).rlike(r"(?i)^(members?|details)$"), members),
             "pitch": F.when(T.strip(pitch) != "", short),
         }
     )
 
 
-def split_misplaced(breaks: Column, built: Column, keep: int = 4) -> tuple[Column, Column]:
-    """Moves a line that hits only the other list's words; no duplicates, first ``keep`` of each."""
+def split_misplaced(breaks: Column, built: Column, keep: int | None = None) -> tuple[Column, Column]:
+    """Moves a line that hits only the other list's words; no duplicates, all of each or the first ``keep``."""
     none = F.array().cast("array<string>")
     breaks, built = F.coalesce(breaks, none), F.coalesce(built, none)
     to_built = lambda s: s.rlike(BUILT_HINT) & ~s.rlike(BREAKS_HINT)
@@ -238,10 +238,8 @@ def split_misplaced(breaks: Column, built: Column, keep: int = 4) -> tuple[Colum
     kept_breaks, kept_built = F.filter(breaks, lambda s: ~to_built(s)), F.filter(built, lambda s: ~to_breaks(s))
     new_breaks = F.filter(F.filter(built, to_breaks), lambda s: ~F.array_contains(kept_breaks, s))
     new_built = F.filter(F.filter(breaks, to_built), lambda s: ~F.array_contains(kept_built, s))
-    return (
-        _some(F.slice(F.concat(kept_breaks, new_breaks), 1, keep)),
-        _some(F.slice(F.concat(kept_built, new_built), 1, keep)),
-    )
+    first = (lambda rows: rows) if keep is None else (lambda rows: F.slice(rows, 1, keep))
+    return _some(first(F.concat(kept_breaks, new_breaks))), _some(first(F.concat(kept_built, new_built)))
 
 
 def _bullets(blob: Column) -> Column:

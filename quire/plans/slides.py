@@ -61,14 +61,14 @@ def members_line(value: Column) -> Column:
 
 
 def section_points(points: Column, limit: int | None) -> Column:
-    """At most ``limit`` points; one long point falls into its sentences."""
+    """All points; in a section with a ``limit``, which is what its page shows well, one long point falls into its sentences."""
     lines = F.filter(F.transform(points, T.bare_line), lambda p: p != "")
     if limit is None:
         return lines
     only = F.get(lines, F.lit(0))
     sentences = F.filter(F.transform(F.split(only, r"(?<=[.!?])\s+"), lambda s: T.strip(s)), lambda s: s != "")
     long = (F.size(lines) == 1) & (F.length(only) > 140) & (F.size(sentences) >= 2)
-    return F.slice(F.when(long, sentences).otherwise(lines), 1, limit)
+    return F.when(long, sentences).otherwise(lines)
 
 
 def slide_request(ctx: DataFrame, key: str = "doc_id") -> DataFrame:

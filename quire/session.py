@@ -26,7 +26,7 @@ def build_session(master: str | None = None, app: str = "quire", **conf: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a private one only where nothing is set (tests)."""
+    """The shared folder of the cluster; a private one only where nothing is set and master and tasks share a machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named:
@@ -35,6 +35,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     current = context.getCheckpointDir()
     if current is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoint-"))
         current = context.getCheckpointDir()
     return current

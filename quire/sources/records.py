@@ -72,8 +72,8 @@ def generated_rows(df: DataFrame, made_at: Column, prefix: str = "documents/gene
         K.mime_of(out).alias("content_type"),
         F.coalesce(F.nullif(F.col("template_id"), F.lit("")), F.col("template_key")).alias("template_id"),
         F.coalesce(F.nullif(F.col("template_name"), F.lit("")), stem).alias("template_name"),
-        F.substring(F.coalesce("version", F.lit("")), 1, 1024).alias("template_version"),
-        F.substring(F.coalesce("owner", F.lit("")), 1, 1024).alias("generated_by"),
+        F.coalesce("version", F.lit("")).alias("template_version"),
+        F.coalesce("owner", F.lit("")).alias("generated_by"),
         F.year(made_at).alias("year"), F.month(made_at).alias("month"), F.dayofmonth(made_at).alias("day"),
     )
 
