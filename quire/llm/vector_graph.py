@@ -211,7 +211,7 @@ def _searched(cosine: float, block: int = 128):
         lists = [np.searchsorted(keys, near[np.isin(near, keys)]) for near in nodes["near"]]
         own = np.searchsorted(keys, asked)
         own = np.where((own < len(keys)) & (keys[np.minimum(own, len(keys) - 1)] == asked), own, -1)
-        homes, ask_homes = np.array(nodes["centres"].tolist()), np.array(asks["centres"].tolist())
+        homes, ask_homes = (np.array(f["centres"].tolist(), np.int64) for f in (nodes, asks))
         copies, links = nodes["copies"].to_numpy(), np.zeros(len(asked), np.int64)
         small, small_asks = units.astype(np.float32), wanted.astype(np.float32)
         forest = Forest(len(keys) + len(asked))
