@@ -115,7 +115,7 @@ def test_quality_removes_shared_lines_and_keeps_copies(spark):
 
 
 def test_quality_rejects_depleted_documents(spark):
-    lines = [f"shared line number {k} with some words in it to count" for k in range(40)]
+    lines = [" ".join(f"w{k}x{j}" for j in range(9)) for k in range(40)]
     rows = [(k, "\n".join(lines[: 8 + k]), "h") for k in range(30)]
     judged = {r.id: r for r in quality.judge(docs_of(spark, rows)).collect()}
     assert judged[0].removed_words == judged[0].n_words and not judged[0].kept and not judged[0].base_failed
