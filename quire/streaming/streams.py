@@ -30,6 +30,12 @@ def latest_object_stream(listings: DataFrame, late: str = "1 day") -> DataFrame:
     return listings.withWatermark("last_modified", late).dropDuplicatesWithinWatermark(["key", "etag"])
 
 
+def latest_objects_stream(listings: DataFrame) -> DataFrame:
+    """The latest listing of each key (key, last_modified, etag), updated as listings arrive; ties go to the larger etag."""
+    newest = F.max(F.struct("last_modified", "etag")).alias("n")
+    return listings.groupBy("key").agg(newest).select("key", "n.last_modified", "n.etag")
+
+
 def audit_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Audit events per hour and action."""
     return (
