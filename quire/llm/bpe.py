@@ -31,7 +31,7 @@ PIECE = 4096
 #: Characters on each side of a join that the first window takes.
 WINDOW = 64
 #: Distinct words that a worker remembers; further ones are encoded at each sight.
-ROOM = 600_000
+ROOM = 250_000
 
 
 @functools.cache

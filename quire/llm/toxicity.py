@@ -130,7 +130,7 @@ class Words:
     """Reads the words of texts, as written and restored; remembers a bounded number of them."""
 
     model: np.ndarray
-    room: int = 200_000
+    room: int = 30_000
     seen: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def forms(self, word: str) -> tuple[str, ...]:
@@ -238,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 class Scorer:
     """Scores texts by their two most telling words, as written, restored or spelled out; remembers words."""
 
-    def __init__(self, model: ToxicModel, room: int = 400_000) -> None:
+    def __init__(self, model: ToxicModel, room: int = 150_000) -> None:
         self.model, self.room, self.words, self.known = model, room, Words(model.letters), {}
 
     def _form(self, form: str) -> float:
