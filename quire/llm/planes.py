@@ -34,6 +34,8 @@ BLOCK = 1 << 16
 #: Ids of a file; one more document may stand above it.
 FILE_IDS = 1 << 23
 LEVEL = 3
+#: Distinct chunks that a worker remembers.
+ROOM = 600_000
 MAGIC = b"QPLANES1"
 
 #: Runs of spaces and line feeds with the text up to the next: the pre-tokenizer never joins text with a blank behind it.
@@ -77,9 +79,9 @@ _IDS = pa.schema([("id", pa.int64()), ("ids", pa.binary())])
 
 def _encoded(path: str, end: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memos.get(path) or _memos.setdefault(path, Remembered(_chunk_entries(path)))
+        memo = _memos.get(path) or _memos.setdefault(path, Remembered(_chunk_entries(path), ROOM))
         made, last = tokenizer(path), np.array([end], "<u4").tobytes()
-        narrow = made.get_vocab_size() <= 1 << 16 and end < 1 << 16
+        narrow, packer = made.get_vocab_size() <= 1 << 16 and end < 1 << 16, zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -91,14 +93,14 @@ def _encoded(path: str, end: int):
                     if None in found:
                         found = [np.array(made.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()]
                     packed = b"".join(found) + last
-                    out.append(np.frombuffer(packed, "<u4").astype("<u2").tobytes() if narrow else packed)
+                    out.append(packer.compress(np.frombuffer(packed, "<u4").astype("<u2").tobytes() if narrow else packed))
                 yield batch_of(_IDS, [part.column(0), out])
 
     return encode
 
 
 def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> tuple[DataFrame, int]:
-    """``id`` and ``ids`` (packed little-endian, with the end id) per row, and the bytes of one id."""
+    """``id`` and ``ids`` (little-endian, with the end id, compressed) per row, and the bytes of one id."""
     made = tokenizer(path)
     width = 2 if made.get_vocab_size() <= 1 << 16 and end < 1 << 16 else 4
     return keyed_text(docs, id_col, text_col).mapInArrow(_encoded(path, end), "id long, ids binary"), width
@@ -184,7 +186,7 @@ def _writer(folder: str, width: int, bits: bool, file_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         store, root = fs.FileSystem.from_uri(folder)
-        part, number, file, made = context.partitionId(), 0, None, []
+        part, number, file, made, unpack = context.partitionId(), 0, None, [], zstandard.ZstdDecompressor()
 
         def finish() -> None:
             file.close()
@@ -196,7 +198,7 @@ def _writer(folder: str, width: int, bits: bool, file_ids: int):
             for key, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if file is None:
                     file = PlaneFile(store.open_output_stream(f"{root}/.part-{part:05d}-{number:05d}.planes.{context.taskAttemptId()}"), bits)
-                file.add(key, np.frombuffer(packed, f"<u{width}").astype("<u4"))
+                file.add(key, np.frombuffer(unpack.decompress(packed), f"<u{width}").astype("<u4"))
                 if file.n_ids >= file_ids:
                     finish()
                     number, file = number + 1, None
@@ -211,11 +213,13 @@ def _writer(folder: str, width: int, bits: bool, file_ids: int):
 def write_planes(ids: DataFrame, width: int, folder: str, bits: bool = False, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the files in ascending order of ``id`` (null first) and return their list: part, number, name, n_docs, n_ids.
 
-    Order by ``part`` and ``number`` is order of the ids; equal ids stand in the order of their contents.
+    Order by ``part`` and ``number`` is order of the ids; equal ids stand in the order of a hash of their contents.
     """
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    ranged = ids.repartitionByRange("id", "ids").sortWithinPartitions("id", "ids")
+    # ranges are sampled by a short key: samples of it go to the driver
+    mark = F.xxhash64("ids")
+    ranged = ids.repartitionByRange("id", mark).sortWithinPartitions("id", mark, "ids")
     return stored(ranged.mapInArrow(_writer(folder, width, bits, file_ids), "part long, number long, name string, n_docs long, n_ids long"), "files")
 
 
