@@ -30,8 +30,8 @@ LONG = 8192
 PIECE = 4096
 #: Characters on each side of a join that the first window takes.
 WINDOW = 64
-#: Distinct words that a worker remembers; further ones are encoded at each sight.
-ROOM = 250_000
+#: Distinct words that a task remembers; further ones are encoded at each sight.
+ROOM = 500_000
 
 
 @functools.cache
@@ -80,8 +80,6 @@ def _word_entries(path: str):
     return make
 
 
-_memos: dict[str, Remembered] = {}
-
 _DIGESTS = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("text", pa.string())])
 _DIGESTS_DDL = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, text string"
 
@@ -90,7 +88,7 @@ def _encoded(path: str, long: int):
     """Texts of words of usual length are done here; the others are handed on with their text."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memos.setdefault(path, Remembered(_word_entries(path)))
+        memo = Remembered(_word_entries(path))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
