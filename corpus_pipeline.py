@@ -13,8 +13,9 @@ from quire.llm.common import read, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.keep_good(docs)
+    """Documents that the quality rules keep, without the lines that too many texts of their source share."""
+    kept = quality.keep_good(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

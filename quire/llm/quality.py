@@ -3,7 +3,8 @@
 A line is hashed with its words joined by one space. Per host, the documents that hold a line are counted by an exact
 distinct count of texts, so copies count once, and the distinct length classes among them are counted too: near copies
 of one text fall into one or two classes, while a menu or a notice stands in texts of all lengths. A line above both
-limits is removed; a document of whose words too few are left is rejected. Only hashes and counts are shuffled.
+limits is removed from the texts; a document of whose words too few are left is rejected. The counting shuffles only
+hashes; at the end each text meets the hashes of its own frequent lines, and its lines are dropped in one pass.
 """
 
 from __future__ import annotations
@@ -31,11 +32,15 @@ SYMBOLS = b"#*$%&|<>"
 #: The seed of Spark's own ``xxhash64``, which names a text by the same number.
 TEXT_SEED = 42
 
-_SCHEMA = pa.schema([
+_LINES = pa.schema([("host", pa.string()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("lines", pa.list_(pa.int64()))])
+_LINES_DDL = "host string, text_key long, n_words long, lines array<long>"
+_JUDGED = pa.schema([
     ("id", pa.int64()), ("host", pa.string()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()),
-    ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int64())),
+    ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("removed_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("text", pa.string()),
 ])
-_DDL = "id long, host string, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<long>"
+_JUDGED_DDL = (
+    "id long, host string, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, removed_words long, "
+    "base_failed boolean, kept boolean, text string")
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -59,25 +64,42 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def measure(text: bytes) -> tuple:
-    """The counts of one text, its line hashes (each once) and the words of each, occurrences added up."""
+def line_key(line: bytes) -> int:
+    """The hash of a line with its words joined by one space."""
+    return _signed(xxhash.xxh64_intdigest(b" ".join(line.split())))
+
+
+def measure(text: bytes) -> tuple[int, int, int, int, int]:
+    """The counts of one text: words, their characters, symbols, repeated lines, words in repeated windows."""
     words = text.split()
     lines = Counter(line for line in text.split(b"\n") if line and not line.isspace())
-    hashed: dict[int, int] = {}
-    for line, n in lines.items():
-        parts = line.split()
-        key = _signed(xxhash.xxh64_intdigest(b" ".join(parts)))
-        hashed[key] = hashed.get(key, 0) + n * len(parts)
     letters = len(b"".join(words).decode("utf-8", "replace"))
-    return len(words), letters, len(text) - len(text.translate(None, SYMBOLS)), sum(lines.values()) - len(lines), repeated_words(words), list(hashed), list(hashed.values())
+    return len(words), letters, len(text) - len(text.translate(None, SYMBOLS)), sum(lines.values()) - len(lines), repeated_words(words)
+
+
+def without_lines(text: bytes, drop: set[int]) -> bytes:
+    """The text without the lines whose hash is to be dropped; every other byte stays."""
+    return b"\n".join(line for line in text.split(b"\n") if not line or line.isspace() or line_key(line) not in drop)
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t or b"" for t in raw(batch, "text")]
-        rows = [(_signed(xxhash.xxh64_intdigest(t, TEXT_SEED)), *measure(t)) for t in texts]
+        rows = []
+        for text in (t or b"" for t in raw(batch, "text")):
+            lines = {line for line in text.split(b"\n") if line and not line.isspace()}
+            rows.append((_signed(xxhash.xxh64_intdigest(text, TEXT_SEED)), len(text.split()), list(set(map(line_key, lines)))))
         if rows:
-            yield batch_of(_SCHEMA, [batch.column(0), batch.column(1), *zip(*rows, strict=True)])
+            yield batch_of(_LINES, [batch.column(0), *zip(*rows, strict=True)])
+
+
+def verdict(text: bytes, drop: list[int] | None, min_words: int, left: int) -> tuple:
+    """The counts of one text, the words that its dropped lines took, ``base_failed``, ``kept`` and the text without these lines."""
+    counts = measure(text)
+    n_words, n_repeat = counts[0], counts[4]
+    clean = without_lines(text, set(drop)) if drop else text
+    removed = n_words - len(clean.split()) if drop else 0
+    failed = n_words < min_words or 100 * n_repeat > 50 * n_words
+    return *counts, removed, failed, not failed and left * (n_words - removed) >= n_words, clean
 
 
 def frequent_lines(measured: DataFrame, max_texts: int, max_share: float, max_classes: int) -> DataFrame:
@@ -91,32 +113,58 @@ def frequent_lines(measured: DataFrame, max_texts: int, max_share: float, max_cl
     return counted.join(hosts, counted["host"].eqNullSafe(hosts["host"])).where(F.col("texts") > F.col("host_texts") * max_share).select(counted["host"], "line")
 
 
+def _dropped(docs: DataFrame, text_col: str, host_col: str, max_texts: int, max_share: float, max_classes: int) -> DataFrame:
+    """``docs`` with ``__drop``: the hashes of the lines of its text that are above the limits, or null."""
+    plain = docs.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
+    measured = stored(plain.mapInArrow(_lined, _LINES_DDL), "measured")
+    often = frequent_lines(measured, max_texts, max_share, max_classes)
+    texts = measured.select(F.col("host").alias("__host"), F.col("text_key").alias("__key"), "lines").dropDuplicates(["__host", "__key"])
+    held = texts.select("__host", "__key", F.explode("lines").alias("__line"))
+    hit = held.join(often, held["__host"].eqNullSafe(often["host"]) & (held["__line"] == often["line"])).select("__host", "__key", "__line")
+    # a table of texts that lose lines: only as long as these texts have frequent lines
+    drop = stored(hit.groupBy("__host", "__key").agg(F.collect_list("__line").alias("__drop")), "dropped")
+    key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    # merged at every size: a broadcast would be right for small tables only
+    return docs.join(drop.hint("merge"), docs[host_col].cast("string").eqNullSafe(drop["__host"]) & (key == drop["__key"]), "left").select(*[docs[c] for c in docs.columns], "__drop")
+
+
 def judge(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = MIN_WORDS, max_texts: int = MAX_TEXTS,
     max_share: float = MAX_SHARE, max_classes: int = MAX_CLASSES, left: int = LEFT,
 ) -> DataFrame:
-    """One row per row: ``id``, ``host``, ``text_key``, the counts, ``removed_words``, ``base_failed`` and ``kept``.
+    """One row per row: ``id``, ``host``, ``text_key``, the counts, ``removed_words``, ``base_failed``, ``kept`` and ``text``.
 
-    A null text counts as empty (no words, so it fails); a null host is a host of its own; repeated rows are measured
-    once and all get the same verdict; an empty table gives no rows.
+    ``text`` is the text without its lines above the limits, and ``removed_words`` is what it lacks. A null text counts
+    as empty (no words, so it fails); a null host is a host of its own; repeated rows all get the same verdict; an empty
+    table gives no rows.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
-    measured = stored(plain.mapInArrow(_measured, _DDL), "measured")
-    often = frequent_lines(measured, max_texts, max_share, max_classes)
-    texts = measured.select(F.col("host").alias("h"), F.col("text_key").alias("k"), F.arrays_zip("lines", "line_words").alias("z")).dropDuplicates(["h", "k"])
-    held = texts.select("h", "k", F.explode("z").alias("z")).select("h", "k", F.col("z.lines").alias("line"), F.col("z.line_words").alias("w"))
-    hit = held.join(often, held["h"].eqNullSafe(often["host"]) & (held["line"] == often["line"])).select("h", "k", "w")
-    lost = hit.groupBy("h", "k").agg(F.sum("w").alias("lost"))
-    out = measured.join(lost, measured["host"].eqNullSafe(lost["h"]) & (measured["text_key"] == lost["k"]), "left")
-    out = out.withColumn("removed_words", F.coalesce("lost", F.lit(0).cast("long")))
-    out = out.withColumn("base_failed", F.expr(f"n_words < {min_words} or 100 * n_repeat_words > 50 * n_words"))
-    out = out.withColumn("kept", F.expr(f"not base_failed and {left} * (n_words - removed_words) >= n_words"))
-    return out.select("id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
-
-
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns. A verdict depends on the host and the text only."""
-    host, text = options.get("host_col", "source"), options.get("text_col", "text")
-    bad = judge(docs, **options).where("not kept").select(F.col("host").alias("__host"), F.col("text_key").alias("__key")).distinct()
-    key = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
-    return docs.join(bad, docs[host].cast("string").eqNullSafe(bad["__host"]) & (key == bad["__key"]), "left_anti")
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, drop in zip(raw(batch, "text"), batch.column(3).to_pylist(), strict=True):
+                *found, clean = verdict(text or b"", drop, min_words, left)
+                rows.append((_signed(xxhash.xxh64_intdigest(text or b"", TEXT_SEED)), *found, None if text is None else clean.decode()))
+            if rows:
+                yield batch_of(_JUDGED, [batch.column(0), batch.column(1), *zip(*rows, strict=True)])
+
+    return _dropped(plain, "text", "host", max_texts, max_share, max_classes).mapInArrow(judged, _JUDGED_DDL)
+
+
+def keep_good(
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", min_words: int = MIN_WORDS, max_texts: int = MAX_TEXTS,
+    max_share: float = MAX_SHARE, max_classes: int = MAX_CLASSES, left: int = LEFT,
+) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; the text is without its lines above the limits."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            rows = [verdict(t or b"", d, min_words, left) for t, d in zip(raw(batch, text_col), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            good = pa.array([r[-2] for r in rows], pa.bool_())
+            clean = pa.array([r[-1] if r[-2] else None for r in rows], pa.large_binary()).cast(batch.schema.field(at).type)
+            columns = [clean if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(good)
+
+    return _dropped(docs, text_col, host_col, max_texts, max_share, max_classes).mapInArrow(keep, docs.schema)

@@ -121,6 +121,19 @@ def test_quality_rejects_depleted_documents(spark):
     assert judged[0].removed_words == judged[0].n_words and not judged[0].kept and not judged[0].base_failed
 
 
+def test_quality_hands_on_texts_without_frequent_lines(spark):
+    menu = "Home  About Contact"
+    own = [" ".join(f"v{k}x{j}" for j in range(60 + 7 * k)) for k in range(40)]
+    rows = [(k, f"{menu if k % 2 else 'Home About\tContact'} \n\n{t}\n{menu}", "h") for k, t in enumerate(own)]
+    rows += [(90, f"{menu}\n{own[0]}", "other"), (91, None, "h")]  # not frequent there; no text
+    judged = {r.id: r for r in quality.judge(docs_of(spark, rows)).collect()}
+    assert all(judged[k].text == f"\n{t}" and judged[k].removed_words == 6 for k, t in enumerate(own))
+    assert judged[90].text == rows[40][1] and judged[90].removed_words == 0 and judged[91].text is None
+    kept = {r.doc_id: r for r in quality.keep_good(docs_of(spark, rows)).collect()}
+    assert {k: r.text for k, r in kept.items()} == {k: judged[k].text for k in [*range(40), 90]}
+    assert all(tuple(r)[2:] == (rows[k][2] if k < 40 else "other", "x", "y", "z", 1) for k, r in kept.items())
+
+
 def test_repeated_words_against_brute_force():
     rng = random.Random(5)
     for _ in range(200):
