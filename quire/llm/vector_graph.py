@@ -6,7 +6,10 @@ edges back; the lists that a node got in its shards are united. Each shard then
 members: a greedy beam search starts at the shard's medoids (and at the member's own node), and from every node within
 the range it goes on through all neighbours that are within the range too. Hits are verified in double precision, and
 counted only in the first shard that both nodes share, so that an overlap counts once. A sample of nodes is compared
-with all vectors to audit the recall; if it is low, the graph is built anew with more overlap.
+with all vectors to audit the recall, averaged over nodes and over those with few links; if it is low, the graph is built
+anew with twice the overlap, until comparing all vectors is no more work: then they are compared.
+
+Each length of vectors has a graph of its own; the vectors of rare lengths are compared outright.
 
 Shards above ``PART`` members are cut into parts, and every part is searched from every part of its shard, so a cluster
 that holds a third of all vectors is many bounded tasks. Links are never listed: a task returns counts and stars.
@@ -45,6 +48,8 @@ AT_ONCE = 4
 #: Nodes of the audit, and the recall below which the graph is built again.
 AUDIT = 512
 RECALL = 0.95
+#: Links of a node that count as few: such nodes must reach the recall on their own.
+FEW = 8
 SLACK = 1e-4
 
 _UNITS = pa.schema([("id", pa.int64()), ("unit", pa.binary())])
@@ -199,16 +204,16 @@ def range_search(graph: np.ndarray, lists: list[np.ndarray], queries: np.ndarray
             meet(*fresh(some, those))
 
 
-def _searched(cosine: float, block: int = 128):
+def _searched(cosine: float, block: int = 128, exact: bool = False):
     def search(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        """Members of one part of a shard as queries against the graph of another part, or of the same one."""
+        """Members of one part of a shard as queries against the graph of another part, or of the same one; or against all of it."""
         centre, frame = key[0], frame.sort_values("key", ignore_index=True)
         nodes, asks = frame[frame["node"]].reset_index(drop=True), frame[frame["query"]].reset_index(drop=True)
         keys, asked = nodes["key"].to_numpy(), asks["key"].to_numpy()
         if not len(keys) or not len(asked):
             return pd.DataFrame({"key": [], "n": [], "root": []})
         units, wanted = _matrix(nodes["unit"]), _matrix(asks["unit"])
-        lists = [np.searchsorted(keys, near[np.isin(near, keys)]) for near in nodes["near"]]
+        lists = [] if exact else [np.searchsorted(keys, near[np.isin(near, keys)]) for near in nodes["near"]]
         own = np.searchsorted(keys, asked)
         own = np.where((own < len(keys)) & (keys[np.minimum(own, len(keys) - 1)] == asked), own, -1)
         homes, ask_homes = (np.array(f["centres"].tolist(), np.int64) for f in (nodes, asks))
@@ -216,7 +221,10 @@ def _searched(cosine: float, block: int = 128):
         small, small_asks = units.astype(np.float32), wanted.astype(np.float32)
         forest = Forest(len(keys) + len(asked))
         for at in range(0, len(asked), block):
-            q, node = range_search(small, lists, small_asks[at : at + block], own[at : at + block], cosine)
+            if exact:
+                q, node = np.nonzero(small_asks[at : at + block] @ small.T >= np.float32(cosine - SLACK))
+            else:
+                q, node = range_search(small, lists, small_asks[at : at + block], own[at : at + block], cosine)
             q = q + at
             keep = asked[q] != keys[node]
             q, node = q[keep], node[keep]
@@ -261,46 +269,77 @@ def _linked(nodes: DataFrame, centres: np.ndarray, overlap: int, cosine: float)
     members = stored(members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")), "members")
     built = members.select("centre", "part", "key", "unit").groupBy("centre", "part").applyInPandas(_build, "key long, near array<long>")
     united = stored(built.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    whole = members.join(united, "key")
+    return stored(_by_cell(members.join(united, "key")).applyInPandas(_searched(cosine), "key long, n long, root long"), "links")
+
+
+def _by_cell(whole: DataFrame):
+    """Members by shard and pair of its parts: the one asks, the other is searched."""
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     cells = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("q"), F.lit(0).alias("g"), F.lit(True).alias("query"), F.lit(True).alias("node")))).otherwise(
         F.concat(
             F.transform(others, lambda o: F.struct(F.col("part").alias("q"), o.alias("g"), F.lit(True).alias("query"), (o == F.col("part")).alias("node"))),
             F.filter(F.transform(others, lambda o: F.struct(o.alias("q"), F.col("part").alias("g"), F.lit(False).alias("query"), F.lit(True).alias("node"))), lambda c: c["q"] != c["g"])))
     spread = whole.withColumn("cell", F.explode(cells)).select("centre", F.col("cell.q").alias("q"), F.col("cell.g").alias("g"), "cell.query", "cell.node", "key", "copies", "unit", "centres", "near")
-    return stored(spread.groupBy("centre", "q", "g").applyInPandas(_searched(cosine), "key long, n long, root long"), "links")
+    return spread.groupBy("centre", "q", "g")
+
+
+def _compared(nodes: DataFrame, parts: int, cosine: float) -> DataFrame:
+    """The same table as of ``_linked``, from comparing all vectors of one length with each other, in ``parts`` squared tasks."""
+    centre = F.length("unit").cast("int")
+    whole = nodes.select(
+        centre.alias("centre"), F.lit(parts).alias("parts"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), "key", "copies", "unit",
+        F.array(centre).alias("centres"), F.array().cast("array<bigint>").alias("near"))
+    return stored(_by_cell(whole).applyInPandas(_searched(cosine, exact=True), "key long, n long, root long"), "links")
+
+
+def audit_recall(exact: dict[int, int], found: dict[int, int]) -> float:
+    """The recall of a node's links, averaged over the audited nodes that have links, or over those with few if that is lower."""
+    each = [(v, min(v, found.get(k, 0)) / v) for k, v in exact.items() if v]
+    few = [r for v, r in each if v <= FEW]
+    return min((sum(rs) / len(rs) for rs in ([r for _, r in each], few) if rs), default=1.0)
+
+
+def _of_one_length(nodes: DataFrame, n: int, cosine: float, overlap: int) -> tuple[DataFrame, float]:
+    """The links of ``n`` nodes of one length and the recall of their audit."""
+    sample = nodes.select("key", "unit").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()
+    fitted = _matrix([r.unit for r in sample])
+    centres = fit_centres(fitted, max(1, min(MOST_CENTRES, len(sample), n // SHARD)))
+    asked = np.array([r.key for r in sample[:AUDIT]])
+    exact = {r.key: r.n for r in nodes.select("key", "copies", "unit").mapInArrow(_audited(fitted[:AUDIT], asked, cosine), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    while True:
+        links = _linked(nodes, centres, overlap, cosine)
+        found = {r.key: r.n for r in links.where(F.col("key").isin(asked.tolist())).groupBy("key").agg(F.sum("n").alias("n")).collect()}
+        recall = audit_recall(exact, found)
+        if recall >= RECALL:
+            return links, recall
+        overlap *= 2
+        # shards of n * overlap / centres members are together as much work as all pairs
+        if overlap * overlap >= len(centres):
+            return _compared(nodes, math.ceil(n / PART), cosine), 1.0
 
 
 def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, overlap: int = OVERLAP) -> DataFrame:
     """One row per row: ``id``, ``n_links`` (other vectors within the range), ``component`` (smallest id reachable, itself
     included) and ``recall`` (of the audit).
 
-    Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing. Vectors of another length
-    than most link with their equals only. Repeated rows are vectors of their own and link with each other. Rows without
+    Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing. Vectors of different lengths
+    do not link; the recall is the lowest of all lengths. Repeated rows are vectors of their own and link with each other. Rows without
     an id have links but name no component. An empty table gives no rows.
     """
     plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = stored(plain.mapInArrow(_units, "id long, unit binary").withColumn("key", F.when(F.col("unit").isNotNull(), F.xxhash64("unit"))), "units")
     classes = rows.where("unit is not null").groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"))
     classes = stored(classes, "classes")
-    lengths = classes.groupBy(F.length("unit").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
-    nodes = classes.where(F.length("unit") == lengths[0].size) if lengths else classes
-    n = lengths[0].n if lengths else 0
+    lengths = classes.groupBy(F.length("unit").alias("size")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "size").collect()
     recall, links = 1.0, None
-    if n > 1:
-        sample = nodes.select("key", "unit").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()
-        fitted = _matrix([r.unit for r in sample])
-        centres = fit_centres(fitted, max(1, min(MOST_CENTRES, len(sample), n // SHARD)))
-        asked = np.array([r.key for r in sample[:AUDIT]])
-        exact = {r.key: r.n for r in nodes.select("key", "copies", "unit").mapInArrow(_audited(fitted[:AUDIT], asked, cosine), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
-        for attempt in range(4):
-            links = _linked(nodes, centres, overlap << attempt, cosine)
-            found = {r.key: r.n for r in links.where(F.col("key").isin(asked.tolist())).groupBy("key").agg(F.sum("n").alias("n")).collect()}
-            recall = sum(min(v, found.get(k, 0)) for k, v in exact.items()) / max(1, sum(exact.values())) if exact else 1.0
-            if recall >= RECALL or overlap << attempt >= len(centres):
-                break
-        if recall < 0.9:
-            raise RuntimeError(f"the audit of the vector graph found a recall of {recall:.3f}")
+    for k, length in enumerate(lengths):
+        if k and length.n <= PART:
+            # rare lengths, one task each
+            rare = [r.size for r in lengths[k:]]
+            links = links.unionByName(_compared(classes.where(F.length("unit").isin(rare)), 1, cosine))
+            break
+        more, audited = _of_one_length(classes.where(F.length("unit") == length.size), length.n, cosine, overlap)
+        recall, links = min(recall, audited), more if links is None else links.unionByName(more)
     if links is None:
         counted = classes.select("key", F.lit(0).cast("long").alias("n"), F.col("key").alias("root"))
     else:

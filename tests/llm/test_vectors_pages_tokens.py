@@ -59,6 +59,35 @@ def test_vector_groups_against_brute_force(spark, monkeypatch, part):
     assert vector_graph.vector_groups(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", [4096, 30])
+def test_vectors_of_every_length_are_linked(spark, monkeypatch, part):
+    monkeypatch.setattr(vector_graph, "PART", part)
+    rng = np.random.default_rng(4)
+    rows = []
+    for size, n in ((16, 60), (12, 40), (8, 6)):
+        for _ in range(3):
+            centre = rng.normal(size=size)
+            rows += [(len(rows) + k, (centre + rng.normal(size=size) * 0.1).tolist()) for k in range(n // 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = vector_graph.vector_groups(frame).collect()
+    assert sorted((r.id, r.n_links, r.component) for r in found) == sorted(brute_vectors(rows))
+
+
+def test_lost_links_of_small_groups_are_seen_and_found(spark, monkeypatch):
+    hot = {k: 100_000 for k in range(300)}
+    few = {1000 + k: 2 for k in range(20)}
+    assert vector_graph.audit_recall(hot | few, hot) == 0.0
+    assert vector_graph.audit_recall(hot | few, hot | few) == vector_graph.audit_recall({}, {}) == 1.0
+    # a search that loses everything: the audit sees it, and all vectors are compared
+    monkeypatch.setattr(vector_graph, "_linked", lambda nodes, *_: nodes.limit(0).selectExpr("key", "copies as n", "key as root"))
+    monkeypatch.setattr(vector_graph, "PART", 20)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 16))
+    rows = [(k, (centres[k % 30] + rng.normal(size=16) * 0.1).tolist()) for k in range(60)]
+    found = vector_graph.vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.id, r.n_links, r.component) for r in found) == sorted(brute_vectors(rows))
+
+
 def test_vectors_against_sql(spark):
     good, message = compare(spark, connect(SMALL), SMALL, lambda s, f: queries.QUERIES["op1_vector_graph"](s, f), queries.ORACLES["op1_vector_graph"])
     assert good, message
