@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, html_text, licenses, mixing, planes, quality, simhash, toxicity, url_filter, vector_graph
+from quire.llm import bpe, differencing, html_text, lexical, licenses, mixing, planes, quality, simhash, toxicity, turns, url_filter, vector_graph
 from quire.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,101 @@ from embeddings join lowest l on l.a = vec_id left join counts c on c.a = vec_id
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     groups = vector_graph.vector_groups(read(spark, folder, "embeddings"))
     return groups.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+_OP11_SQL = r"""
+with said as (
+  select row_number() over () as rid, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words
+  from documents),
+docs as (select rid, doc_id, words, len(words)::bigint as n from said where len(words) > 0),
+whole as (select count(*)::bigint as n_docs, sum(n)::bigint as l from docs),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark),
+postings as (
+  select rid, term, count(*)::bigint as tf from (select rid, unnest(words) as term from docs) w where term in (select term from asked) group by rid, term),
+weights as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from postings, whole group by term, n_docs),
+parts as (
+  select item_id, rid, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // l))) as s
+  from postings join weights using (term) join docs using (rid) join asked using (term), whole),
+scores as (select item_id, doc_id, rid, sum(s)::bigint as score from parts join docs using (rid) group by item_id, doc_id, rid),
+ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls last) as r, doc_id, score from scores where score > 0)
+select item_id, r::int as rank, doc_id, score from ranked where r <= 10
+"""
+
+
+@query("op11_presence_masks", _OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+_OP12_SQL = r"""
+with recursive steps as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, list_transform(range(8), lambda k: k::bigint)),
+    lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) as t),
+raw as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda ch: ascii(ch)::bigint)),
+      lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295::bigint) % 20 as fault
+  from conversations, steps),
+hurt as (
+  select conv_id, turn, case when fault = 4 then 'user' else role end as role,
+    case when fault = 1 then '' when fault = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from (select *, unnest(case when fault = 3 then [0, 1] else [0] end) as copy from raw where fault <> 0) d),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) as pos, regexp_matches(text, '[^\x20\x09-\x0D]') as worded
+  from hurt),
+rows as (
+  select *, case when not worded then 'blank' when row_number() over (partition by conv_id, role, text order by pos) > 1 then 'duplicate' when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' end as why,
+    lag(role) over (partition by conv_id order by pos) as earlier
+  from placed),
+facts as (
+  select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(case when why = 'blank' then 1 end) as blank,
+    count(case when why = 'duplicate' then 1 end) as duplicate, count(case when why = 'truncated' then 1 end) as truncated,
+    count(case when earlier is not null and (substr(earlier, 1, 1) || substr(role, 1, 1)) not in ('su', 'ua', 'au') then 1 end) as illegal
+  from rows group by conv_id),
+dp as (
+  select conv_id, 0::bigint as pos, 0::bigint as c0, '' as a0, '' as p0, 999999::bigint as c1, '' as a1, '' as p1, 5::bigint as c2, 'I' as a2, 'user:' as p2, 10::bigint as c3, 'II' as a3, 'user:' || chr(10) || 'assistant:' as p3
+  from facts
+  union all
+  select conv_id, pos, n0.c, n0.a, n0.p, n1.c, n1.a, n1.p, m2.c, m2.a, m2.p, m3.c, m3.a, m3.p from (
+    select *, least(n2, {'c': least(n0, n1).c + 5, 'a': least(n0, n1).a || 'I', 'p': case when least(n0, n1).p = '' then '' else least(n0, n1).p || chr(10) end || 'user:'},
+        {'c': n3.c + 5, 'a': n3.a || 'I', 'p': case when n3.p = '' then '' else n3.p || chr(10) end || 'user:'}) as m2,
+      least(n3, {'c': least(n2, {'c': least(n0, n1).c + 5, 'a': least(n0, n1).a || 'I', 'p': case when least(n0, n1).p = '' then '' else least(n0, n1).p || chr(10) end || 'user:'}).c + 5,
+        'a': least(n2, {'c': least(n0, n1).c + 5, 'a': least(n0, n1).a || 'I', 'p': case when least(n0, n1).p = '' then '' else least(n0, n1).p || chr(10) end || 'user:'}).a || 'I',
+        'p': least(n2, {'c': least(n0, n1).c + 5, 'a': least(n0, n1).a || 'I', 'p': case when least(n0, n1).p = '' then '' else least(n0, n1).p || chr(10) end || 'user:'}).p || chr(10) || 'assistant:'}) as m3
+    from (
+      select conv_id, pos, {'c': c0 + 2, 'a': a0 || 'D', 'p': p0} as n0,
+        least({'c': c1 + 2, 'a': a1 || 'D', 'p': p1}, case when i = 's' and free then {'c': c0 + f, 'a': a0 || 'K', 'p': g0 || role || ':' || text} else {'c': 999999::bigint, 'a': '', 'p': ''} end) as n1,
+        least({'c': c2 + 2, 'a': a2 || 'D', 'p': p2},
+          case when free then least({'c': c0 + f + k, 'a': a0 || e, 'p': g0 || u}, {'c': c1 + f + k, 'a': a1 || e, 'p': g1 || u}, {'c': c3 + f + k, 'a': a3 || e, 'p': g3 || u}) else {'c': 999999::bigint, 'a': '', 'p': ''} end) as n2,
+        least({'c': c3 + 2, 'a': a3 || 'D', 'p': p3}, case when free then {'c': c2 + f + ka, 'a': a2 || ea, 'p': g2 || v} else {'c': 999999::bigint, 'a': '', 'p': ''} end) as n3
+      from (
+        select d.*, r.pos as pos, r.role, r.text, substr(r.role, 1, 1) as i, coalesce(r.why, '') not in ('blank', 'duplicate') as free, case when r.why = 'truncated' then 5 else 0 end as f,
+          case when substr(r.role, 1, 1) = 'u' then 0 else 1 end as k, case when substr(r.role, 1, 1) = 'u' then 'K' else 'R' end as e,
+          case when substr(r.role, 1, 1) = 'u' then r.role else 'user' end || ':' || r.text as u,
+          case when substr(r.role, 1, 1) = 'a' then 0 else 1 end as ka, case when substr(r.role, 1, 1) = 'a' then 'K' else 'R' end as ea,
+          case when substr(r.role, 1, 1) = 'a' then r.role else 'assistant' end || ':' || r.text as v,
+          case when a0 = repeat('D', length(a0)) then '' else p0 || chr(10) end as g0, p1 || chr(10) as g1, p2 || chr(10) as g2, p3 || chr(10) as g3
+        from (select conv_id, pos as before, c0, a0, p0, c1, a1, p1, c2, a2, p2, c3, a3, p3 from dp) d join rows r on r.conv_id is not distinct from d.conv_id and r.pos = d.before + 1) s) t) z),
+done as (
+  select dp.conv_id, least({'c': c0, 'a': a0, 'p': p0}, {'c': c3, 'a': a3, 'p': p3}) as best
+  from dp join facts f on f.conv_id is not distinct from dp.conv_id and f.n = dp.pos)
+select ids.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(best.c, 0)::bigint as cost, coalesce(best.a, '') as audit, sha256(coalesce(best.p, '')) as repaired_sha256
+from (select distinct conv_id from conversations) ids left join facts f on f.conv_id is not distinct from ids.conv_id left join done d on d.conv_id is not distinct from ids.conv_id
+"""
+
+
+@query("op12_block_tables", _OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = read(spark, folder, "conversations")
+    return turns.audits(conversations, turns.repair(turns.damage(conversations))).withColumnRenamed("conv", "conv_id")
+
+
+@query("op13_differencing")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    placed = differencing.shard_slots(read(spark, folder, "documents"))
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
