@@ -56,8 +56,36 @@ def _look(marks: str, mark: str):
     return F.lit(mark in marks)
 
 
-def forms(spark: SparkSession, folder: str) -> DataFrame:
-    """One form per order: banner, labels with their slots, a token, a table of four columns."""
+# a second and a third layout: repeated and claimed roles, two tables of one role, a qualified label, slots with samples, locked cells
+_MEETING = [
+    (1, 1, "concat('Meeting information of ', p_brand)", "bfm"), (1, 2, "''", "p"), (1, 3, "''", "p"), (1, 4, "''", "p"),
+    (2, 1, "'Date'", ""), (2, 2, "''", "dt"), (2, 3, "'Venue:'", ""), (2, 4, "''", "d"),
+    (3, 1, "'Held on'", ""), (3, 2, "''", "d"), (3, 3, "''", ""), (3, 4, "''", ""),
+    (4, 1, "'Action Items'", ""), (4, 2, "''", "d"), (4, 3, "''", ""), (4, 4, "''", ""),
+    (5, 1, "'Attendees (Vendor)'", ""), (5, 2, "''", "d"), (5, 3, "''", ""), (5, 4, "''", ""),
+    (6, 1, "'This form is kept with the files of the north team.'", ""), (6, 2, "''", ""), (6, 3, "''", ""), (6, 4, "''", ""),
+    (7, 1, "'Task'", "b"), (7, 2, "'Owner'", "b"), (7, 3, "'Due Date'", "b"), (7, 4, "'Status'", "b"),
+    (8, 1, "''", "d"), (8, 2, "''", "d"), (8, 3, "''", "dt"), (8, 4, "''", "d"),
+    (9, 1, "''", ""), (9, 2, "''", ""), (9, 3, "''", ""), (9, 4, "''", ""),
+    (10, 1, "'Action Items'", "f"), (10, 2, "''", ""), (10, 3, "''", ""), (10, 4, "''", ""),
+    (11, 1, "'Sl No'", "b"), (11, 2, "'Task'", "b"), (11, 3, "'Owner'", "b"), (11, 4, "'Remarks'", "b"),
+    (12, 1, "''", "d"), (12, 2, "''", "d"), (12, 3, "''", "d"), (12, 4, "''", "d"),
+    (13, 1, "''", ""), (13, 2, "''", ""), (13, 3, "''", ""), (13, 4, "''", ""),
+]
+_SHEET = [
+    (1, 1, "'Status of the works'", "bf"), (1, 2, "''", ""), (1, 3, "''", ""), (1, 4, "''", ""),
+    (2, 1, "'Qwzx'", ""), (2, 2, "concat('the parts of ', p_brand, ' are counted by the north team.')", ""), (2, 3, "''", ""), (2, 4, "''", ""),
+    (3, 1, "'Department'", ""), (3, 2, "''", "d"), (3, 3, "'Kept by hand'", "l"), (3, 4, "''", "l"),
+    (4, 1, "'Zumbra'", ""), (4, 2, "''", "d"), (4, 3, "''", ""), (4, 4, "''", ""),
+    (5, 1, "'{{prepared_by}}'", ""), (5, 2, "''", ""), (5, 3, "''", ""), (5, 4, "'=B2'", "x"),
+    (6, 1, "''", ""), (6, 2, "''", ""), (6, 3, "''", ""), (6, 4, "''", ""),
+    (7, 1, "'Vorlon'", "b"), (7, 2, "'Krell'", "b"), (7, 3, "''", ""), (7, 4, "''", ""),
+    (8, 1, "''", "d"), (8, 2, "''", "d"), (8, 3, "''", ""), (8, 4, "''", ""),
+]
+
+
+def _grids(rows: DataFrame, layout: list[tuple[int, int, str, str]], dates: set[tuple[int, int]]) -> DataFrame:
+    """The layout once for each row; a mark ``t`` is a date format as well."""
     cells = F.array(
         *[
             F.struct(
@@ -65,15 +93,26 @@ def forms(spark: SparkSession, folder: str) -> DataFrame:
                 _look(k, "d").alias("bordered"), F.lit(11.0).alias("size"), _look(k, "w").alias("wrap"), F.lit("m" in k or "p" in k).alias("merged"),
                 F.lit(1).alias("merge_rows"), F.lit(4 if ("m" in k or "p" in k) else 1).alias("merge_cols"), F.lit("p" not in k).alias("is_anchor"),
                 _look(k, "x").alias("has_formula"), _look(k, "l").alias("locked"),
-                F.lit("dd/mm/yyyy" if (r, c) in ((3, 3), (10, 4)) else "General").alias("number_format"), F.lit(12.0).alias("width"),
+                F.lit("dd/mm/yyyy" if (r, c) in dates or "t" in k else "General").alias("number_format"), F.lit(12.0).alias("width"),
             )
-            for r, c, text, k in _FORM
+            for r, c, text, k in layout
         ]
     )
+    return rows.select(F.col("o_orderkey").alias("book"), F.lit("Form").alias("sheet"), F.explode(cells).alias("x")).select("book", "sheet", "x.*")
+
+
+def forms(spark: SparkSession, folder: str) -> DataFrame:
+    """One form per order: banner, labels with their slots, a token, a table of four columns."""
     # spec building reads a grid many times; a stored grid is one scan, this derived one is kept as such
-    return ordered_parts(spark, folder).select(
-        F.col("o_orderkey").alias("book"), F.lit("Form").alias("sheet"), F.explode(cells).alias("x")
-    ).select("book", "sheet", "x.*").persist(StorageLevel.MEMORY_AND_DISK)
+    return _grids(ordered_parts(spark, folder), _FORM, {(3, 3), (10, 4)}).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def mixed_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """One form per order, of three layouts by the order's key."""
+    rows = ordered_parts(spark, folder)
+    order = [(1, 1, "'Order details'", "bfm"), *_FORM[1:]]
+    kinds = [_grids(rows.where(f"o_orderkey % 3 = {k}"), layout, dates) for k, (layout, dates) in enumerate(((order, {(3, 3), (10, 4)}), (_MEETING, set()), (_SHEET, set())))]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
 
 
 GRID_CTES = {
@@ -81,6 +120,6 @@ GRID_CTES = {
     "from nlines",
     "cb": "select * from (select l_orderkey as book, rn + 1 as r, unnest([1, 2, 3, 4]) as c, unnest([cast(l_partkey as varchar), concat(cast(l_quantity as int), case when l_partkey % 7 = 0 then '*' else '' end), l_returnflag, "
     "case when l_partkey % 5 = 0 then 'new' end]) as value from nlines where l_partkey % 11 <> 0) where value is not null",
-    "forms": "select o_orderkey as book, o_custkey, p_name, p_type from ordered",
+    "forms": "select o_orderkey as book, o_custkey, p_name, p_type, p_brand from ordered",
 }
 GRID_NEEDS = {"ca": ("nlines",), "cb": ("nlines",), "forms": ("ordered",)}

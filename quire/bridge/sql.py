@@ -106,6 +106,10 @@ def _join_notes() -> None:
 
     CTES.update(GRID_CTES)
     NEEDS.update(GRID_NEEDS)
+    from quire.bridge.kb import KB_CTES, KB_NEEDS
+
+    CTES.update(KB_CTES)
+    NEEDS.update(KB_NEEDS)
     NEEDS.update({"head": ("ordered",), "notes": ("head", "lparts")})
 
 

@@ -91,6 +91,27 @@ def running_sum(
     )
 
 
+def running_max(
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, rows: int = PART_ROWS
+) -> DataFrame:
+    """Largest ``value`` over the rows of the group before this one, null at the first."""
+    tagged = df.withColumn("__part", part_of(order, rows)).withColumn("__value", value)
+    local = W.partitionBy(*keys, "__part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    across = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    tops = (
+        tagged.groupBy(*keys, "__part")
+        .agg(F.max("__value").alias("__top"))
+        .withColumn("__before", F.max("__top").over(across))
+        .drop("__top")
+    )
+    seen = tagged.withColumn("__seen", F.max("__value").over(local))
+    return (
+        _join_parts(seen, tops, keys)
+        .withColumn(out, F.greatest("__seen", "__before"))
+        .drop("__part", "__value", "__seen", "__before")
+    )
+
+
 def neighbour(
     df: DataFrame, keys: Sequence[str], order: str, columns: dict[str, str], step: int
 ) -> DataFrame:
