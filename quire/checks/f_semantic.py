@@ -147,7 +147,23 @@ def _(spark, folder):
     return rows.select("doc_id", "role", F.to_json("items").alias("items"), "evidence")
 
 
-@check("cq04_extract_facts")
+_FACTS = (
+    f"select *, o_orderkey as doc_id, o_orderkey % 4 as v from head join (select l_orderkey, count(*) as n, concat('[', string_agg(concat('{{\"due_date\":\"', {N.iso('l_shipdate')}, '\",\"owner\":\"', replace(s_name, '#', ' '), "
+    "'\",\"task\":\"Ship ', lp_name, '\"}}'), ',' order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice), ']') as tasks from lparts group by 1) on l_orderkey = o_orderkey"
+).replace("{{", "{").replace("}}", "}")
+
+
+@check(
+    "cq04_extract_facts",
+    with_views(
+        "notes",
+        f"select doc_id, 'meeting_date' as role, {N.iso('o_orderdate')} as value, 0.95::double as confidence, 'rules' as extractor from f union all select doc_id, 'recorder', replace(c_name, '#', ' '), 0.95, 'rules' from f "
+        "union all select doc_id, 'project_name', p_name, 0.95, 'rules' from f union all select doc_id, 'status', concat(o_orderstatus, case when v = 3 then concat(' and moving on with ', p_brand) else '' end), 0.95, 'rules' from f "
+        "union all select doc_id, 'summary', replace(split_part(text, concat('Summary:', chr(10)), 2), chr(10), ' '), 0.92, 'rules' from notes union all select doc_id, 'action_items', tasks, 0.82, 'rules' from f "
+        f"union all select doc_id, 'x_attendees_vendor', concat('[{{\"name\":\"', {N.PERSON}, '\"}},{{\"name\":\"', {N.PERSON2}, '\"}}]'), 0.93, 'rules' from f where v = 2",
+        f=_FACTS,
+    ),
+)
 def _(spark, folder):
     facts, lists = X.extract_facts(N.general_notes(spark, folder).select("doc_id", "text"))
     return facts.select("doc_id", "role", "value", F.round("confidence", 3).alias("confidence"), "extractor").unionByName(
@@ -164,7 +180,14 @@ def _(spark, folder):
     )
 
 
-@check("cq05_gate_candidates")
+@check(
+    "cq05_gate_candidates",
+    with_views(
+        "notes",
+        "select doc_id, 'summary' as role, q as value, 0.97::double as confidence, q as evidence from q union all select doc_id, 'purpose', 'order review', 0.8, concat(upper(q), ' !') from q",
+        q="select doc_id, regexp_extract(text, 'The order of [^.]+') as q from notes",
+    ),
+)
 def _(spark, folder):
     docs = N.general_notes(spark, folder).select("doc_id", "text")
     known, _ = X.extract_facts(docs)
@@ -177,17 +200,54 @@ def _(spark, folder):
                 F.struct(F.lit("summary").alias("role"), quote.alias("value"), quote.alias("evidence"), F.lit(0.99).alias("confidence")),
                 F.struct(F.lit("meeting_date").alias("role"), F.lit("not a day").alias("value"), quote.alias("evidence"), F.lit(0.9).alias("confidence")),
                 F.struct(F.lit("location").alias("role"), F.lit("Main Hall").alias("value"), F.lit("this was never written there").alias("evidence"), F.lit(0.9).alias("confidence")),
-                F.struct(F.lit("purpose").alias("role"), F.lit("order review").alias("value"), F.regexp_replace(quote, "covers", "coverd").alias("evidence"), F.lit(0.8).alias("confidence")),
+                F.struct(F.lit("purpose").alias("role"), F.lit("order review").alias("value"), F.concat(F.upper(quote), F.lit(" !")).alias("evidence"), F.lit(0.8).alias("confidence")),
             )
         ).alias("ord", "c"),
     ).select("doc_id", F.col("ord").cast("bigint").alias("ord"), "c.*")
     return X.gate_candidates(cands, docs, known).select("doc_id", "role", "value", "confidence", "evidence")
 
 
-@check("ud03_extract_items")
+@check(
+    "cq05_gate_collections",
+    with_views(
+        "notes",
+        # a longer or surer list than the rules' is taken, a list without items or quote never
+        "select doc_id, role, n, confidence from (select doc_id, 'action_items' as role, 3 as n, 0.75::double as confidence from f where n < 3 union all select doc_id, 'attendees', 1, 0.97::double from f union all "
+        "select doc_id, 'x_attendees_vendor', 2, 0.95::double from f where v = 2 or v = 3)",
+        f=_FACTS,
+    ),
+)
+def _(spark, folder):
+    docs = N.general_notes(spark, folder).select("doc_id", "text")
+    _, known = X.extract_facts(docs)
+    quote = F.regexp_extract("text", "The order of [^.]+", 0)
+
+    def named(n: int):
+        return F.array(*[F.create_map(F.lit("name"), F.lit(f"Person {k}")) for k in range(n)], F.create_map().cast("map<string,string>"))
+
+    def row(role: str, n: int, confidence, evidence):
+        return F.struct(F.lit(role).alias("role"), named(n).alias("items"), F.lit(confidence).cast("double").alias("confidence"), evidence.alias("evidence"))
+
+    made = F.array(
+        row("action_items", 3, None, quote), row("attendees", 1, 0.99, quote), row("absentees", 0, 0.9, quote), row("decisions", 4, 0.9, F.lit("this was never written there")),
+        row("x_attendees_vendor", 2, 0.95, F.when(F.col("doc_id") % 4 >= 2, quote).otherwise(F.lit(" "))),
+    )
+    cands = docs.select("doc_id", F.posexplode(made).alias("ord", "c")).select("doc_id", F.col("ord").cast("bigint").alias("ord"), "c.*")
+    return X.gate_collections(cands, docs, known).select("doc_id", "role", F.size("items").alias("n"), "confidence")
+
+
+@check(
+    "ud03_extract_items",
+    with_views(
+        "notes",
+        "select doc_id, pos, i - 1 as at, 'bullet' as kind, split_part(b, ' — ', 1) as task, split_part(b, ' — ', 2) as owner, split_part(b, ' — ', 3) as due_date, cast(null as varchar) as priority from "
+        "(select doc_id, pos, generate_subscripts(bs, 1) as i, substr(unnest(bs), 3) as b from (select doc_id, 4 + (doc_id % 4 = 2)::int as pos, string_split(split_part(split_part(text, concat('Action items:', chr(10)), 2), concat(chr(10), chr(10)), 1), chr(10)) as bs from notes)) "
+        "union all select doc_id, 7 + (doc_id % 4 = 2)::int, unnest([0, 1]), 'row', unnest(['Count ' || doc_id, 'Close']), unnest(['Ada', null]), unnest(['2024-01-02', 'soon']), unnest([null, 'high']) from notes",
+    ),
+)
 def _(spark, folder):
-    from quire.functions.items import register_items
+    from quire.functions.items import items_view
 
-    register_items(spark)
-    N.general_notes(spark, folder).createOrReplaceTempView("quire_notes")
-    return spark.sql("select n.doc_id, i.pos, i.kind, i.task, i.owner, i.due_date from quire_notes n, lateral extract_items(n.text) i")
+    rows = F.concat(F.lit("\nTask | Action by | Due Date | Priority\n--- | --- | --- | ---\nCount "), F.col("doc_id"), F.lit(" | Ada | 2024-01-02\n| Close | | soon | high |\n | | | "))
+    items_view(N.general_notes(spark, folder).select("doc_id", F.concat("text", rows).alias("text")), "quire_records")
+    return spark.sql("select doc_id, pos, at, i.kind, i.task, i.owner, i.due_date, i.priority from quire_records lateral view posexplode(records) r as at, i")

@@ -154,15 +154,19 @@ def bullet_item(text: Column) -> Column:
     ``[Owner: x, Due: y]`` keys first, then the parts between dashes: a date is the due date, up to
     four words an owner, a status word the status.
     """
-    key = r"(?i)(?:\(|\[)?\s*(owner|assignee|responsible|due|by|status|priority)\s*[:=]\s*([^\)\],;]+)"
-    marks = T.all_found(text, key, 0)
+    return T.let(F.struct(T.all_found(text, _ITEM_KEY, 0).alias("marks"), F.regexp_replace(text, _ITEM_KEY, " ").alias("rest")), _item_of)
+
+
+_ITEM_KEY = r"(?i)(?:\(|\[)?\s*(owner|assignee|responsible|due|by|status|priority)\s*[:=]\s*([^\)\],;]+)"
+
+
+def _item_of(said: Column) -> Column:
+    """The item of a bullet's keys (marks) and of what stands around them (rest)."""
 
     def last(*names: str) -> Column:
-        own = F.filter(marks, lambda m: F.lower(F.regexp_extract(m, key, 1)).isin(*names))
-        return F.when(F.size(own) > 0, T.strip(F.regexp_extract(F.element_at(own, -1), key, 2)))
+        own = F.filter(said["marks"], lambda m: F.lower(F.regexp_extract(m, _ITEM_KEY, 1)).isin(*names))
+        return F.when(F.size(said["marks"]) > 0, F.nullif(T.strip(F.regexp_extract(F.coalesce(F.get(F.reverse(own), F.lit(0)), F.lit("")), _ITEM_KEY, 2)), F.lit("")))
 
-    rest = F.regexp_replace(text, key, " ")
-    parts = _kept(F.transform(F.split(rest, r"\s+[—–|]\s+|\s+--\s+"), lambda p: T.strip(p)))
     start = F.struct(
         last("due", "by").alias("due_date"), last("owner", "assignee", "responsible").alias("owner"),
         last("status").alias("status"),
@@ -179,22 +183,27 @@ def bullet_item(text: Column) -> Column:
             F.when(is_status, text).otherwise(acc["status"]).alias("status"),
         )
 
-    many = F.size(parts) >= 2
-    tail = F.when(many, F.slice(parts, 2, F.size(parts))).otherwise(F.array().cast("array<string>"))
-    # each part is read once, then folded
-    known = F.transform(
-        tail,
-        lambda p: F.struct(
-            p.alias("text"), X.parse_date(p).cast("string").alias("day"), F.size(_kept(F.split(p, r"\s+"))).alias("words")
-        ),
-    )
-    read = F.aggregate(known, start, step)
-    main = F.when(many, parts[0]).otherwise(rest)
-    task = T.strip(F.regexp_replace(main, r"\s{2,}", " "), " -–—:")
-    return F.struct(
-        F.nullif(task, F.lit("")).alias("task"), read["owner"].alias("owner"), read["due_date"].alias("due_date"),
-        read["status"].alias("status"), last("priority").alias("priority"),
-    )
+    def of_parts(parts: Column) -> Column:
+        many = F.size(parts) >= 2
+        tail = F.when(many, F.slice(parts, 2, F.size(parts))).otherwise(F.array().cast("array<string>"))
+        # each part is read once, then folded
+        known = F.transform(
+            tail,
+            lambda p: F.struct(
+                p.alias("text"), X.parse_date(p).cast("string").alias("day"), F.size(_kept(F.split(p, r"\s+"))).alias("words")
+            ),
+        )
+        main = F.when(many, parts[0]).otherwise(said["rest"])
+        task = T.strip(F.regexp_replace(main, r"\s{2,}", " "), " -–—:")
+        return T.let(
+            F.aggregate(known, start, step),
+            lambda read: F.struct(
+                F.nullif(task, F.lit("")).alias("task"), read["owner"].alias("owner"), read["due_date"].alias("due_date"),
+                read["status"].alias("status"), last("priority").alias("priority"),
+            ),
+        )
+
+    return T.let(_kept(F.transform(F.split(said["rest"], r"\s+[—–|]\s+|\s+--\s+"), lambda p: T.strip(p))), of_parts)
 
 
 # --- function rows ------------------------------------------------------------------------------

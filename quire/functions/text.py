@@ -6,7 +6,7 @@ Everything is a built-in expression on one row, so notes stay whole and nothing
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -45,6 +45,11 @@ def strip(text: Column, chars: str | None = None) -> Column:
     return F.regexp_replace(text, f"^{one}+|{one}+$", "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lines(text: Column) -> Column:
     return F.split(text, LINE_BREAK)
 

@@ -6,14 +6,17 @@ rest is built-in expressions and one aggregate per (document, role). Documents a
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire import roles as R
 from quire.functions import lists as L, similarity as S, text as T, values as X
-from quire.functions.blocks import blocks
+from quire.functions.linescan import read_blocks
 from quire.operators.ordered import PART_ROWS, best_per_group
+from quire.sources.staged import staged
 
 FACT_COLUMNS = ("doc_id", "role", "ord", "value", "confidence", "evidence", "extractor", "raw")
 COLLECTION_COLUMNS = ("doc_id", "role", "ord", "items", "confidence", "evidence", "extractor")
@@ -60,7 +63,7 @@ def _kept_map(*pairs: tuple[Column, Column]) -> Column:
 
 def block_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per block with the roles its label may mean."""
-    found = docs.select("doc_id", F.posexplode(blocks(F.col(text))).alias("pos", "b")).select("doc_id", "pos", "b.*")
+    found = read_blocks(docs, text, ("doc_id",))
     # structured blocks of a document come before everything found in its prose
     return found.withColumn("scores", S.role_scores(F.col("label"))).withColumn("top", F.get("scores", F.lit(0)))
 
@@ -139,8 +142,7 @@ def _rule_collections(found: DataFrame) -> DataFrame:
     bulleted = found.where("kind = 'bullets'").withColumn("role", F.get(hits, F.lit(0))["name"]).where("role is not null")
     bulleted = bulleted.withColumn("primary", _primary_field(R.item_fields_of(F.col("role"))))
 
-    def item(b: Column) -> Column:
-        i = L.bullet_item(b)
+    def item(i: Column) -> Column:
         return _kept_map(
             (F.lit("due_date"), i["due_date"]), (F.lit("owner"), i["owner"]), (F.lit("status"), i["status"]),
             (F.lit("priority"), i["priority"]), (F.col("primary"), i["task"]),
@@ -148,7 +150,7 @@ def _rule_collections(found: DataFrame) -> DataFrame:
 
     from_bullets = bulleted.select(
         "doc_id", "role", F.col("pos").alias("ord"),
-        F.filter(F.transform("items", item), lambda m: F.size(m) > 0).alias("items"), F.lit(0.82).alias("confidence"),
+        F.filter(F.transform(F.transform("items", L.bullet_item), item), lambda m: F.size(m) > 0).alias("items"), F.lit(0.82).alias("confidence"),
         F.concat("label", F.lit(": "), F.array_join(F.slice("items", 1, 3), "; ")).alias("evidence"),
         F.lit("rules").alias("extractor"),
     )
@@ -204,20 +206,39 @@ def best_fact(facts: DataFrame) -> DataFrame:
     return best_per_group(facts, ["doc_id", "role"], [F.col("confidence"), -F.col("ord")])
 
 
-_STEP = "doc_id bigint, role string, part bigint, kind string, bound double, n bigint, conf double, ord bigint"
+_STEP = "doc_id bigint, role string, part bigint, at bigint, by_size boolean, bound double, n bigint, conf double, ord bigint"
+_LAST = "doc_id bigint, role string, ord bigint, n bigint, conf double"
+
+
+def _grouped(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows that agree in their first ``width`` columns."""
+    key, rows = None, []
+    for batch in batches:
+        for row in batch.itertuples(index=False, name=None):
+            if row[:width] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:width], []
+            rows.append(row[width:])
+    if rows:
+        yield key, rows
 
 
-def _summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-    """What one part of a group does to any collection that enters it.
+def _frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    while some := list(itertools.islice(rows, 10_000)):
+        yield pd.DataFrame(some, columns=columns)
+
+
+def _part_steps(rows: list[tuple]) -> Iterator[tuple]:
+    """What one part of a group does to any collection that enters it: (at, by_size, bound, n, conf, ord).
 
     The fold replaces the current entry by a later one with more items or more confidence. An entry
     (n, c) coming in is first replaced at the first row with more items than n or more confidence
     than c, and those rows are the running maxima of the part. So the running maxima, each with the
     entry the fold has reached at the end of the part when it starts there, say all there is to say.
     """
-    rows = pdf.sort_values("ord", kind="stable")
-    n, c, o = rows["n"].to_numpy(), rows["conf"].to_numpy(), rows["ord"].to_numpy()
     size = len(rows)
+    o, n, c = zip(*rows, strict=True)
     # last entry reached from each row, from the back: the first later row that replaces it is found
     # on two stacks of later rows whose items, or confidence, still exceed everything before them
     end = list(range(size))
@@ -233,65 +254,53 @@ def _summarise(pdf: pd.DataFrame) -> pd.DataFrame:
             end[i] = end[later]
         by_n.append(i)
         by_c.append(i)
-    out = []
     top_n, top_c = -1, -1.0
     for i in range(size):
         if n[i] > top_n:
             top_n = n[i]
-            out.append(("n", i, float(n[i]), n[end[i]], c[end[i]], o[end[i]]))
+            yield i, True, float(n[i]), n[end[i]], c[end[i]], o[end[i]]
         if c[i] > top_c:
             top_c = c[i]
-            out.append(("c", i, float(c[i]), n[end[i]], c[end[i]], o[end[i]]))
-    first = rows.iloc[0]
-    frame = pd.DataFrame(out, columns=["kind", "at", "bound", "n", "conf", "ord"])
-    frame["kind"] = frame["kind"] + frame["at"].astype(str)
-    frame["doc_id"], frame["role"], frame["part"] = first["doc_id"], first["role"], first["part"]
-    return frame[["doc_id", "role", "part", "kind", "bound", "n", "conf", "ord"]]
-
-
-def _fold_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-    n, c, chosen = -1, -1.0, None
-    for _, part in pdf.groupby("part", sort=True):
-        best = None
-        for kind, bound, pn, pc, po in zip(part["kind"], part["bound"], part["n"], part["conf"], part["ord"]):
-            at = int(kind[1:])
-            if (bound > n if kind[0] == "n" else bound > c) and (best is None or at < best[0]):
-                best = (at, pn, pc, po)
-        if best is not None:
-            _, n, c, chosen = best
-    first = pdf.iloc[0]
-    return pd.DataFrame({"doc_id": [first["doc_id"]], "role": [first["role"]], "ord": [chosen]})
+            yield i, False, float(c[i]), n[end[i]], c[end[i]], o[end[i]]
+
+
+def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (doc_id, role, part, ord, n, conf) in this order to the steps of each part."""
+    steps = ((*key, *step) for key, rows in _grouped(batches, 3) for step in _part_steps(rows))
+    return _frames(steps, ["doc_id", "role", "part", "at", "by_size", "bound", "n", "conf", "ord"])
+
+
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Steps in order of (doc_id, role, part, at) to the entry that each group ends with."""
+
+    def last() -> Iterator[tuple]:
+        for key, steps in _grouped(batches, 2):
+            n, c, chosen, left = -1, -1.0, None, None
+            for part, _, by_size, bound, to_n, to_c, to in steps:
+                if part != left and bound > (n if by_size else c):
+                    n, c, chosen, left = to_n, to_c, to, part
+            yield *key, chosen, n, c
+
+    return _frames(last(), ["doc_id", "role", "ord", "n", "conf"])
 
 
 def best_collection(collections: DataFrame, rows: int = PART_ROWS) -> DataFrame:
     """Ordered fold per (document, role): a later collection replaces one with fewer items or less confidence.
 
-    Order matters, so this is no plain maximum. Only sizes and confidences travel. A group of up
-    to ``rows`` candidates, which nearly all are, is folded by built-in expressions. A larger one is cut
-    into parts of its order, each part is reduced to its running maxima, and those are folded.
+    Order matters, so this is no plain maximum. Collections stand by ord, size and confidence; equal ones count once, and of
+    those one is taken by a hash of its items. Only these three numbers travel. Each group is cut into parts of
+    its order, each part is reduced to its running maxima, and those are folded: the same at every size.
     """
+    order = ["part", "ord", "n", "conf"]
     light = collections.select(
         "doc_id", "role", F.floor(F.col("ord") / F.lit(rows)).alias("part"), F.col("ord").cast("bigint").alias("ord"),
         F.size("items").cast("bigint").alias("n"), F.col("confidence").alias("conf"),
-    )
-    parts = light.groupBy("doc_id", "role", "part").agg(F.sort_array(F.collect_list(F.struct("ord", "n", "conf"))).alias("steps"))
-    totals = parts.groupBy("doc_id", "role").agg(F.sum(F.size("steps")).alias("total"))
-    sized = parts.join(totals, ["doc_id", "role"])
-    whole = sized.where(F.col("total") <= rows).groupBy("doc_id", "role").agg(
-        F.sort_array(F.flatten(F.collect_list("steps"))).alias("steps")
-    )
-    fold = F.aggregate(
-        F.slice("steps", 2, F.size("steps")), F.get("steps", F.lit(0)),
-        lambda a, b: F.when((b["n"] > a["n"]) | (b["conf"] > a["conf"]), b).otherwise(a),
-    )
-    small = whole.select("doc_id", "role", fold["ord"].alias("ord"))
-    large = (
-        sized.where(F.col("total") > rows)
-        .select("doc_id", "role", "part", F.explode("steps").alias("s")).select("doc_id", "role", "part", "s.*")
-        .groupBy("doc_id", "role", "part").applyInPandas(_summarise, _STEP)
-        .groupBy("doc_id", "role").applyInPandas(_fold_parts, "doc_id bigint, role string, ord bigint")
-    )
-    return collections.join(small.unionByName(large), ["doc_id", "role", "ord"], "left_semi")
+    ).distinct()
+    parts = light.repartition("doc_id", "role", "part").sortWithinPartitions("doc_id", "role", *order).mapInPandas(_summarise, _STEP)
+    last = parts.repartition("doc_id", "role").sortWithinPartitions("doc_id", "role", "part", "at").mapInPandas(_fold, _LAST)
+    sized = collections.withColumns({"n": F.size("items").cast("bigint"), "conf": F.col("confidence")})
+    won = sized.join(last, ["doc_id", "role", "ord", "n", "conf"], "left_semi").drop("n", "conf")
+    return best_per_group(won.withColumn("__text", F.to_json(F.struct("items", "evidence"))), ["doc_id", "role"], [F.xxhash64("__text"), F.col("__text")]).drop("__text")
 
 
 # --- narrative ------------------------------------------------------------------------------------
@@ -354,26 +363,25 @@ def narrative_collections(docs: DataFrame, text: str = "text") -> DataFrame:
 def extract_facts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(facts, collections) of notes (doc_id, text): rules first, narrative where rules found nothing.
 
-    A narrative list is taken only if it has more items than the list the rules found. Blocks and
-    lists are marked for caching: reading the text is the one costly step, and both results need it.
+    A narrative list is taken only if it has more items than the list the rules found. The blocks of all texts and the lists
+    that the rules find are stages of their own: each is read several times and computed once.
     """
-    found = block_rows(docs, text).persist(StorageLevel.MEMORY_AND_DISK)
+    found = staged(block_rows(docs, text), "blocks")
     both = _rule_facts(found).withColumn("__rule", F.lit(1)).unionByName(
         narrative_facts(docs, text).withColumn("__rule", F.lit(0))
     )
-    facts = best_per_group(
+    facts = staged(best_per_group(
         both, ["doc_id", "role"], [F.col("__rule"), F.col("confidence"), -F.col("ord")]
-    ).drop("__rule")
+    ).drop("__rule"), "facts")
     years = facts.where("role = 'meeting_date'").select(
         "doc_id", F.year(F.try_to_date("value", "yyyy-MM-dd")).alias("default_year")
     )
     told = narrative_collections(docs.join(years, "doc_id", "left"), text).withColumn("__rule", F.lit(0))
-    candidates = _rule_collections(found).persist(StorageLevel.MEMORY_AND_DISK)
-    ruled = best_collection(candidates).withColumn("__rule", F.lit(1))
+    ruled = best_collection(staged(_rule_collections(found), "lists")).withColumn("__rule", F.lit(1))
     lists = best_per_group(
         ruled.unionByName(told), ["doc_id", "role"], [F.size("items"), F.col("__rule"), -F.col("ord")]
     ).drop("__rule")
-    return facts, lists
+    return facts, staged(lists, "collections")
 
 
 def gate_candidates(
@@ -397,3 +405,23 @@ def gate_candidates(
         F.trim("evidence").alias("evidence"), F.lit("outside").alias("extractor"), "raw",
     )
     return best_fact(ready)
+
+
+def gate_collections(candidates: DataFrame, docs: DataFrame, collections: DataFrame) -> DataFrame:
+    """Lists of an outside model that quote the text and beat the list the rules found.
+
+    Empty items are dropped, and a list without items or without a quote in the text is dropped. A known list of at
+    least as many items and as much confidence stays, so the candidate is dropped too. Confidence stays below 0.97.
+    """
+    texts = docs.select("doc_id", T.normalize_text(F.col("text")).alias("__norm"))
+    filled = candidates.withColumn("items", F.filter(F.coalesce("items", F.array().cast(_MAPS)), lambda m: F.size(m) > 0))
+    usable = filled.where("size(items) > 0 and trim(coalesce(evidence, '')) <> ''")
+    quoted = usable.join(texts, "doc_id").where(S.evidence_present(F.trim("evidence"), F.col("__norm"))).drop("__norm")
+    known = collections.select("doc_id", "role", F.size("items").alias("__n"), F.col("confidence").alias("__known"))
+    beaten = (F.col("__n") >= F.size("items")) & (F.col("__known") >= F.coalesce("confidence", F.lit(0.7)))
+    kept = quoted.join(known, ["doc_id", "role"], "left").where(F.col("__n").isNull() | ~beaten)
+    ready = kept.select(
+        "doc_id", "role", "ord", "items", F.round(F.least(F.coalesce("confidence", F.lit(0.75)), F.lit(0.97)), 3).alias("confidence"),
+        F.trim("evidence").alias("evidence"), F.lit("outside").alias("extractor"),
+    )
+    return best_collection(staged(ready, "candidates"))
