@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import Remembered, tokenizer
+from quire.llm.bpe import tokenizer
 from quire.llm.common import batch_of, keyed_text, raw, shared_path, stored
 
 END = 2
@@ -43,6 +43,7 @@ _CHUNK = re.compile(rb"[ \n]*[^ \n]+|[ \n]+")
 #: One space, then text without any blank or control sign.
 _SIMPLE = re.compile(r" [^\s\x00-\x20\x85᠎]+\Z")
 _PLAIN = re.compile(r"[ \n]*[^\s\x00-\x20\x85᠎]+\Z|[ \n]+\Z")
+_BREAK = b"\n"
 
 
 def _chunk_entries(path: str):
@@ -50,11 +51,13 @@ def _chunk_entries(path: str):
     made = tokenizer(path)
     size = made.get_vocab_size()
     begins = np.array([(made.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-    special = [t.content for t in made.get_added_tokens_decoder().values()]
+    special = re.compile("|".join(re.escape(t.content) for t in made.get_added_tokens_decoder().values()) or r"(?!)")
 
     def make(chunks: list[bytes]) -> list[bytes | None]:
         texts = [c.decode() for c in chunks]
-        simple = [bool(_SIMPLE.match(t)) and not any(s in t for s in special) for t in texts]
+        simple = list(map(_SIMPLE.match, texts))
+        if special.search("\n".join(texts)):
+            simple = [s and not special.search(t) for s, t in zip(simple, texts, strict=True)]
         out: list[bytes | None] = [None] * len(texts)
         at = [k for k, s in enumerate(simple) if s]
         for low in range(0, len(at), 20_000):
@@ -73,27 +76,79 @@ def _chunk_entries(path: str):
     return make
 
 
-_memos: dict[str, Remembered] = {}
+class Memory:
+    """Entries of keys: of words behind a space, of words at the start of a line, of chunks with their blanks.
+
+    Up to ``room`` keys stay; what a batch needs besides leaves with the batch.
+    """
+
+    def __init__(self, make, room: int = ROOM) -> None:
+        self.make, self.room = make, room
+        self.known: dict[str, dict[bytes, bytes | None]] = {"word": {}, "start": {}, "chunk": {}}
+        self.passing: list[tuple[dict, dict]] = []
+
+    def fill(self, kind: str, keys: set[bytes]):
+        """A lookup for these keys, until ``settle``."""
+        known = self.known[kind]
+        new = list(keys.difference(known))
+        if new:
+            made = dict(zip(new, self.make([b" " + k for k in new] if kind == "word" else new), strict=True))
+            if sum(map(len, self.known.values())) + len(made) > self.room:
+                self.passing.append((known, made))
+            known.update(made)
+        return known.__getitem__
+
+    def settle(self) -> None:
+        for known, made in self.passing:
+            for key in made:
+                del known[key]
+        self.passing = []
+
+
+_memos: dict[str, Memory] = {}
 _IDS = pa.schema([("id", pa.int64()), ("ids", pa.binary())])
 
 
+def _usual(text: bytes) -> bool:
+    """Single spaces and single line feeds between words, and no others."""
+    return not (not text or b"  " in text or b"\n\n" in text or b" \n" in text or b"\n " in text or text[0] in b" \n" or text[-1] in b" \n")
+
+
+def encode_texts(texts: list[bytes], memory: Memory, whole) -> list[bytes]:
+    """Ids of texts from the entries of their words; ``whole`` encodes a text that has a chunk without an entry."""
+    lines = [[line.split(b" ") for line in t.split(b"\n")] if _usual(t) else None for t in texts]
+    words = memory.fill("word", set().union(*[line[1:] for t in lines if t for line in t]))
+    starts = memory.fill("start", {line[0] for t in lines if t for line in t})
+    odd = {k: _CHUNK.findall(t) for k, t in enumerate(texts) if lines[k] is None}
+    chunks = memory.fill("chunk", set().union({_BREAK}, *odd.values()))
+    line_feed, out = chunks(_BREAK), []
+    for k, text in enumerate(texts):
+        try:
+            if lines[k] is None:
+                out.append(b"".join(map(chunks, odd[k])))
+            else:
+                out.append(line_feed.join([b"".join([starts(line[0]), *map(words, line[1:])]) for line in lines[k]]))
+        except TypeError:  # a chunk without an entry
+            out.append(whole(text))
+    memory.settle()
+    return out
+
+
 def _encoded(path: str, end: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memos.get(path) or _memos.setdefault(path, Remembered(_chunk_entries(path), ROOM))
+        memory = _memos.get(path) or _memos.setdefault(path, Memory(_chunk_entries(path)))
         made, last = tokenizer(path), np.array([end], "<u4").tobytes()
         narrow, packer = made.get_vocab_size() <= 1 << 16 and end < 1 << 16, zstandard.ZstdCompressor(level=1)
+
+        def whole(text: bytes) -> bytes:
+            return np.array(made.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [t or b"" for t in raw(part, "text")]
-                split = [_CHUNK.findall(t) for t in texts]
-                look, out = memo.fill(split), []
-                for chunks, text in zip(split, texts, strict=True):
-                    found = [look[c] for c in chunks]
-                    if None in found:
-                        found = [np.array(made.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()]
-                    packed = b"".join(found) + last
-                    out.append(packer.compress(np.frombuffer(packed, "<u4").astype("<u2").tobytes() if narrow else packed))
+                found = encode_texts([t or b"" for t in raw(part, "text")], memory, whole)
+                packed = [ids + last for ids in found]
+                out = [packer.compress(np.frombuffer(p, "<u4").astype("<u2").tobytes() if narrow else p) for p in packed]
                 yield batch_of(_IDS, [part.column(0), out])
 
     return encode
