@@ -9,7 +9,7 @@ from quire.bridge.sql import with_views
 from quire.checks import check
 from quire.functions import passages as P, text as T
 from quire.operators import knowledge as KB, lines as LN
-from quire.plans import retrieve as R, sessions
+from quire.plans import retrieve as R
 from quire.sources.tables import table
 
 @check(
@@ -244,7 +244,3 @@ def _(spark, folder):
     )
     return rows.select("template_id", T.clear_unresolved(T.fill_text(F.col("text"), F.col("answers"))).alias("text"))
 
-
-@check("cq25_session_answers")
-def _(spark, folder):
-    return sessions.session_answers(table(spark, folder, "conversations"), ["purpose", "venue", "prepared_by"])
