@@ -235,7 +235,8 @@ def _(spark, folder):
 
 @check("fn42_prose_rows", head_sql("select doc_id, unnest(['Stock check', 'Invoice run', 'Post the ledger']) as process, unnest(['Daily', '', '']) as frequency, unnest(['', 'Manual', 'Automatic']) as manual_auto, unnest(['', 'Gap', '']) as fit_gap from h where v >= 2"))
 def _(spark, folder):
-    notes = N.profile_notes(spark, folder, N.FUNCTIONS).where("doc_id % 4 >= 2")
+    # the other notes hold rows with bars only, of which none reads as prose
+    notes = N.profile_notes(spark, folder, N.FUNCTIONS)
     rows = L.prose_rows(T.section_blob(F.col("text"), ["Functions"]))
     return notes.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.process", "r.frequency", "r.manual_auto", "r.fit_gap")
 

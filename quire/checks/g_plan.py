@@ -11,6 +11,7 @@ from quire.checks import check
 from quire.operators import gate as G, policy as P
 from quire.plans import audit as A, extract as X, fill
 from quire.sources.tables import table
+from quire.streaming.replay import new_root
 
 
 @check("fn30_decide", with_views("plan", "select job, node_id, decision from plan"))
@@ -324,3 +325,22 @@ def _(spark, folder):
     best = X.best_fact(B.facts(spark, folder))
     back = read_facts_json(facts_json(best))
     return back.select("doc_id", "role", "ord", F.col("value").cast("double").alias("number"))
+
+
+@check(
+    "sc13_run_artifacts",
+    with_views(
+        "plan writes",
+        # every third job ran again: with fewer instructions, and every sixth without any write
+        "select 'plan' as made, job, node_id, decision as state from plan where job % 3 <> 0 or rn % 2 = 0 union all "
+        "select 'writes', job, node_id, status from writes where job % 3 <> 0 or (cast(node_id as int) % 2 = 0 and job % 6 <> 0)",
+    ),
+)
+def _(spark, folder):
+    root = new_root(spark, "artifacts")
+    plan, writes = B.plan(spark, folder), B.writes(spark, folder)
+    A.run_artifacts_sink({"plan": plan, "writes": writes}, root)
+    even = "job % 3 = 0 and cast(node_id as int) % 2 = 0"
+    A.run_artifacts_sink({"plan": plan.where(even), "writes": writes.where(f"{even} and job % 6 <> 0")}, root, jobs=plan.where("job % 3 = 0"))
+    shape = lambda name, df, state: A.run_artifacts(spark, root, name, df.schema).select(F.lit(name).alias("made"), "job", "node_id", F.col(state).alias("state"))
+    return shape("plan", plan, "decision").unionByName(shape("writes", writes, "status"))

@@ -8,7 +8,7 @@ from quire.bridge import grids as B, notes as N, plans as BP
 from quire.bridge.sql import with_views
 from quire.checks import check
 from quire.functions import text as T, values as X
-from quire.operators import cells as G, diff as D
+from quire.operators import cells as G, diff as D, linediff as LD
 from quire.plans import spec as S
 from quire.sources.tables import table
 
@@ -37,12 +37,57 @@ def _(spark, folder):
     return D.cell_diff(B.cells_a(spark, folder), B.cells_b(spark, folder)).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
-@check("cq14_diff_versions_lines")
-def _(spark, folder):
-    # every document against a copy with one line changed and one added
+def edited(spark, folder):
+    """Every document against a copy with another first line, a closing line and, every second one, a line put in after its first."""
     docs = table(spark, folder, "documents")
-    changed = F.concat(F.regexp_replace("text", r"(?s)^([^\n]*)\n", "$1 (edited)\n"), F.lit("\nA closing line."))
-    return D.line_diff(docs.select(F.col("doc_id").alias("pair"), F.col("text").alias("old"), changed.alias("new")))
+    text = F.coalesce("text", F.lit(""))
+    middle = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\nMiddle line "), F.col("doc_id"), F.lit("\n"))).otherwise("\n")
+    at = F.instr(text, "\n")
+    body = F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), middle, F.substring(text, at + 1, F.length(text)))).otherwise(text)
+    return docs.select(
+        F.col("doc_id").alias("pair"), F.concat(F.lit("Old head "), "doc_id", F.lit("\n"), text, F.lit("\nKept tail")).alias("old"),
+        F.concat(F.lit("New head "), "doc_id", F.lit("\n"), body, F.lit("\nKept tail\nA closing line.")).alias("new"),
+    )
+
+
+def _ls(text: str) -> str:
+    """The lines of a text that are not blank, without trailing blanks."""
+    breaks = r"'\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'"
+    return rf"list_filter(list_transform(regexp_split_to_array({text}, {breaks}), lambda s: regexp_replace(s, '\s+$', '')), lambda s: s <> '')"
+
+
+_SIDES = {
+    "d": "select doc_id, coalesce(text, '') as t, instr(coalesce(text, ''), chr(10)) as p, doc_id % 2 = 0 and instr(coalesce(text, ''), chr(10)) > 0 as mid from documents",
+    "s": f"select doc_id, mid, {_ls("case when mid then substr(t, 1, p - 1) else '' end")} as a, list_append({_ls('case when mid then substr(t, p + 1) else t end')}, 'Kept tail') as b from d",
+}
+
+
+@check(
+    "cq14_diff_versions_lines",
+    with_views(
+        "",
+        "select doc_id as pair, (generate_subscripts(r, 1) - 1)::int as pos, unnest(r).k as type, unnest(r).t as text from (select doc_id, list_concat([{'k': 'removed', 't': 'Old head ' || doc_id}, {'k': 'added', 't': 'New head ' || doc_id}], "
+        "case when mid then list_concat(list_transform(a, lambda x: {'k': 'context', 't': x}), [{'k': 'added', 't': 'Middle line ' || doc_id}]) else [] end, "
+        "list_transform(case when len(b) <= 4 then b else [b[1], b[2], '…', b[-2], b[-1]] end, lambda x: {'k': 'context', 't': x}), [{'k': 'added', 't': 'A closing line.'}]) as r from s)",
+        **_SIDES,
+    ),
+)
+def _(spark, folder):
+    return LD.line_diff(edited(spark, folder))
+
+
+@check(
+    "cq14_line_changes",
+    with_views(
+        "",
+        "select doc_id as pair, 'line 1' as field, 'updated' as change, 'Old head ' || doc_id as before, 'New head ' || doc_id as after from s "
+        "union all select doc_id, 'line ' || (2 + len(a)), 'added', '', 'Middle line ' || doc_id from s where mid and len(a) > 0 union all select doc_id, 'line 2', 'added', '', 'Middle line ' || doc_id from s where mid and len(a) = 0 "
+        "union all select doc_id, 'line ' || (2 + len(a) + len(b)), 'added', '', 'A closing line.' from s",
+        **_SIDES,
+    ),
+)
+def _(spark, folder):
+    return LD.line_changes(edited(spark, folder))
 
 
 @check(

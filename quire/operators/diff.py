@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import text as T
 from quire.operators.cells import has_token, is_written
-
-CONTEXT = 2
-
+from quire.operators.linediff import line_changes
 
 def cell_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Added, removed and updated cells of (book, sheet, r, c, value) tables; equal cells are dropped."""
@@ -27,44 +22,10 @@ def cell_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-_LINE = "pair bigint, pos int, type string, text string"
-
-
-def _line_rows(pair: int, old: list[str], new: list[str]) -> list[tuple]:
-    """Context, removed and added lines; long equal stretches keep two lines at each end."""
-    rows: list[tuple[str, str]] = []
-    if old != new:
-        for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(a=old, b=new, autojunk=False).get_opcodes():
-            if tag == "equal":
-                same = old[i1:i2] if i2 - i1 <= 2 * CONTEXT else [*old[i1:i1 + CONTEXT], "…", *old[i2 - CONTEXT:i2]]
-                rows += [("context", line) for line in same]
-            else:
-                rows += [("removed", line) for line in old[i1:i2]] + [("added", line) for line in new[j1:j2]]
-    return [(pair, i, kind, line) for i, (kind, line) in enumerate(rows)]
-
-
-def line_diff(pairs: DataFrame) -> DataFrame:
-    """Line diff of (pair, old, new) texts: pair, pos, type, text.
-
-    Each pair is one row, so pairs are spread as they come and no shuffle is needed; whole texts are
-    compared, without a line limit. Blank lines do not count and lines lose trailing blanks.
-    """
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for pair, old, new in zip(batch["pair"], batch["old"], batch["new"]):
-                sides = [[x.rstrip() for x in (t or "").splitlines() if x.strip()] for t in (old, new)]
-                out += _line_rows(pair, *sides)
-            yield pd.DataFrame(out, columns=["pair", "pos", "type", "text"])
-
-    return pairs.select(F.col("pair").cast("bigint").alias("pair"), "old", "new").mapInPandas(run, _LINE)
-
-
 def diff_versions(pairs: DataFrame, cells_old: DataFrame | None = None, cells_new: DataFrame | None = None) -> DataFrame:
     """Change rows of texts, and of cells where both sides are cell tables."""
-    lines = line_diff(pairs).where("type <> 'context'").select(
-        F.col("pair").cast("string").alias("where"), F.col("type").alias("change"), F.col("text").alias("what")
+    lines = line_changes(pairs).select(
+        F.concat_ws("!", F.col("pair").cast("string"), "field").alias("where"), "change", F.concat_ws(" -> ", "before", "after").alias("what")
     )
     if cells_old is None or cells_new is None:
         return lines

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quire.operators.policy import BLOCKED, FILL_AUDIT, NO_EVIDENCE, NOT_FOUND, REVIEW, TYPE_MISMATCH
 
@@ -83,7 +87,36 @@ def job_summary(summary: DataFrame, queue: DataFrame, reports: DataFrame) -> Dat
     )
 
 
-def run_artifacts_sink(tables: dict[str, DataFrame], path: str, job: str = "job") -> None:
-    """One parquet folder per table below ``path``, split by job."""
+def run_artifacts_sink(tables: dict[str, DataFrame], path: str, job: str = "job", jobs: DataFrame | None = None) -> None:
+    """Store what a run made of its jobs: one folder per table below ``path``, and the run's jobs in ``runs``.
+
+    The tables are written first, under a name of the run, the list of its jobs last. A job belongs to the last run that lists
+    it, so a repeated job replaces all its rows in all tables, also where it has none any more, and a run that
+    fails on the way changes nothing. ``jobs`` (one column) names the run's jobs where some may have no row at all.
+    """
+    root, run = path.rstrip("/"), uuid.uuid4().hex
+    listed = None if jobs is None else jobs.select(F.col(job).alias("job"))
     for name, df in tables.items():
-        df.write.mode("append").partitionBy(job).parquet(f"{path.rstrip('/')}/{name}")
+        df.write.parquet(f"{root}/{name}/run={run}")
+        made = df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}/run={run}").select(F.col(job).alias("job"))
+        listed = made if listed is None else listed.unionByName(made)
+    spark = next(iter(tables.values())).sparkSession
+    before = _runs(spark, root, listed.schema["job"].dataType.simpleString()).agg(F.max("number")).first()[0] or 0
+    listed.distinct().withColumns({"run": F.lit(run), "number": F.lit(before + 1).cast("long")}).write.mode("append").parquet(f"{root}/runs")
+
+
+def _runs(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    try:
+        return spark.read.schema(f"job {kind}, run string, number long").parquet(f"{root}/runs")
+    except AnalysisException as missing:  # no run has ended yet
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], f"job {kind}, run string, number long")
+
+
+def run_artifacts(spark: SparkSession, path: str, name: str, schema: StructType, job: str = "job") -> DataFrame:
+    """The rows of one table, each job's as its last run left them."""
+    root = path.rstrip("/")
+    last = _runs(spark, root, schema[job].dataType.simpleString()).groupBy(F.col("job").alias("__job")).agg(F.max_by("run", "number").alias("__run"))
+    rows = spark.read.schema(StructType([*schema.fields, StructField("run", StringType())])).parquet(f"{root}/{name}")
+    return rows.join(last, F.col(job).eqNullSafe(F.col("__job")) & (F.col("run") == F.col("__run")), "left_semi").drop("run")
