@@ -10,6 +10,7 @@ Each text is scanned by itself in one pass; nothing is shuffled.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +36,8 @@ NOTICES = (
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("all rights reserved", "proprietary"),
 )
+# Short names in licences. They and all numbers tell licences apart, so no edit may touch them.
+NAMES = frozenset("cc by nc nd sa mit gnu gpl lgpl agpl mpl bsd isc apache".split())
 #: One edit is allowed for so many characters of a notice, and this many at most.
 PER_EDIT = 12
 MOST_EDITS = 4
@@ -58,6 +61,11 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TABLE).split()
 
 
+def held(line: str) -> str:
+    """The numbers and short names of a line of words, in order, put together."""
+    return "".join(w for w in line.split() if w in NAMES or any("0" <= c <= "9" for c in w))
+
+
 def allowed(notice: str) -> int:
     return max(1, min(MOST_EDITS, len(notice) // PER_EDIT))
 
@@ -65,22 +73,26 @@ def allowed(notice: str) -> int:
 @functools.cache
 def _machine(notices: tuple[tuple[str, str], ...]):
     """The automaton of all pieces, and the fuzzy pattern of each notice."""
-    scan, patterns, held = ahocorasick.Automaton(), [], {}
+    scan, patterns, pieces = ahocorasick.Automaton(), [], {}
     for n, (notice, _) in enumerate(notices):
         k = allowed(notice)
         cuts = [round(j * len(notice) / (k + 1)) for j in range(k + 2)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            held.setdefault(notice[a:b], []).append((n, a))
+            pieces.setdefault(notice[a:b], []).append((n, a))
         patterns.append(regex.compile(rf"(?e)(?<![^ ])(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}(?![^ ])"))
-    for piece, places in held.items():
+    for piece, places in pieces.items():
         scan.add_word(piece, (len(piece), places))
     scan.make_automaton()
     return scan, patterns
 
 
 def fuzzy_notices(line: str, notices: tuple[tuple[str, str], ...] = NOTICES) -> list[Found]:
-    """Every notice in a line of words, each place once: its label, span in words, edits and likeness."""
+    """Every notice in a line of words, each place once: its label, span in words, edits and likeness.
+
+    Numbers and short names of the place must be the notice's own; only what stands around them may differ.
+    """
     scan, patterns = _machine(notices)
+    blanks: list[int] | None = None
     windows: dict[int, list[tuple[int, int]]] = {}
     for end, (size, places) in scan.iter(line):
         for n, offset in places:
@@ -98,19 +110,26 @@ def fuzzy_notices(line: str, notices: tuple[tuple[str, str], ...] = NOTICES) ->
                 merged.append([a, b])
         for a, b in merged:
             for hit in patterns[n].finditer(line, max(0, a - 1), min(len(line), b + 1)):
+                if held(hit.group()) != held(notice):
+                    continue
+                if blanks is None:
+                    blanks = [m.start() for m in regex.finditer(" ", line)]
                 edits = sum(hit.fuzzy_counts)
-                first = line.count(" ", 0, hit.start() + (line[hit.start() : hit.start() + 1] == " "))
+                first = bisect.bisect_left(blanks, hit.start() + (line[hit.start() : hit.start() + 1] == " "))
                 out.append(Found(label, first, first + hit.group().strip().count(" "), edits, 1 - edits / len(notice)))
     return _best(out)
 
 
 def _best(found: list[Found]) -> list[Found]:
-    """Of notices that overlap, those with the fewest edits, and the longest of these."""
+    """Of notices that overlap, those with the fewest edits, and the longest of these; ties go to the first, then to the lesser label."""
+    firsts: list[int] = []
     kept: list[Found] = []
     for f in sorted(found, key=lambda f: (f.edits, f.first_word - f.last_word, f.first_word, f.label)):
-        if all(f.last_word < g.first_word or g.last_word < f.first_word for g in kept):
-            kept.append(f)
-    return sorted(kept, key=lambda f: f.first_word)
+        at = bisect.bisect_left(firsts, f.first_word)
+        if (at == 0 or kept[at - 1].last_word < f.first_word) and (at == len(kept) or f.last_word < firsts[at]):
+            firsts.insert(at, f.first_word)
+            kept.insert(at, f)
+    return kept
 
 
 def exact_phrases(line: bytes, phrases: tuple[tuple[str, str], ...] = PHRASES) -> list[tuple[str, int]]:
@@ -118,9 +137,10 @@ def exact_phrases(line: bytes, phrases: tuple[tuple[str, str], ...] = PHRASES) -
     padded, out = b" " + line + b" ", []
     for phrase, label in phrases:
         wanted = f" {phrase} ".encode()
-        at = padded.find(wanted)
+        at, words, done = padded.find(wanted), 0, 0
         while at >= 0:
-            out.append((label, padded.count(b" ", 0, at)))
+            words, done = words + padded.count(b" ", done, at), at
+            out.append((label, words))
             at = padded.find(wanted, at + 1)
     return out
 
@@ -154,6 +174,7 @@ def _scanned(phrases: tuple, notices: tuple):
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, notices=NOTICES) -> DataFrame:
     """One row per row: ``id``, ``n_words``, ``phrases`` (label, first word) and ``notices`` (label, span in words, edits,
-    score). A null or empty text has no words and empty lists; repeated rows stay; an empty table gives no rows.
+    score). A null or empty text has no words and empty lists; repeated rows stay; an empty table gives no rows. Other columns
+    stay outside. Very long texts are scanned whole, in time that grows with their length.
     """
     return keyed_text(docs, id_col, text_col).mapInArrow(_scanned(tuple(phrases), tuple(notices)), _SCAN_DDL)

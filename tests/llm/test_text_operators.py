@@ -234,5 +234,21 @@ def test_licences_against_brute_force(spark):
             for _ in range(rng.randint(0, k + 2)):
                 changed[rng.randrange(len(changed))] = rng.choice(alphabet)
             line = " ".join(("xyz " + "".join(changed) + " abc").split())
-            plain = bool(regex.search(rf"(?<![^ ])(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}(?![^ ])", line))
+            hits = regex.finditer(rf"(?e)(?<![^ ])(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}(?![^ ])", line)
+            plain = any(licenses.held(hit.group()) == licenses.held(notice) for hit in hits)
             assert bool(licenses.fuzzy_notices(line, ((notice, "x"),))) == plain
+
+
+def test_licences_that_differ_by_a_number_or_a_short_name():
+    def labels(text):
+        return [f.label for f in licenses.fuzzy_notices(b" ".join(licenses.words_of(text.encode())).decode())]
+
+    for text in (
+        "This work is licensed under the GNU General Public License version 2", "licensed under CC BY ND 4.0", "licensed under the Apache License, Version 1.0",
+        "released under the mut license", "licensed under cc by nd 4 0", "licensed under cc by 3 0",
+    ):
+        assert labels(text) == [], text
+    assert labels("this werk is licensed under the GNU Generl Public License version 3") == ["gpl-3"]
+    assert labels("licensd under CC-BY-NC 4.0") == ["cc-by-nc"] and labels("licensed undr CC BY 4.0!") == ["cc-by"] and labels("Licensed under the Apach License 2.0") == []
+    many = "released under the mit licence and then " * 20_000
+    assert len(licenses.fuzzy_notices(many)) == 20_000
