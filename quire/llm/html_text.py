@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -50,9 +50,22 @@ ADJACENT, PROXIMITY = 0.2, 0.6
 
 _TAG = re.compile(
     r"<!--(?:.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NAMING = frozenset("class id role itemprop".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-_HIDDEN = re.compile(r"""\shidden(?=[\s=/]|\Z)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+#: Elements that the search for an element to close stops at or looks for.
+_STOPS = SCOPES | {"p", *SAME} | {t for group in SAME.values() for t in group}
+#: Steps in the tree beyond which blocks are no neighbours.
+FAR = 64
+
+
+@dataclass(eq=False)
+class Node:
+    """A block element: its parent and its depth."""
+
+    parent: Node | None
+    depth: int
 
 
 @dataclass
@@ -60,7 +73,7 @@ class Block:
     text: str
     linked: int
     tag: str
-    path: tuple[int, ...]
+    node: Node
     content: bool
     named: bool
     boiler: bool
@@ -70,7 +83,9 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    path: tuple[int, ...]
+    #: The nearest block element at or above, with its own name and marks.
+    holder: _Open | None = None
+    node: Node | None = None
     content: bool = False
     named: bool = False
     boiler: bool = False
@@ -79,16 +94,37 @@ class _Open:
     skipped: bool = False
 
 
+def hidden(attributes: dict[str, str]) -> bool:
+    """An element that a browser does not show, by its own attributes."""
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_NONE.search(attributes.get("style", "")))
+
+
+def attributes_of(inside: str) -> dict[str, str]:
+    """Attributes of a tag by their lower-case names; the first of equal names counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(inside):
+        value = m[2] or ""
+        found.setdefault(m[1].lower(), value[1:-1] if value[:1] in "\"'" else value)
+    return found
+
+
 @dataclass
 class _Reader:
     """Reads a page into blocks, closing elements as browsers do."""
 
     page: str
     blocks: list[Block] = field(default_factory=list)
-    stack: list[_Open] = field(default_factory=lambda: [_Open("", ())])
+    stack: list[_Open] = field(default_factory=list)
+    #: Places in the stack of the elements that end a search, and how many elements of each name are open.
+    stops: list[int] = field(default_factory=list)
+    count: Counter = field(default_factory=Counter)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-    made: int = 0
+
+    def __post_init__(self) -> None:
+        root = _Open("", node=Node(None, 0))
+        root.holder = root
+        self.stack.append(root)
 
     def run(self) -> list[Block]:
         at, page = 0, self.page
@@ -122,8 +158,8 @@ class _Reader:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                holder = next(o for o in reversed(self.stack) if o.tag in BLOCKS or not o.tag)
-                self.blocks.append(Block(text, self.linked, holder.tag, holder.path, holder.content, holder.named, holder.boiler, holder.header))
+                holder = self.stack[-1].holder
+                self.blocks.append(Block(text, self.linked, holder.tag, holder.node, holder.content, holder.named, holder.boiler, holder.header))
             self.parts, self.linked = [], 0
 
     def start(self, name: str, attributes: str) -> None:
@@ -138,24 +174,36 @@ class _Reader:
         if name in VOID:
             return
         up = self.stack[-1]
-        self.made += 1
-        new = _Open(name, (*up.path, self.made) if name in BLOCKS else up.path, up.content, up.named, up.boiler, up.header, up.link or name == "a", up.skipped)
-        if name in SKIPPED or attributes and _HIDDEN.search(attributes):
+        new = _Open(name, up.holder, None, up.content, up.named, up.boiler, up.header, up.link or name == "a", up.skipped)
+        if name in BLOCKS:
+            new.holder, new.node = new, Node(up.holder.node, up.holder.node.depth + 1)
+        own = attributes_of(attributes) if attributes else {}
+        if name in SKIPPED or own and hidden(own):
             new.skipped = True
         new.content |= name in CONTENT_TAGS
         new.header |= name == "header"
         new.boiler |= name in BOILER_TAGS
-        if attributes and name not in ("html", "body", "p", *HEADINGS):
-            names = {p.lower() for m in _NAMES.finditer(attributes) for p in _PARTS.findall(m[1])}
+        if own and name not in ("html", "body", "p", *HEADINGS):
+            names = {p.lower() for a in _NAMING & own.keys() for p in _PARTS.findall(own[a])}
             new.boiler |= not names.isdisjoint(BOILER_NAMES)
             new.named |= not names.isdisjoint(CONTENT_NAMES)
+        if name in _STOPS:
+            self.stops.append(len(self.stack))
         self.stack.append(new)
+        self.count[name] += 1
+
+    def cut(self, size: int) -> None:
+        """Close all elements from this place on."""
+        while len(self.stack) > size:
+            self.count[self.stack.pop().tag] -= 1
+        while self.stops and self.stops[-1] >= size:
+            self.stops.pop()
 
     def close_nearest(self, names: set[str]) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
+        for k in reversed(self.stops):
             tag = self.stack[k].tag
             if tag in names:
-                del self.stack[k:]
+                self.cut(k)
                 return
             if tag in SCOPES:
                 return
@@ -163,10 +211,11 @@ class _Reader:
     def end(self, name: str) -> None:
         if name in BLOCKS:
             self.flush()
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == name:
-                del self.stack[k:]
-                return
+        if self.count[name]:
+            k = len(self.stack) - 1
+            while self.stack[k].tag != name:
+                k -= 1
+            self.cut(k)
 
 
 def read_blocks(page: str) -> list[Block]:
@@ -183,15 +232,28 @@ def block_value(block: Block) -> float:
     return value
 
 
+def distance(a: Node, b: Node) -> int | None:
+    """Steps between two block elements of a page in its tree; None beyond ``FAR``."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+        if steps > FAR:
+            return None
+    return steps
+
+
 def ties(blocks: Sequence[Block]) -> list[tuple[int, int, float]]:
     """Edges of neighbours: each block with the next one, and with the last one before that under the same parent."""
     edges, last = [], {}
     for k, block in enumerate(blocks):
-        parent = block.path[:-1]
+        parent = id(block.node.parent or block.node)
         if k:
-            a, b = blocks[k - 1].path, block.path
-            shared = next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-            edges.append((k - 1, k, ADJACENT + PROXIMITY / (1 + max(0, len(a) + len(b) - 2 * shared - 2))))
+            apart = distance(blocks[k - 1].node, block.node)
+            edges.append((k - 1, k, ADJACENT + (0.0 if apart is None else PROXIMITY / (1 + max(0, apart - 2)))))
         before = last.get(parent)
         if before is not None and before < k - 1:
             edges.append((before, k, PROXIMITY / 2))
@@ -218,12 +280,27 @@ def minimum_cut(values: Sequence[float], edges: Sequence[tuple[int, int, float]]
                 waiting.append(j)
             near[k] = {}
     open_ = [k for k in range(n) if label[k] is None]
-    if open_:
-        for k, side in zip(open_, _max_flow([value[k] for k in open_], [{open_.index(j): w for j, w in near[k].items()} for k in open_]), strict=True):
+    for part in _joined(open_, near):
+        place = {k: i for i, k in enumerate(part)}
+        for k, side in zip(part, _max_flow([value[k] for k in part], [{place[j]: w for j, w in near[k].items()} for k in part]), strict=True):
             label[k] = side
     return [bool(x) for x in label]
 
 
+def _joined(nodes: list[int], near: list[dict[int, float]]) -> Iterator[list[int]]:
+    """The connected parts of the undecided nodes; each is cut by itself."""
+    seen: set[int] = set()
+    for node in nodes:
+        if node not in seen:
+            seen.add(node)
+            part = [node]
+            for k in part:
+                new = [j for j in near[k] if j not in seen]
+                seen.update(new)
+                part += new
+            yield sorted(part)
+
+
 def _max_flow(value: list[float], near: list[dict[int, float]]) -> list[bool]:
     """Nodes that the source reaches once no augmenting path is left (shortest paths first)."""
     n = len(value)
@@ -272,6 +349,10 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row: ``id``, ``url``, ``text``. A null or empty page has an empty text; repeated rows stay."""
+    """One row per row: ``id``, ``url``, ``text``.
+
+    A null or empty page has an empty text; repeated rows stay; an empty table gives no rows. Other columns stay outside.
+    On a tie of the cut the larger side is boilerplate. Long pages and deep nesting take memory and time in their length.
+    """
     plain = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return plain.mapInArrow(_extracted, "id long, url string, text string")

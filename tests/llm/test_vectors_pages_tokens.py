@@ -224,3 +224,29 @@ def test_planes_round_trip_against_the_library(spark, bits):
         at += row.n_tokens
     assert sorted((r.id, r.n_tokens, r.ids_crc32) for r in found) == sorted(wanted) and [r.id for r in found] == sorted(r[0] for r in rows)
     assert planes.planes_round_trip(frame.limit(0), BYTES).count() == 0
+
+
+def test_pages_with_odd_attributes_and_deep_nesting():
+    kept = '<article><p class="md:flex hidden lg:block">One long sentence of the article stands here, and it stays.</p><p title="a hidden thing">Another sentence of the article, which stays as well.</p>'
+    lost = '<p hidden>Nobody sees this sentence of the page at all.</p><p style="color:red; display : none">Nor this one, whatever it says.</p><div aria-hidden="TRUE"><p>And not this one either, of course.</p></div></article>'
+    assert html_text.main_text(kept + lost) == "One long sentence of the article stands here, and it stays.\nAnother sentence of the article, which stays as well."
+    assert html_text.main_text('<article data-class="ad"><p data-id="nav">A sentence of the article that no advert holds.</p></article>') == "A sentence of the article that no advert holds."
+    sentence = "A sentence of the article that is read from far below."
+    for open_, close in (("<div>", "</div>"), ("<b>", "</b>"), ("<ul><li>", "</li></ul>")):
+        deep = "<article>" + open_ * 50_000 + f"<p>{sentence}</p>" + close * 50_000 + f"<p>{sentence}</p></article>"
+        assert html_text.main_text(deep) == f"{sentence}\n{sentence}"
+    assert html_text.main_text("<article>" + "</i>" * 50_000 + "<b>" * 50_000 + "</i>" * 50_000 + f"<p>{sentence}</p>") == sentence
+
+
+def test_distance_in_the_tree():
+    root = html_text.Node(None, 0)
+    chains = []
+    for _ in range(2):
+        node = root
+        for _ in range(5):
+            node = html_text.Node(node, node.depth + 1)
+        chains.append(node)
+    assert html_text.distance(*chains) == 10 and html_text.distance(root, chains[0]) == 5 and html_text.distance(root, root) == 0
+    for _ in range(html_text.FAR):
+        chains[0] = html_text.Node(chains[0], chains[0].depth + 1)
+    assert html_text.distance(*chains) is None
