@@ -9,7 +9,7 @@ from quire.bridge.sql import with_views
 from quire.checks import check
 from quire.functions import text as T, values as X
 from quire.operators import cells as G, diff as D, linediff as LD
-from quire.plans import spec as S
+from quire.plans import spec as S, templates as TP
 from quire.sources.tables import table
 
 
@@ -449,3 +449,32 @@ def _(spark, folder):
     ranges = forms.select("book", "sheet").distinct().selectExpr("book", "sheet", "1 as min_r", "1 as min_c", "1 as max_r", "4 as max_c")
     moved = ranges.withColumns({"min_r": F.col("min_r") + 1, "max_r": F.col("max_r") + 1})
     return D.structural_qa(forms, out, ranges, moved).select("book", "check", "severity")
+
+
+_ASKED = "'customer_name,order_id,line_text,item_name,order_date,status,ship_mode,contact_person,free_text,remarks,' || lower(p_type) || '_code,' || replace(lower(p_brand), '#', '_') || '_code'"
+_LABELS = "'Customer Name|Order Id|Line.text|Item Name|Order Date|Status|Ship Mode|Contact person'"
+
+
+@check(
+    "cq26_analyze_templates",
+    with_views(
+        "forms tpl",
+        f"select p_partkey as template_id, case when p_partkey % 7 = 0 then 'document_title' else {_ASKED} end as ids, case when p_partkey % 7 = 0 then 'What is the title of this document?' else 'What is the Customer Name?' end as question, "
+        f"case when p_partkey % 5 = 0 then trim(split_part(case when p_partkey % 7 = 0 then 'Nothing to fill in here' else text end, chr(10), 1)) when p_partkey % 7 = 0 then '' else {_LABELS} end as outline, 0::bigint as tables, p_partkey % 7 <> 0 as literal, "
+        "left(case when p_partkey % 7 = 0 then 'Nothing to fill in here' else text end, 240) as summary from part join tpl on template_id = p_partkey "
+        "union all select -1 - book, case book % 3 when 0 then concat('order_details,customer,meeting_date,the_north_team_looks_after_', replace(p_name, ' ', '_'), ',a1,total_amount,lines_of_', lower(p_type), ',due_date,sum_a10_a11') "
+        "when 1 then concat('meeting_information_of_', replace(lower(p_brand), '#', '_'), ',date,venue,held_on,action_items,attendees_vendor,status,remarks') else 'status_of_the_works,department,kept_by_hand,zumbra,prepared_by,b2,krell' end, "
+        "case book % 3 when 0 then 'What is the Order details?' when 1 then concat('What is the Meeting information of ', p_brand, '?') else 'What is the Status of the works?' end, 'Form', 1, book % 3 <> 1, '# Form' from forms",
+    ),
+)
+def _(spark, folder):
+    blank = F.col("template_id") % 7 == 0
+    texts = N.template_texts(spark, folder).withColumn("text", F.when(blank, "Nothing to fill in here").otherwise(F.col("text")))
+    lines = T.line_table(texts, ["template_id"], "text")
+    paragraphs = lines.select("template_id", F.col("line_no").alias("pos"), F.col("line").alias("text"), ((F.col("template_id") % 5 == 0) & (F.col("line_no") == 0)).alias("heading"))
+    grids = B.mixed_forms(spark, folder).select((-1 - F.col("book")).alias("template_id"), "sheet", "r", "c", "text")
+    made = TP.analyze_templates(paragraphs, grids)
+    summary = F.when(F.col("template_id") < 0, F.element_at(F.split("summary", "\n"), 1)).otherwise(F.col("summary"))
+    return made.select(
+        "template_id", F.array_join("fields.id", ",").alias("ids"), F.get("questions", F.lit(0)).alias("question"), F.array_join("outline", "|").alias("outline"), "tables", "literal", summary.alias("summary")
+    )
