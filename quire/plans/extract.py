@@ -300,7 +300,7 @@ def best_collection(collections: DataFrame, rows: int = PART_ROWS) -> DataFrame:
     last = parts.repartition("doc_id", "role").sortWithinPartitions("doc_id", "role", "part", "at").mapInPandas(_fold, _LAST)
     sized = collections.withColumns({"n": F.size("items").cast("bigint"), "conf": F.col("confidence")})
     won = sized.join(last, ["doc_id", "role", "ord", "n", "conf"], "left_semi").drop("n", "conf")
-    return best_per_group(won.withColumn("__text", F.to_json(F.struct("items", "evidence"))), ["doc_id", "role"], [F.xxhash64("__text"), F.col("__text")]).drop("__text")
+    return best_per_group(won.withColumn("__text", F.to_json(F.struct(*won.columns))), ["doc_id", "role"], [F.xxhash64("__text"), F.col("__text")]).drop("__text")
 
 
 # --- narrative ------------------------------------------------------------------------------------

@@ -10,7 +10,8 @@ from tests.compare import compare, connect
 FOLDER = "/root/testdata/sf0.001"
 NAMES = (
     "ag01_storage_by_area", "sc02_inventory_union", "jn04_attach_loose", "pf10_validate_key", "fn14_fill_text", "cq19_extract_scenarios",
-    "tk04_best_profile", "ag07_best_collection", "cq09_validate_plan", "jn12_cell_diff", "tk07_kb_passages",
+    "tk04_best_profile", "ag07_best_collection", "cq09_validate_plan", "jn12_cell_diff", "tk07_kb_passages", "fn36_kb_codes", "tk06_kb_scope", "sc13_run_artifacts",
+    "ss01_activity_stream", "ss03_session_stream", "cq14_line_changes", "ud03_extract_items",
 )
 
 

@@ -7,8 +7,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from quire.functions import blocks, similarity as S, text as T
-from quire.functions import keys as K
+from quire.functions import keys as K, similarity as S, text as T
+from quire.functions.linescan import read_blocks
 from quire.operators import inventory as I, policy as P
 from quire.operators.ordered import carry_forward, part_rank, running_sum
 from quire.plans import extract as X, sessions
@@ -72,11 +72,11 @@ def test_best_collection_folds_in_order(spark):
         assert got == {role: v[0] for role, v in want.items()}
 
 
-def test_blocks_consume_lines_in_order():
+def test_blocks_consume_lines_in_order(spark):
     text = "Date: 1 May\n  wrapped on\n\nItems:\n- a\n- b\n\nName | Role\nAnn | Lead\nBob | Dev\n\nSummary\n" + "word " * 12
-    kinds = [(b["kind"], b["label"]) for b in blocks.read_blocks(text)]
-    assert kinds == [("pair", "Date"), ("bullets", "Items"), ("table", "Items"), ("prose", "Summary")]
-    assert blocks.read_blocks("Summary\ntoo short") == []
+    docs = spark.createDataFrame([(1, text), (2, "Summary\ntoo short")], "doc_id int, text string")
+    found = read_blocks(docs, "text", ("doc_id",)).orderBy("doc_id", "pos").collect()
+    assert [(r.doc_id, r.kind, r.label) for r in found] == [(1, "pair", "Date"), (1, "bullets", "Items"), (1, "table", "Items"), (1, "prose", "Summary")]
 
 
 def test_scan_reads_no_content(spark, tmp_path):
@@ -100,18 +100,45 @@ def test_versions_and_areas(spark):
     assert [(r.v, r.a) for r in got] == [("1.10", "templates"), ("1.0", "other"), ("1.0", "previews")]
 
 
-def test_session_stream_equals_batch(spark, tmp_path):
-    from quire.streaming.streams import session_stream
-
-    rows = [(c, t, "user", text) for c in range(4) for t, text in enumerate(["hello", "Venue: Hall\nPrepared by: Ann", "a short answer"])]
+def test_sessions_equal_a_walk_over_their_turns(spark):
+    rng = random.Random(4)
+    says = ["hello", "Venue: Hall 1\nPrepared by: Ann", "a short answer", "Purpose: to plan\nand more", "x" * 250, None, " ", "Venue: Hall 2\nthe second", "yes", "no: it is not. It is. Not"]
+    rows = [(c, t, rng.choice(["user", "user", "assistant"]), rng.choice(says)) for c in range(60) for t in range(rng.randint(1, 12))]
+    rows += [(100, t, "user", "yes") for t in range(5000)]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    fields = ["purpose", "venue", "prepared_by"]
-    want = {tuple(r) for r in sessions.session_answers(turns, fields).collect()}
-    turns.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(turns.schema).parquet(str(tmp_path / "in"))
-    query = (
-        session_stream(stream, fields).writeStream.outputMode("update").format("memory").queryName("answers")
-        .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination(60)
-    assert {tuple(r) for r in spark.table("answers").collect()} == want
+    fields = ["purpose", "venue", "prepared_by", "owner"]
+    read = sessions.user_turns(turns).collect()
+    want = {}
+    for r in sorted(read, key=lambda r: (r.conv_id, r.turn)):
+        seen, answers = want.setdefault(r.conv_id, [0, {}])
+        sessions.step(answers, fields, r.text or "", dict(r.found or {}), r.is_notes)
+        want[r.conv_id][0] = seen + 1
+    found = {r.conv_id: (r.turns, r.missing, r.answers) for r in sessions.session_answers(turns, fields).collect()}
+    assert found == {
+        c: (n, ",".join(f for f in fields if not a.get(f)), "; ".join(f"{f}={a[f]}" for f in fields if a.get(f))) for c, (n, a) in want.items()
+    }
+
+
+def test_activity_counts_late_rows_once(spark, tmp_path):
+    from quire.streaming import streams
+
+    put = streams.activity_sink(str(tmp_path))
+    day = lambda *days: spark.createDataFrame([("templates/a.docx", f"2024-01-{d:02d} 12:00:00") for d in days], "key string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    put(day(10, 11), 0)
+    put(day(9, 10, 12), 1)
+    put(day(9, 10, 12), 1)  # the batch is run again
+    put(day(), 2)
+    found = {str(r.day): (r.templates, r["count"], r.late) for r in streams.activity_days(spark, str(tmp_path), "2024-01-13", 5).collect()}
+    assert found == {"2024-01-09": (0, 0, 1), "2024-01-10": (2, 2, 0), "2024-01-11": (1, 1, 0), "2024-01-12": (1, 1, 0), "2024-01-13": (0, 0, 0)}
+
+
+def test_listings_write_only_what_changes(spark, tmp_path):
+    from quire.streaming import streams
+
+    put = streams.latest_sink(str(tmp_path))
+    rows = lambda *found: spark.createDataFrame(found, "key string, last_modified string, etag string").withColumn("last_modified", F.col("last_modified").cast("timestamp"))
+    put(rows(("a", "2024-01-01", "1"), ("a", "2024-01-02", "2"), ("b", "2024-01-01", "1")), 0)
+    put(rows(("a", "2024-01-01", "9"), ("b", "2024-01-01", "2")), 1)
+    put(rows(("a", "2024-01-01", "9"), ("b", "2024-01-01", "2")), 1)
+    assert sorted((r.key, r.etag) for r in streams.latest_objects(spark, str(tmp_path)).collect()) == [("a", "2"), ("b", "2")]
+    assert [r.key for r in spark.read.parquet(f"{tmp_path}/latest/batch=1").collect()] == ["b"]

@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import blocks, keys as K, lists as L
+from quire.functions import keys as K, lists as L
+from quire.functions.linescan import read_blocks
 from quire.operators import knowledge as KB, lines as LN
 from quire.plans import forms, slides
 
@@ -25,10 +26,10 @@ def test_lists_and_texts_are_whole(spark):
     assert len(only(spark, slides.section_points(five, 4))) == 5
 
 
-def test_blocks_take_all_lines():
-    wrapped = "Key: first\n" + "\n".join(f"more {k} words of the value" for k in range(40))
-    found = blocks.read_blocks(wrapped)
-    assert any("more 39 words" in str(b) for b in found)
+def test_blocks_take_all_lines(spark):
+    wrapped = "Key: first\n" + "\n".join(f"more {k} words, of the value" for k in range(40))
+    found = read_blocks(spark.createDataFrame([(1, wrapped)], "doc_id int, text string"), "text", ("doc_id",)).collect()
+    assert len(found) == 1 and "more 39 words" in found[0].value
 
 
 def test_audit_feed_filters_before_any_limit(spark):
@@ -39,7 +40,7 @@ def test_audit_feed_filters_before_any_limit(spark):
 
 def test_passages_are_whole(spark):
     chunks = spark.createDataFrame([("10", 1, "T", "x" * 701, "body", ["10.5"])], "root string, slide_number int, title string, content string, category string, process_codes array<string>")
-    scopes = spark.createDataFrame([(1, "10"), (2, "10")], "qid int, scope string")
+    scopes = spark.createDataFrame([(1, "10", "10"), (2, "10", "10.5")], "qid int, root string, scope string")
     assert [len(r.body) for r in KB.kb_passages(chunks, scopes).collect()] == [701, 701]
 
 
