@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.bridge import kb as K, notes as N
+from quire.bridge import kb as K, notes as N, views as V
 from quire.bridge.sql import with_views
 from quire.checks import check
 from quire.functions import passages as P, text as T
 from quire.operators import knowledge as KB, lines as LN
-from quire.plans import retrieve as R
+from quire.plans import merge as M, retrieve as R
 from quire.sources.tables import table
 
 @check(
@@ -244,3 +244,33 @@ def _(spark, folder):
     )
     return rows.select("template_id", T.clear_unresolved(T.fill_text(F.col("text"), F.col("answers"))).alias("text"))
 
+
+@check(
+    "cq12_merged_cells",
+    "with p as (select p_partkey as doc, p_brand, p_type, p_size from part) "
+    "select doc, 'S' as sheet, unnest([1, 1, 2, 2, 2, 3, 3, 4, 4, 5, 5]) as r, unnest([1, 2, 1, 2, 3, 1, 2, 1, 2, 1, 2]) as c, "
+    "unnest(['Customer Name:', 'Mr ' || p_brand, 'Item Kind', p_type, 'left', 'Status', '-', 'Dear Mr ' || p_brand, '', 'Kind of Mr ' || p_brand, 'of ' || p_type]) as text, "
+    "unnest([null, 'neighbour', null, 'neighbour', null, null, null, 'placeholder', null, 'placeholder', 'placeholder']) as filled from p",
+)
+def _(spark, folder):
+    made = ((1, 1, "Customer Name:"), (1, 2, "  "), (2, 1, "Item Kind"), (2, 2, "[fill in]"), (2, 3, "left"), (3, 1, "Status"), (3, 2, "-"), (4, 1, "Dear {{ Customer Name }}"), (4, 2, ""), (5, 1, "Kind of <<customer_name>>"), (5, 2, "of [Item Kind]"))
+    grid = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(t).alias("text")) for r, c, t in made])
+    parts = table(spark, folder, "part")
+    cells = parts.select((F.col("p_size") % 2).alias("template_id")).distinct().select("template_id", F.lit("S").alias("sheet"), F.explode(grid).alias("x")).select("template_id", "sheet", "x.*")
+    answers = F.create_map(F.lit("Customer Name"), F.concat(F.lit("Mr "), "p_brand"), F.lit("Item Kind"), F.col("p_type"), F.lit("status"), F.lit(""))
+    return M.merged_cells(cells, parts.select(F.col("p_partkey").alias("doc"), (F.col("p_size") % 2).alias("template_id"), answers.alias("answers")))
+
+
+@check(
+    "cq12_generated_files",
+    with_views(
+        "vers",
+        "select part as doc, name as stem, concat('documents/generated/', strftime(created_at, '%Y/%m/%d'), '/', name) as x from (select part, created_at, concat(regexp_replace(split_part(s3_key, '/', -1), '\\.[^.]*$', ''), '_', strftime(created_at, '%Y%m%d_%H%M%S'), "
+        "regexp_extract(s3_key, '(\\.[^./]*)$', 1)) as name from vers)",
+    ),
+)
+def _(spark, folder):
+    docs = V.versions(spark, folder).select(
+        F.col("part").alias("doc"), F.col("s3_key").alias("key"), F.col("created_at").alias("at"), F.lit("").alias("generated_by"), F.lit("").alias("template_id"), F.lit("").alias("template_name"), F.lit(None).cast("string").alias("template_version")
+    )
+    return M.generated_files(docs, "documents/generated/").select("doc", F.col("name").alias("stem"), F.col("s3_key").alias("x"))
