@@ -137,10 +137,18 @@ def _(spark, folder):
     return facts.select("doc_id", "role", "value", "confidence")
 
 
-@check("fn27_narrative_collections")
+@check(
+    "fn27_narrative_collections",
+    with_views(
+        "head",
+        f"select doc_id, 'x_attendees_team_' || p_size as role, concat('[{{\"name\":\"', a, '\"}},{{\"name\":\"', b, '\"}}]') as items, concat('From Team ', p_size, ', ', a, ' and ', b, ' attended') as evidence from h union all "
+        "select doc_id, 'action_items', concat('[{\"task\":\"count the ', p_name, ' stock\",\"owner\":\"', a, '\",\"due_date\":\"2024-08-20\",\"status\":\"Open\"}]'), concat(a, ' will count the ', p_name, ' stock by 20th August, marked open') from h",
+        h=f"select *, o_orderkey as doc_id, {N.PERSON} as a, {N.PERSON2} as b from head",
+    ),
+)
 def _(spark, folder):
     text = (
-        f"concat('From ', p_brand, ', ', {N.PERSON}, ' and ', {N.PERSON2}, ' attended. ', {N.PERSON}, ' will count the ', p_name, ' stock by 20th August, marked open. ')"
+        f"concat('From Team ', p_size, ', ', {N.PERSON}, ' and ', {N.PERSON2}, ' attended. ', {N.PERSON}, ' will count the ', p_name, ' stock by 20th August, marked open. ')"
     )
     docs = N.profile_notes(spark, folder, text).withColumn("default_year", F.lit(2024))
     rows = X.narrative_collections(docs)
