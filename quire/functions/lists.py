@@ -89,12 +89,16 @@ def agenda_items(text: Column) -> Column:
 
 def decision_items(text: Column) -> Column:
     key = F.regexp_extract(text, r"(?i)The key decisions from the meeting were to\s+(.+?)\.", 1)
-    keyed = F.filter(F.transform(F.split(key, r",|\band\b"), lambda p: T.strip(p)), lambda p: F.length(p) > 5)
     said = T.all_found(
         text, r"(?i)(?:It was also decided that|The team agreed that|The team agreed to)\s+([^.]+)"
     )
     spoken = F.filter(F.transform(said, lambda p: T.strip(p)), lambda p: F.length(p) > 8)
-    return F.when(key != "", keyed).otherwise(spoken)
+
+    def chosen(key: Column) -> Column:
+        keyed = F.filter(F.transform(F.split(key, r",|\band\b"), lambda p: T.strip(p)), lambda p: F.length(p) > 5)
+        return F.when(key != "", keyed).otherwise(spoken)
+
+    return T.let(key, chosen)
 
 
 def _cell(parts: Column, i: int, default: str = "") -> Column:
@@ -110,7 +114,7 @@ def action_segments(text: Column) -> Column:
     section = F.regexp_extract(
         text, r"(?is)(?:action items[^:]*:|following action items[^:]*:)\s*(.+?)(?:\. The meeting concluded|\z)", 1
     )
-    whole = F.when(section != "", section).otherwise(text)
+    whole = F.coalesce(F.nullif(section, F.lit("")), text)
     segments = F.transform(F.split(F.regexp_replace(whole, r"\s*\n\s*", " "), ";"), lambda s: T.strip(s, " ."))
     cells = F.transform(F.filter(segments, lambda s: s.contains("|")), T.pipe_cells)
 
@@ -143,9 +147,10 @@ def action_lines(text: Column) -> Column:
 
 def action_rows(notes: Column) -> Column:
     """The line form where there is one, else the segment form of the notes or of their one-line text."""
-    by_line, by_segment = action_lines(notes), action_segments(notes)
-    flat = action_segments(T.strip(T.squeeze(notes)))
-    return F.when(F.size(by_line) > 0, by_line).when(F.size(by_segment) > 0, by_segment).otherwise(flat)
+    def or_else(rows: Column, other: Column) -> Column:
+        return T.let(rows, lambda found: F.when(F.size(found) > 0, found).otherwise(other))
+
+    return or_else(action_lines(notes), or_else(action_segments(notes), action_segments(T.strip(T.squeeze(notes)))))
 
 
 def bullet_item(text: Column) -> Column:

@@ -102,8 +102,11 @@ def ordered_distinct(items: Column, ignore_case: bool = False) -> Column:
     """Duplicates dropped, first occurrence kept."""
     if not ignore_case:
         return F.array_distinct(items)
-    low = F.transform(items, lambda x: F.lower(x))
-    return F.filter(items, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+    def first(xs: Column) -> Column:
+        return let(F.transform(xs, lambda x: F.lower(x)), lambda low: F.filter(xs, lambda x, i: F.array_position(low, F.lower(x)) == i + 1))
+
+    return let(items, first)
 
 
 def is_blank_slot(value: Column) -> Column:

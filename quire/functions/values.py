@@ -75,17 +75,21 @@ def parse_date(text: Column, dayfirst: bool = True, default_year: Column | None
 
 def to_iso_date(text: Column) -> Column:
     """The whole text as one of nine fixed date forms, as yyyy-MM-dd text."""
-    t = F.regexp_replace(F.trim(text), r"[.,;]+$", "")
     iso = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
     dmy = r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})$"
     day_name = rf"(?i)^(\d{{1,2}})\s+({MONTH_NAMES}),?\s+(\d{{4}})$"
     name_day = rf"(?i)^({MONTH_NAMES})\s+(\d{{1,2}}),\s+(\d{{4}})$"
-    return F.coalesce(
-        make_date(_int(_part(t, iso, 1)), _int(_part(t, iso, 2)), _int(_part(t, iso, 3))),
-        make_date(_int(_part(t, dmy, 4)), _int(_part(t, dmy, 3)), _int(_part(t, dmy, 1))),
-        make_date(_int(_part(t, day_name, 3)), month_number(_part(t, day_name, 2)), _int(_part(t, day_name, 1))),
-        make_date(_int(_part(t, name_day, 3)), month_number(_part(t, name_day, 1)), _int(_part(t, name_day, 2))),
-    ).cast("string")
+
+    def read(t: Column) -> Column:
+        # a text has one of the forms at most, so only that one is taken apart
+        return (
+            F.when(t.rlike(iso), make_date(_int(_part(t, iso, 1)), _int(_part(t, iso, 2)), _int(_part(t, iso, 3))))
+            .when(t.rlike(dmy), make_date(_int(_part(t, dmy, 4)), _int(_part(t, dmy, 3)), _int(_part(t, dmy, 1))))
+            .when(t.rlike(day_name), make_date(_int(_part(t, day_name, 3)), month_number(_part(t, day_name, 2)), _int(_part(t, day_name, 1))))
+            .when(t.rlike(name_day), make_date(_int(_part(t, name_day, 3)), month_number(_part(t, name_day, 1)), _int(_part(t, name_day, 2))))
+        ).cast("string")
+
+    return F.get(F.transform(F.array(F.regexp_replace(F.trim(text), r"[.,;]+$", "")), read), F.lit(0))
 
 
 def parse_time(text: Column) -> Column:

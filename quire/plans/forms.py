@@ -59,7 +59,7 @@ def _stripped(notes: DataFrame, text: str) -> DataFrame:
 
 
 def _some(items: Column) -> Column:
-    return F.when(F.size(items) > 0, items)
+    return T.let(items, lambda xs: F.when(F.size(xs) > 0, xs))
 
 
 def extract_meeting(
@@ -80,10 +80,8 @@ def extract_meeting(
     present = T.found(flat, r"(?i)(?:facilitated by|chaired by)\s+[^,]+,\s*with\s+(.+?)\s+attending")
     listed = T.found(flat, r"(?i)(?:attendees?|participants?)\s*[:\-]\s*([^.]+)")
     with_lead = L.split_people(present)
-    people = F.when(
-        present.isNotNull(),
-        F.when(lead.isNotNull() & ~F.array_contains(with_lead, lead), F.concat(F.array(lead), with_lead)).otherwise(with_lead),
-    ).otherwise(L.split_people(F.coalesce(listed, F.lit(""))))
+    led = lambda who: T.let(with_lead, lambda xs: F.when(who.isNotNull() & ~F.array_contains(xs, who), F.concat(F.array(who), xs)).otherwise(xs))
+    people = F.when(present.isNotNull(), T.let(lead, led)).otherwise(L.split_people(F.coalesce(listed, F.lit(""))))
     points = T.ordered_distinct(F.concat(L.agenda_items(flat), L.decision_items(flat)), ignore_case=True)
     title = F.coalesce(
         T.found(flat, r"(?i)(?:The\s+)?([A-Z][^.]{5,120}?Meeting)\s+(?:was conducted|was held|took place)"),
@@ -96,7 +94,7 @@ def extract_meeting(
     return base.select(
         *notes.columns,
         F.coalesce(T.strip(title), by_line, opening).alias("purpose"),
-        F.coalesce(X.to_iso_date(on), F.lit(today)).alias("meeting_date"),
+        F.coalesce(T.let(on, X.to_iso_date), F.lit(today)).alias("meeting_date"),
         T.strip(venue, " ,.").alias("venue"),
         F.coalesce(lead, F.lit(author)).alias("prepared_by"),
         _some(people).alias("attendees_team"),
