@@ -353,27 +353,28 @@ def item_type(text: Column) -> Column:
 
 def flow_steps(text: Column) -> Column:
     """Steps parted by `` ; ``, numbers, lines or sentences."""
-    raw = T.strip(F.coalesce(text, F.lit("")))
-    by_mark = _kept(F.transform(F.split(raw, " ; "), lambda p: T.strip(p)))
-    numbered = _kept(F.transform(T.all_found(raw, r"(?:^|[;\n])\s*\d+[.)]\s*([^\n;]+)"), lambda p: T.strip(p)))
-    by_line = _kept(F.transform(T.lines(raw), T.bare_line))
-    sentences = F.filter(F.transform(F.split(raw, r"(?<=[.!?])\s+"), lambda p: T.strip(p)), lambda p: F.length(p) > 12)
     none = F.array().cast("array<string>")
-    return (
-        F.when(raw == "", none)
-        .when(raw.contains(" ; "), by_mark)
-        .when(F.size(numbered) > 0, numbered)
-        .when(raw.contains("\n"), by_line)
-        .when(F.size(sentences) >= 2, sentences)
-        .otherwise(F.array(raw))
-    )
+
+    def steps(raw: Column) -> Column:
+        by_mark = _kept(F.transform(F.split(raw, " ; "), lambda p: T.strip(p)))
+        numbered = _kept(F.transform(T.all_found(raw, r"(?:^|[;\n])\s*\d+[.)]\s*([^\n;]+)"), lambda p: T.strip(p)))
+        by_line = _kept(F.transform(T.lines(raw), T.bare_line))
+        sentences = F.filter(F.transform(F.split(raw, r"(?<=[.!?])\s+"), lambda p: T.strip(p)), lambda p: F.length(p) > 12)
+        told = F.when(raw.contains("\n"), by_line).otherwise(T.let(sentences, lambda xs: F.when(F.size(xs) >= 2, xs).otherwise(F.array(raw))))
+        return (
+            F.when(raw == "", none).when(raw.contains(" ; "), by_mark)
+            .otherwise(T.let(numbered, lambda xs: F.when(F.size(xs) > 0, xs).otherwise(told)))
+        )
+
+    return T.let(T.strip(F.coalesce(text, F.lit(""))), steps)
 
 
 def item_flow(item: Column, features: Column, overview: Column) -> Column:
     """Steps of one item: its own, its acceptance, its description, its Features, else a default."""
-    own, acceptance, description = (flow_steps(item[c]) for c in ("flow", "acceptance", "description"))
+    def long_enough(steps: Column, least: int, other: Column) -> Column:
+        return T.let(steps, lambda xs: F.when(F.size(xs) >= least, xs).otherwise(other))
+
     name = F.when(T.strip(item["name"]) == "", "this step").otherwise(T.strip(item["name"]))
-    about = flow_steps(overview)
     story = F.array(
         F.concat(F.lit("Open "), name), F.lit("Enter required details and validate mandatory fields"),
         F.lit("Submit and record the outcome"),
@@ -382,16 +383,11 @@ def item_flow(item: Column, features: Column, overview: Column) -> Column:
         F.concat(F.lit("Start "), name), F.concat(F.lit("Complete required checks for "), name),
         F.lit("Record the outcome and continue the process"),
     )
-    epic = item["type"] == "Epic"
-    return (
-        F.when(T.strip(F.coalesce(item["flow"], F.lit(""))) != "", own)
-        .when(F.size(acceptance) >= 2, acceptance)
-        .when(F.size(description) >= 2, description)
-        .when(epic & (F.size(features) > 0), features)
-        .when(epic & (F.size(about) > 0), about)
-        .when(item["type"] == "User Story", story)
-        .otherwise(plain)
-    )
+    last = F.when(item["type"] == "User Story", story).otherwise(plain)
+    epic = F.when(F.size(features) > 0, features).otherwise(long_enough(flow_steps(overview), 1, last))
+    other = F.when(item["type"] == "Epic", epic).otherwise(last)
+    told = long_enough(flow_steps(item["acceptance"]), 2, long_enough(flow_steps(item["description"]), 2, other))
+    return F.when(T.strip(F.coalesce(item["flow"], F.lit(""))) != "", flow_steps(item["flow"])).otherwise(told)
 
 
 def polish_items(df: DataFrame, items: str, overview: Column) -> DataFrame:

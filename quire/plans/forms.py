@@ -175,9 +175,12 @@ def extract_requirements(
     named = T.strip(T.found(t, r"(?i)(?:BRD|business requirements?(?:\s+document)?)\s+for\s+([^\n.]+)"))
     told = T.found(t, r"(?is)(?:overview|process description)\s*[:\-]\s*(.+?)(?:\n\s*\n|Items|Epics|\z)")
     section = T.section_blob(t, ("Items", "Epics", "Features", "User Stories", "Rows"))
-    blob = F.coalesce(F.nullif(section, F.lit("")), t)
-    rows = T.pipe_rows(blob, L.ITEM_COLUMNS, 2)
-    typed = F.filter(rows, lambda r: F.lower(r["type"]).rlike("epic|feature|story"))
+    rows = T.let(section, lambda s: T.pipe_rows(F.when(s != "", s).otherwise(t), L.ITEM_COLUMNS, 2))
+
+    def typed(rows: Column) -> Column:
+        own = F.filter(rows, lambda r: F.lower(r["type"]).rlike("epic|feature|story"))
+        return T.let(own, lambda found: F.when(F.size(found) > 0, found).otherwise(rows))
+
     given = T.first_key(kv, "document_date", "date")
     staged = base.select(
         *notes.columns,
@@ -187,7 +190,7 @@ def extract_requirements(
         F.coalesce(X.to_iso_date(given), given, F.lit(today)).alias("document_date"),
         F.coalesce(kv["area_path"], F.lit(area_path)).alias("area_path"),
         F.coalesce(T.first_key(kv, "overview", "description"), T.strip(T.squeeze(told))).alias("overview"),
-        F.when(F.size(typed) > 0, typed).otherwise(rows).alias("__items"),
+        T.let(rows, typed).alias("__items"),
     )
     if polish:
         staged = L.polish_items(staged, "__items", F.coalesce("overview", F.lit("")))
