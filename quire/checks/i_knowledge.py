@@ -10,7 +10,7 @@ from quire.checks import check
 from quire.functions import passages as P, text as T
 from quire.operators import knowledge as KB, lines as LN
 from quire.plans import merge as M, retrieve as R
-from quire.sources.tables import table
+from quire.sources.tables import spread, table
 
 @check(
     "jn14_under",
@@ -238,7 +238,7 @@ def _(spark, folder):
     with_views("tpl", "select p_partkey as template_id, trim(concat('Dear Mr ', p_brand, ', your  for ', p_type, '.')) as text from part"),
 )
 def _(spark, folder):
-    rows = table(spark, folder, "part").select(
+    rows = spread(table(spark, folder, "part"), "p_partkey").select(
         F.col("p_partkey").alias("template_id"), F.lit("Dear {{ name }}, your {{missing}} for [Item Kind].").alias("text"),
         F.create_map(F.lit("Name"), F.concat(F.lit("Mr "), "p_brand"), F.lit("Item Kind"), F.col("p_type")).alias("answers"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import keys as K, text as T
+from quire.sources.tables import spread
 
 
 def answer_of(answers: Column, label: Column) -> Column:
@@ -20,16 +21,17 @@ def merged_cells(cells: DataFrame, documents: DataFrame) -> DataFrame:
     Placeholders of six forms are replaced; a blank, a dash or a bracketed cell right of a label that names an answer
     takes the answer. ``filled`` is ``placeholder``, ``neighbour`` or null. A value put in is no label itself.
     """
-    both = documents.select("doc", "template_id", "answers").join(cells, "template_id")
-    own = T.fill_text(F.coalesce("text", F.lit("")), F.col("answers"))
-    staged = both.select("doc", "sheet", "r", "c", F.coalesce("text", F.lit("")).alias("before"), own.alias("own"), "answers")
+    spelled = spread(documents.select("doc", "template_id", "answers"), "doc").withColumn("spelled", T.spellings(F.col("answers")))
+    both = spelled.join(cells, "template_id")
+    own = T.fill_spelled(F.coalesce("text", F.lit("")), F.col("spelled"))
+    staged = both.select("doc", "sheet", "r", "c", F.coalesce("text", F.lit("")).alias("before"), own.alias("own"), "answers", "spelled")
     label = K.snake(F.regexp_replace(T.strip(F.col("own")), r":+$", ""))
     left = staged.select("doc", "sheet", "r", (F.col("c") + 1).alias("c"), answer_of(F.col("answers"), label).alias("value")).where("value is not null")
     bare = T.strip(F.col("before"))
     place = bare.isin("", "-", "—") | bare.startswith("[")
     joined = staged.join(left, ["doc", "sheet", "r", "c"], "left").withColumn("taken", F.when(place, F.col("value")))
     return joined.select(
-        "doc", "sheet", "r", "c", F.coalesce(T.fill_text(F.col("taken"), F.col("answers")), "own").alias("text"),
+        "doc", "sheet", "r", "c", F.coalesce(T.fill_spelled(F.col("taken"), F.col("spelled")), "own").alias("text"),
         F.when(F.col("taken").isNotNull(), "neighbour").when(F.col("own") != F.col("before"), "placeholder").alias("filled"),
     )
 
