@@ -54,3 +54,16 @@ def test_line_diff(spark):
     assert shown[300] == [(0, "added", "a")] and shown[301] == [(0, "removed", "b")] and 302 not in shown and 303 not in shown
     changes = {(r.pair, r.field, r.change, r.before, r.after) for r in linediff.line_changes(frame).where("pair >= 200").collect()}
     assert changes == {(200, "line 15001", "updated", many[15_000], "put in"), (300, "line 1", "added", "", "a"), (301, "line 1", "removed", "b", "")}
+
+
+def test_only_lines_that_may_be_changes_are_moved(spark):
+    """Texts of pairs whose common lines keep their order stay where they are; a moved or repeated line brings all lines of its pair."""
+    rows = [(1, "a\nb\nc\nd", "a\nx\nc\nd"), (2, "a\nb\nc", "b\na\nc"), (3, "a\nb", "a\na\nb"), (4, "", "\n".join(f"new {k}" for k in range(100)))]
+    pairs = spark.createDataFrame(rows, "pair long, old string, new string")
+    moved = {}
+    for r in linediff._changed_lines(pairs, "new", "old").collect():
+        moved.setdefault(r.pair, []).append((r.pos, r.line))
+    assert sorted(moved[1]) == [(1, "x")] and len(moved[2]) == 3 and len(moved[3]) == 3 and len(moved[4]) == 100
+    changes = {(r.pair, r.field, r.change, r.before, r.after) for r in linediff.line_changes(pairs).where("pair <= 3").collect()}
+    assert (1, "line 2", "updated", "b", "x") in changes and sum(c[0] == 1 for c in changes) == 1
+    assert sum(c[0] == 2 for c in changes) == 2 and {c[2:] for c in changes if c[0] == 3} == {("added", "", "a")}
