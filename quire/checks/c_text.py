@@ -343,7 +343,7 @@ _BARE = "regexp_replace(regexp_replace(regexp_replace({x}, '^\\s+|\\s+$', '', 'g
     ),
 )
 def _(spark, folder):
-    return N.general_notes(spark, folder).select("doc_id", F.explode(T.kv_map(F.col("text"))).alias("key", "value"))
+    return T.unfolded(N.general_notes(spark, folder), ["doc_id"], F.map_entries(T.kv_map(F.col("text"))), "e").select("doc_id", "e.key", "e.value")
 
 
 @check(

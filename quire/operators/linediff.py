@@ -34,7 +34,7 @@ def _bare(side: str) -> Column:
 
 def _lines(pairs: DataFrame, side: str) -> DataFrame:
     """pair, pos, line of one of the texts."""
-    return pairs.select("pair", F.posexplode(_bare(side)).alias("pos", "line")).select("pair", F.col("pos").cast("bigint").alias("pos"), "line")
+    return T.unfolded(pairs, ["pair"], _bare(side), "line").select("pair", F.col("pos").cast("bigint").alias("pos"), "line")
 
 
 def _changed_lines(pairs: DataFrame, side: str, other: str) -> DataFrame:
@@ -52,7 +52,7 @@ def _changed_lines(pairs: DataFrame, side: str, other: str) -> DataFrame:
     judged = lacking.withColumn("__sure", F.when(few, common(F.col("__h"), F.col("__own")) == common(F.col("__o"), F.col("__theirs"))).otherwise(False))
     place = F.transform("__l", lambda line, i: F.struct(i.cast("bigint").alias("pos"), line.alias("line")))
     kept = F.when(F.col("__sure"), F.filter(place, lambda p: F.array_contains("__own", F.get("__h", p["pos"].cast("int"))))).otherwise(place)
-    return judged.select("pair", F.explode(kept).alias("p")).select("pair", "p.pos", "p.line")
+    return T.unfolded(judged, ["pair"], kept, "p", "at").select("pair", "p.pos", "p.line")
 
 
 def _hashed(pairs: DataFrame, side: str) -> DataFrame:

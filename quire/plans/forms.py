@@ -139,7 +139,7 @@ def extract_functions(
     found = staged.withColumn("__piped", piped).withColumn(
         "__rows",
         F.when(F.size("__piped") > 0, F.col("__piped")).otherwise(
-            F.when(F.size(prose) > 0, prose).otherwise(L.prose_rows(F.col("__t")))
+            T.let(prose, lambda rows: F.when(F.size(rows) > 0, rows).otherwise(L.prose_rows(F.col("__t"))))
         ),
     )
     known = F.coalesce(F.col("business_process"), F.lit(""))
@@ -270,7 +270,7 @@ def extract_pitch(notes: DataFrame, text: str = "text") -> DataFrame:
         & s.rlike(r"(?i)^(?:for\b|our solution\b)|(?:so that|we built|one[- ]sentence)"),
     )
     sections = {
-        name: F.when(T.section_blob(t, heads, PITCH_STOPS) != "", _bullets(T.section_blob(t, heads, PITCH_STOPS)))
+        name: T.let(T.section_blob(t, heads, PITCH_STOPS), lambda blob: F.when(blob != "", _bullets(blob)))
         for name, heads in PITCH_SECTIONS.items()
     }
     built_said = F.transform(

@@ -65,10 +65,14 @@ def section_points(points: Column, limit: int | None) -> Column:
     lines = F.filter(F.transform(points, T.bare_line), lambda p: p != "")
     if limit is None:
         return lines
-    only = F.get(lines, F.lit(0))
-    sentences = F.filter(F.transform(F.split(only, r"(?<=[.!?])\s+"), lambda s: T.strip(s)), lambda s: s != "")
-    long = (F.size(lines) == 1) & (F.length(only) > 140) & (F.size(sentences) >= 2)
-    return F.when(long, sentences).otherwise(lines)
+
+    def cut(lines: Column) -> Column:
+        only = F.get(lines, F.lit(0))
+        sentences = F.filter(F.transform(F.split(only, r"(?<=[.!?])\s+"), lambda s: T.strip(s)), lambda s: s != "")
+        long = (F.size(lines) == 1) & (F.length(only) > 140) & (F.size(sentences) >= 2)
+        return F.when(long, sentences).otherwise(lines)
+
+    return T.let(lines, cut)
 
 
 def slide_request(ctx: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -106,4 +110,4 @@ def slide_request(ctx: DataFrame, key: str = "doc_id") -> DataFrame:
     for slide, name, label, limit in SECTIONS:
         points = section_points(F.coalesce(F.col(name), F.array().cast("array<string>")), limit)
         rows = F.concat(rows, F.transform(points, pointed(slide, label)))
-    return ctx.select(key, F.explode(rows).alias("r")).select(key, "r.*")
+    return T.unfolded(ctx, [key], rows, "r", "__i").select(key, "r.*")

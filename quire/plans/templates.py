@@ -27,7 +27,7 @@ def _usable(fields: DataFrame) -> DataFrame:
 
 def text_fields(paragraphs: DataFrame) -> DataFrame:
     """Tokens, placeholders and drawn lines of paragraphs (template_id, pos, text)."""
-    found = paragraphs.select("template_id", "pos", F.posexplode(T.field_candidates(F.col("text"))).alias("k", "f"))
+    found = T.unfolded(paragraphs, ["template_id", "pos"], T.field_candidates(F.col("text")), "f", "k")
     zero = F.lit(0)
     return found.select("template_id", _place(0, F.col("pos"), zero, zero, F.col("k")), "f.id", "f.label", "f.source")
 
@@ -49,7 +49,7 @@ def grid_fields(cells: DataFrame) -> DataFrame:
     at = [F.col("no"), F.col("r"), F.col("c")]
     header = rows.where("is_head and text <> ''").select("template_id", _place(1, *at, F.lit(0)), K.snake(F.col("text")).alias("id"), F.col("text").alias("label"), F.lit("detected").alias("source"))
     body = rows.where("not is_head and text <> ''")
-    tokens = body.select("template_id", *[c.alias(n) for c, n in zip(at, "abc", strict=True)], F.posexplode(T.field_candidates(F.col("text"))).alias("k", "f")).select(
+    tokens = T.unfolded(body, ["template_id", *[c.alias(n) for c, n in zip(at, "abc", strict=True)]], T.field_candidates(F.col("text")), "f", "k").select(
         "template_id", _place(1, F.col("a"), F.col("b"), F.col("c"), F.col("k")), "f.id", "f.label", "f.source"
     )
     right = staged.select("template_id", "sheet", "r", (F.col("c") - 1).alias("c"), F.col("text").alias("next"))

@@ -142,3 +142,31 @@ def test_listings_write_only_what_changes(spark, tmp_path):
     put(rows(("a", "2024-01-01", "9"), ("b", "2024-01-01", "2")), 1)
     assert sorted((r.key, r.etag) for r in streams.latest_objects(spark, str(tmp_path)).collect()) == [("a", "2"), ("b", "2")]
     assert [r.key for r in spark.read.parquet(f"{tmp_path}/latest/batch=1").collect()] == ["b"]
+
+
+def test_arrays_become_rows_without_a_filter_ahead_of_the_exchange(spark):
+    """The array is computed once, after the rows are dealt; nulls and empty arrays give no row."""
+    from pyspark.sql import functions as F
+
+    from quire.functions import text as T
+
+    rows = spark.createDataFrame([(1, "a\nb"), (2, None), (3, "")], "k long, t string").repartition(3, "k")
+    made = T.line_table(rows, ["k"], "t")
+    assert sorted(tuple(r) for r in made.collect()) == [(1, 0, "a"), (1, 1, "b"), (3, 0, "")]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan
+    none = T.unfolded(rows, ["k"], F.filter(T.lines(F.col("t")), lambda s: s == "z"))
+    assert none.collect() == []
+
+
+def test_words_are_counted_from_the_front(spark):
+    from pyspark.sql import functions as F
+
+    from quire.functions import text as T
+
+    texts = ["", " ", "a b", "/a / b c", "one two three four five six seven eight", "one two three four five six seven eight nine", "a/b/c/d/e/f/g/h/i", "Five words end here now.", "w" * 81, "a:"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.looks_like_label("t").alias("l"), T.word_count_over(F.col("t"), 1).alias("n")).collect()
+    assert [r.l for r in found] == [False, False, True, True, True, False, False, False, False, True]
+    assert all(r.n == (len(r.t.split()) > 1) for r in found)
+    once = spark.createDataFrame([("A: 1\nB: 2\nx\n- a: 3",)], "t string").select(F.map_entries(T.kv_map(F.col("t"))).alias("m"), T.bare_line(F.lit("\t -• * x y \r")).alias("b")).first()
+    assert [tuple(e) for e in once.m] == [("b", "2"), ("a", "3")] and once.b == "x y"
