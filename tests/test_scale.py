@@ -98,3 +98,15 @@ def test_headers_are_scored_in_one_step(spark):
     made = spec.assign_columns(spark.createDataFrame(rows, shape))
     assert "ArrowEvalPython" not in made._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.node_id, r.idx, r.field) for r in made.collect()) == [(1, 0, "status"), (1, 1, "__serial_no__"), (1, 2, None), (2, 0, None), (2, 1, None)]
+
+
+def test_large_stored_tables_are_merged_however_small_their_files(spark):
+    from quire.sources import staged as ST
+
+    many = ST.staged(spark.range(ST.SMALL + 1).select("id", F.lit("alike").alias("text")), "many")
+    few = ST.staged(spark.range(50).select("id", F.lit("few").alias("other")), "few")
+    none = ST.staged(spark.range(0).select("id", F.lit("none").alias("nothing")), "none")
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan(many.join(many.where("id % 2 = 0").select("id", F.col("text").alias("again")), "id"))
+    assert "Broadcast" in plan(spark.range(10).join(few, "id"))
+    assert none.count() == 0 and many.join(few, "id").count() == 50
