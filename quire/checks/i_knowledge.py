@@ -163,7 +163,8 @@ def _(spark, folder):
     "case when p_size % 2 = 0 then 'kb acceptance' else 'user acceptance text' end as acceptance from part",
 )
 def _(spark, folder):
-    parts = table(spark, folder, "part")
+    # every item is compared with all suggestions of its scope: the short rows are dealt over all tasks before that
+    parts = spread(table(spark, folder, "part"), "p_partkey")
     own = F.col("p_size") % 2 == 0
     items = parts.select(
         F.col("p_partkey").alias("doc_id"), F.lit(0).alias("ord"), (F.col("p_partkey") % 3).alias("scope"), F.lit("Feature").alias("type"), F.concat(F.lower("p_type"), F.lit(" handling steps")).alias("name"),
@@ -178,7 +179,8 @@ def _(spark, folder):
         F.lit("kb acceptance").alias("acceptance"), F.array(F.lit("one"), F.lit("two")).alias("flow"),
     )
     suggested = every.select("scope", F.struct(F.hash("scope", "p_type").alias("o"), row.alias("row")).alias("r")).groupBy("scope").agg(F.array_sort(F.collect_list("r"))["row"].alias("suggested"))
-    return KB.enrich_items(items, suggested, ["scope"]).select("doc_id", "ord", "description", "acceptance")
+    # three rows go to the items; items moved to three scopes would stand in three tasks
+    return KB.enrich_items(items, F.broadcast(suggested), ["scope"]).select("doc_id", "ord", "description", "acceptance")
 
 
 def note_lines(spark, folder):

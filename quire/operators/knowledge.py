@@ -57,8 +57,8 @@ def alias_root(text: Column, root: Column, aliases: Sequence[tuple[Sequence[str]
 
 def _code_spans(hay: Column) -> Column:
     """Every stretch of a text that reads as a code, inside longer digits too."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(hay) - 1, F.lit(1)))
-    heads = F.filter(F.transform(starts, lambda i: F.substring(hay, i, F.lit(14))), lambda s: s.rlike(r"^\d{2}"))
+    # looking ahead, one pass finds the stretches that begin at any sign; cutting them out by position would read the text anew for each
+    heads = F.array_distinct(T.all_found(hay, r"(?=(\d{2}[\d.]{0,12}))"))
     shapes = [r"^\d{2}" + "".join(rf"\.\d{{{n}}}" for n in widths) for levels in range(4) for widths in itertools.product((2, 3), repeat=levels)]
     spans = F.flatten(F.transform(heads, lambda s: F.array(*[F.regexp_extract(s, shape, 0) for shape in shapes])))
     return F.array_distinct(F.filter(spans, lambda s: s != ""))
@@ -159,37 +159,62 @@ def blank(value: Column, least: int = 1) -> Column:
     return F.length(T.strip(F.coalesce(value, F.lit("")))) < least
 
 
-def enrich_item(item: Column, suggested: Column) -> Column:
+def read_offers(suggested: Column) -> Column:
+    """What items are compared with of each suggestion: its name and description in lower case, and their words."""
+    def read(row: Column) -> Column:
+        hay = F.lower(F.concat(F.coalesce(row["name"], F.lit("")), F.lit(" "), F.coalesce(row["description"], F.lit(""))))
+        return T.let(hay, lambda h: F.struct(h.alias("hay"), T.word_tokens(h).alias("words")))
+
+    return F.transform(suggested, read)
+
+
+def lacks(item: Column) -> Column:
+    """A description under 24 characters, an acceptance under 12 or an empty flow."""
+    flow = F.size(F.coalesce(item["flow"], F.array().cast("array<string>"))) == 0
+    return blank(item["description"], 24) | blank(item["acceptance"], 12) | flow
+
+
+def enrich_item(item: Column, suggested: Column, offers: Column | None = None) -> Column:
     """An item (type, name, description, acceptance, flow) with what it lacks from its best suggestion of two or more points.
 
     10 points for each code of its name in the suggestion's name and description, 1 for each shared word; the first of
-    equals. A description under 24 characters, an acceptance under 12 and an empty flow count as lacking.
+    equals. A description under 24 characters, an acceptance under 12 and an empty flow count as lacking. ``offers`` are
+    ``read_offers(suggested)``, for callers that compare more than one item with them.
     """
     name = F.lower(F.coalesce(item["name"], F.lit("")))
-    codes, words = T.codes_in(name), T.word_tokens(name)
+    offers = read_offers(suggested) if offers is None else offers
 
-    def points(row: Column) -> Column:
-        hay = F.lower(F.concat(F.coalesce(row["name"], F.lit("")), F.lit(" "), F.coalesce(row["description"], F.lit(""))))
-        return 10 * F.size(F.filter(codes, lambda c: hay.contains(c))) + F.size(F.array_intersect(words, T.word_tokens(hay)))
+    def best_of(asked: Column) -> Column:
+        def points(offer: Column) -> Column:
+            return 10 * F.size(F.filter(asked["codes"], lambda c: offer["hay"].contains(c))) + F.size(F.array_intersect(asked["words"], offer["words"]))
+
+        return F.array_max(F.transform(offers, lambda o, i: F.struct(points(o).alias("points"), (-i).alias("first"))))
+
+    # the name is read once and every suggestion is rated once, however many fields ask for the best one
+    asked = F.struct(T.codes_in(name).alias("codes"), T.word_tokens(name).alias("words"))
+    best = F.when(lacks(item), T.let(asked, best_of))
+
+    def filled(best: Column) -> Column:
+        fit = F.coalesce(best["points"] >= 2, F.lit(False))
+        row = F.get(suggested, -best["first"])
 
-    best = F.array_max(F.transform(suggested, lambda s, i: F.struct(points(s).alias("points"), (-i).alias("first"))))
-    row = F.get(suggested, -best["first"])
-    fit = F.coalesce(best["points"] >= 2, F.lit(False))
+        def either(field: str, least: int) -> Column:
+            return F.when(fit & blank(item[field], least), F.coalesce(F.nullif(row[field], F.lit("")), item[field])).otherwise(item[field]).alias(field)
 
-    def either(field: str, least: int) -> Column:
-        return F.when(fit & blank(item[field], least), F.coalesce(F.nullif(row[field], F.lit("")), item[field])).otherwise(item[field]).alias(field)
+        flow = F.when(fit & (F.size(F.coalesce(item["flow"], F.array().cast("array<string>"))) == 0), F.coalesce(row["flow"], item["flow"])).otherwise(item["flow"])
+        return F.struct(item["type"].alias("type"), item["name"].alias("name"), either("description", 24), either("acceptance", 12), flow.alias("flow"))
 
-    flow = F.when(fit & (F.size(F.coalesce(item["flow"], F.array().cast("array<string>"))) == 0), F.coalesce(row["flow"], item["flow"])).otherwise(item["flow"])
-    return F.struct(item["type"].alias("type"), item["name"].alias("name"), either("description", 24), either("acceptance", 12), flow.alias("flow"))
+    return T.let(best, filled)
 
 
 def enrich_items(items: DataFrame, suggested: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Items (keys, ord, type, name, description, acceptance, flow) enriched from the ``suggested`` array of their keys."""
-    both = items.join(suggested.select(*keys, "suggested"), list(keys), "left")
+    # suggestions are read before they meet the items of their keys
+    offered = suggested.select(*keys, "suggested", read_offers(F.col("suggested")).alias("__offers"))
+    both = items.join(offered, list(keys), "left")
     fields = ("type", "name", "description", "acceptance", "flow")
     rest = [c for c in items.columns if c not in fields]
-    none = F.lit(None).cast(suggested.schema["suggested"].dataType)
-    made = enrich_item(F.struct(*fields), F.coalesce(F.col("suggested"), none))
+    made = enrich_item(F.struct(*fields), F.col("suggested"), F.col("__offers"))
     # without suggestions the item stays as it is
     kept = F.when(F.coalesce(F.size("suggested"), F.lit(0)) > 0, made).otherwise(F.struct(*fields))
     return both.select(*rest, kept.alias("__item")).select(*rest, *[F.col("__item")[f].alias(f) for f in fields])
@@ -212,7 +237,9 @@ def enrich_context(contexts: DataFrame, suggested: DataFrame, keys: Sequence[str
     own = F.coalesce("items", F.expr("cast(array() as " + contexts.schema["items"].dataType.simpleString() + ")"))
     theirs = F.coalesce(F.col("__s.items"), F.slice(own, 1, 0))
     staged = both.withColumns({"__own": own, "__theirs": theirs}).withColumn(
-        "__rich", F.transform("__own", lambda item: enrich_item(item, F.col("__theirs")))
+        "__rich", F.when(F.exists("__own", lacks), T.let(
+            read_offers(F.col("__theirs")), lambda offers: F.transform("__own", lambda item: enrich_item(item, F.col("__theirs"), offers))
+        )).otherwise(F.col("__own"))
     )
     thin = F.forall("__own", lambda item: blank(item["description"], 24) & blank(item["acceptance"], 12))
     replaced = (F.size("__own") == 0) | (thin & (F.size("__theirs") > F.size("__own")))

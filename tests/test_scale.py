@@ -110,3 +110,31 @@ def test_large_stored_tables_are_merged_however_small_their_files(spark):
     assert "Broadcast" not in plan(many.join(many.where("id % 2 = 0").select("id", F.col("text").alias("again")), "id"))
     assert "Broadcast" in plan(spark.range(10).join(few, "id"))
     assert none.count() == 0 and many.join(few, "id").count() == 50
+
+
+def test_codes_of_a_long_text_are_found_in_one_pass(spark):
+    from quire.operators import knowledge as KB
+
+    texts = ["", "5", "a 12.345.67x 123.456", "10.20.30.40.50\n99", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(KB._code_spans(F.col("t")).alias("s")).collect()
+    assert sorted(rows[2].s) == sorted(["12", "12.34", "12.345", "12.345.67", "23", "23.45", "23.456", "34", "45", "45.67", "56", "67"])
+    assert "10.20.30.40" in rows[3].s and "99" in rows[3].s and rows[0].s == [] and rows[1].s == []
+    long = spark.range(1).select(F.repeat(F.lit("10.20.300 words of a step\n"), 12_000).alias("t"))
+    assert _seconds(long.select(KB._code_spans(F.col("t")))) < 8
+
+
+def test_suggestions_are_read_once_for_all_items(spark):
+    from quire.operators import knowledge as KB
+
+    row = "struct<type:string,name:string,description:string,acceptance:string,flow:array<string>>"
+    offers = [("Feature", f"handling of lot {k} with many words behind it {k}", "A description that is long enough", "kb acceptance", ["one"]) for k in range(150)]
+    suggested = spark.createDataFrame([(0, offers)], f"scope int, suggested array<{row}>")
+    items = spark.range(8_000).selectExpr(
+        "id", "cast(id % 2 as int) as scope", "'Feature' as type", "concat('Handling lots behind words ', id) as name", "'short' as description", "'' as acceptance", "cast(array() as array<string>) as flow"
+    )
+    made = KB.enrich_items(items, suggested, ["scope"])
+    # words are taken once of an item's name and once of a suggestion, wherever they are asked for
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("([a-z0-9]{4,})") == 2
+    rows = made.where("id < 2").orderBy("id").collect()
+    assert (rows[0].description, rows[0].acceptance, rows[0].flow) == ("A description that is long enough", "kb acceptance", ["one"])
+    assert (rows[1].description, rows[1].acceptance, rows[1].flow) == ("short", "", [])
