@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions import keys as K, text as T
+from quire.sources.staged import staged
 
 # --- fixed values: lengths and the field of a template that names none ------------------------------
 HEADER_CHARS, LABEL_CHARS, OUTLINE, PREVIEW, SUMMARY = 40, 48, 8, 4000, 240
@@ -39,20 +40,20 @@ def grid_fields(cells: DataFrame) -> DataFrame:
     read for tokens, and is a label itself if the cell right of it is blank or a place to write on.
     """
     sheets = cells.groupBy("template_id", "sheet").agg(F.min("r").alias("top"))
-    staged = cells.select("template_id", "sheet", "r", "c", T.strip(F.coalesce("text", F.lit(""))).alias("text")).join(sheets, ["template_id", "sheet"])
-    first = staged.where("r = top and text <> ''").groupBy("template_id", "sheet").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("long"))
+    bare = cells.select("template_id", "sheet", "r", "c", T.strip(F.coalesce("text", F.lit(""))).alias("text")).join(sheets, ["template_id", "sheet"])
+    first = bare.where("r = top and text <> ''").groupBy("template_id", "sheet").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("long"))
     heads = first.where((F.col("n") >= 2) & (F.col("long") <= HEADER_CHARS)).select("template_id", "sheet", F.lit(True).alias("headed"))
-    marked = staged.join(heads, ["template_id", "sheet"], "left").withColumn("is_head", (F.col("r") == F.col("top")) & F.coalesce("headed", F.lit(False)))
+    marked = bare.join(heads, ["template_id", "sheet"], "left").withColumn("is_head", (F.col("r") == F.col("top")) & F.coalesce("headed", F.lit(False)))
     # sheets stand by name
     order = marked.select("template_id", "sheet").distinct().withColumn("no", F.row_number().over(W.partitionBy("template_id").orderBy("sheet")))
-    rows = marked.join(order, ["template_id", "sheet"])
+    rows = staged(marked.join(order, ["template_id", "sheet"]), "placed")
     at = [F.col("no"), F.col("r"), F.col("c")]
     header = rows.where("is_head and text <> ''").select("template_id", _place(1, *at, F.lit(0)), K.snake(F.col("text")).alias("id"), F.col("text").alias("label"), F.lit("detected").alias("source"))
     body = rows.where("not is_head and text <> ''")
     tokens = T.unfolded(body, ["template_id", *[c.alias(n) for c, n in zip(at, "abc", strict=True)]], T.field_candidates(F.col("text")), "f", "k").select(
         "template_id", _place(1, F.col("a"), F.col("b"), F.col("c"), F.col("k")), "f.id", "f.label", "f.source"
     )
-    right = staged.select("template_id", "sheet", "r", (F.col("c") - 1).alias("c"), F.col("text").alias("next"))
+    right = rows.select("template_id", "sheet", "r", (F.col("c") - 1).alias("c"), F.col("text").alias("next"))
     label = T.strip(F.regexp_replace("text", r":+$", ""))
     beside = body.join(right, ["template_id", "sheet", "r", "c"], "left").withColumn("label", label)
     named = beside.where(T.is_blank_slot(F.coalesce("next", F.lit(""))) & F.length("label").between(2, LABEL_CHARS) & ~F.col("label").rlike(r"^\d+$")).select(
@@ -80,6 +81,9 @@ def analyze_templates(paragraphs: DataFrame, cells: DataFrame, spec_fields: Data
     (template_id, ord, id, label) are added to templates without a literal ``{{token}}``. A template without any field gets
     one that asks for its title. The outline is its headings and sheets, else its first eight labels.
     """
+    # every part below reads both
+    paragraphs = staged(paragraphs.select("template_id", "pos", "text", "heading"), "paragraphs")
+    cells = staged(cells.select("template_id", "sheet", "r", "c", "text"), "sheets")
     found = _usable(text_fields(paragraphs).unionByName(grid_fields(cells)))
     best = found.groupBy("template_id", "id").agg(F.min(F.struct("place", "label", "source")).alias("f")).select("template_id", "id", "f.*")
     if spec_fields is not None:
@@ -98,9 +102,9 @@ def analyze_templates(paragraphs: DataFrame, cells: DataFrame, spec_fields: Data
     whole = _previews(paragraphs, cells).join(listed, "template_id", "left").join(outline, "template_id", "left").join(tables, "template_id", "left")
     keep = lambda f: F.struct(f["id"].alias("id"), f["label"].alias("label"), f["question"].alias("question"), f["source"].alias("source"))
     alone = F.array(F.struct(*[F.lit(v).alias(n) for v, n in zip(FALLBACK, ("id", "label", "question"), strict=True)], F.lit("fallback").alias("source")))
-    staged = whole.withColumn("fields", F.coalesce(F.transform("fs", keep), alone))
+    told = whole.withColumn("fields", F.coalesce(F.transform("fs", keep), alone))
     labels = F.when(F.col("fs").isNull(), F.array().cast("array<string>")).otherwise(F.slice(F.col("fields.label"), 1, OUTLINE))
-    return staged.select(
+    return told.select(
         "template_id", "fields", F.col("fields.question").alias("questions"), F.coalesce("heads", labels).alias("outline"), F.coalesce("tables", F.lit(0)).cast("bigint").alias("tables"),
         F.exists("fields", lambda f: f["source"] == "placeholder").alias("literal"), "preview", F.substring("preview", 1, SUMMARY).alias("summary"),
     )

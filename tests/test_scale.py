@@ -138,3 +138,13 @@ def test_suggestions_are_read_once_for_all_items(spark):
     rows = made.where("id < 2").orderBy("id").collect()
     assert (rows[0].description, rows[0].acceptance, rows[0].flow) == ("A description that is long enough", "kb acceptance", ["one"])
     assert (rows[1].description, rows[1].acceptance, rows[1].flow) == ("short", "", [])
+
+
+def test_inputs_of_templates_are_computed_once(spark):
+    from quire.plans import templates as TP
+
+    texts = spark.range(2).selectExpr("id as template_id", "0 as pos", "'Dear {{ name }}' as text", "false as heading")
+    cells = spark.range(2).selectExpr("-1 - id as template_id", "'Form' as sheet", "1 as r", "1 as c", "'Owner' as text")
+    made = TP.analyze_templates(texts, cells)
+    assert "Range (" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.template_id: [f.id for f in r.fields] for r in made.collect()} == {0: ["name"], 1: ["name"], -1: ["owner"], -2: ["owner"]}
