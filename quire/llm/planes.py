@@ -16,10 +16,11 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -36,6 +37,8 @@ FILE_IDS = 1 << 23
 LEVEL = 3
 #: Distinct chunks that a worker remembers.
 ROOM = 600_000
+#: Texts whose words are laid out at once, and their bytes.
+PART, PART_BYTES = 1_000, 1 << 22
 MAGIC = b"QPLANES1"
 
 #: Runs of spaces and line feeds with the text up to the next: the pre-tokenizer never joins text with a blank behind it.
@@ -44,6 +47,8 @@ _CHUNK = re.compile(rb"[ \n]*[^ \n]+|[ \n]+")
 _SIMPLE = re.compile(r" [^\s\x00-\x20\x85᠎]+\Z")
 _PLAIN = re.compile(r"[ \n]*[^\s\x00-\x20\x85᠎]+\Z|[ \n]+\Z")
 _BREAK = b"\n"
+#: What stands before the first word of a text among its words.
+_FIRST = b"\n\n"
 
 
 def _chunk_entries(path: str):
@@ -77,22 +82,29 @@ def _chunk_entries(path: str):
 
 
 class Memory:
-    """Entries of keys: of words behind a space, of words at the start of a line, of chunks with their blanks.
+    """Entries of keys: of the words of a text (``_words``), of chunks with their blanks.
 
     Up to ``room`` keys stay; what a batch needs besides leaves with the batch.
     """
 
     def __init__(self, make, room: int = ROOM) -> None:
         self.make, self.room = make, room
-        self.known: dict[str, dict[bytes, bytes | None]] = {"word": {}, "start": {}, "chunk": {}}
+        self.known: dict[str, dict[bytes, bytes | None]] = {"word": {}, "chunk": {}}
         self.passing: list[tuple[dict, dict]] = []
 
-    def fill(self, kind: str, keys: set[bytes]):
-        """A lookup for these keys, until ``settle``."""
+    def _words(self, keys: list[bytes]) -> list[bytes | None]:
+        """A word behind a space takes the space along, the first word of a later line its line feed."""
+        made = self.make([*(k.lstrip(_BREAK) if k.startswith(_BREAK) else b" " + k for k in keys), _BREAK])
+        line_feed = made.pop()
+        behind = [k.startswith(_BREAK) and not k.startswith(_FIRST) for k in keys]
+        return [line_feed + m if b and m is not None else m for b, m in zip(behind, made, strict=True)]
+
+    def fill(self, kind: str, keys: Iterable[bytes]):
+        """A lookup for these keys, none of them twice, until ``settle``."""
         known = self.known[kind]
-        new = list(keys.difference(known))
+        new = [k for k in keys if k not in known]
         if new:
-            made = dict(zip(new, self.make([b" " + k for k in new] if kind == "word" else new), strict=True))
+            made = dict(zip(new, self._words(new) if kind == "word" else self.make(new), strict=True))
             if sum(map(len, self.known.values())) + len(made) > self.room:
                 self.passing.append((known, made))
             known.update(made)
@@ -114,24 +126,42 @@ def _usual(text: bytes) -> bool:
     return not (not text or b"  " in text or b"\n\n" in text or b" \n" in text or b"\n " in text or text[0] in b" \n" or text[-1] in b" \n")
 
 
+def _words(texts: list[bytes]) -> pa.Array:
+    """Lists of the words of usual texts: bare behind a space, with a line feed at the start of a line, with two at the start."""
+    return pc.split_pattern(pa.array([_FIRST + t.replace(_BREAK, b" " + _BREAK) for t in texts], pa.large_binary()), " ")
+
+
+def _values(column: pa.Array) -> list[bytes]:
+    """The values of a column without nulls."""
+    ends = np.frombuffer(column.buffers()[1], "<i8", len(column) + 1).tolist()
+    return list(map(column.buffers()[2].to_pybytes().__getitem__, map(slice, ends[:-1], ends[1:])))
+
+
 def encode_texts(texts: list[bytes], memory: Memory, whole) -> list[bytes]:
-    """Ids of texts from the entries of their words; ``whole`` encodes a text that has a chunk without an entry."""
-    lines = [[line.split(b" ") for line in t.split(b"\n")] if _usual(t) else None for t in texts]
-    words = memory.fill("word", set().union(*[line[1:] for t in lines if t for line in t]))
-    starts = memory.fill("start", {line[0] for t in lines if t for line in t})
-    odd = {k: _CHUNK.findall(t) for k, t in enumerate(texts) if lines[k] is None}
-    chunks = memory.fill("chunk", set().union({_BREAK}, *odd.values()))
-    line_feed, out = chunks(_BREAK), []
-    for k, text in enumerate(texts):
-        try:
-            if lines[k] is None:
-                out.append(b"".join(map(chunks, odd[k])))
-            else:
-                out.append(line_feed.join([b"".join([starts(line[0]), *map(words, line[1:])]) for line in lines[k]]))
-        except TypeError:  # a chunk without an entry
-            out.append(whole(text))
+    """Ids of texts from the entries of their words; ``whole`` encodes a text that has a chunk without an entry.
+
+    Words are split, told apart and laid out again as Arrow columns, so only distinct ones are looked up.
+    """
+    out: list[bytes | None] = [None] * len(texts)
+    usual = [k for k, t in enumerate(texts) if _usual(t)]
+    if usual:
+        lists = _words([texts[k] for k in usual])
+        words = lists.flatten().dictionary_encode()
+        keys = _values(words.dictionary)
+        laid = pa.array(map(memory.fill("word", keys), keys), pa.large_binary(), size=len(keys)).take(words.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        gaps = np.concatenate([[0], np.cumsum(laid.is_null().to_numpy(zero_copy_only=False))])[ends]
+        content, at = laid.buffers()[2], np.frombuffer(laid.buffers()[1], "<i8", len(laid) + 1)[ends].tolist()
+        for k, first, last, gap in zip(usual, at[:-1], at[1:], np.diff(gaps).tolist(), strict=True):
+            if not gap:
+                out[k] = content.slice(first, last - first).to_pybytes()
+    odd = {k: _CHUNK.findall(texts[k]) for k in set(range(len(texts))).difference(usual)}
+    chunks = memory.fill("chunk", set().union(*odd.values()))
+    for k, parts in odd.items():
+        found = list(map(chunks, parts))
+        out[k] = None if None in found else b"".join(found)
     memory.settle()
-    return out
+    return [whole(t) if ids is None else ids for t, ids in zip(texts, out, strict=True)]
 
 
 def _encoded(path: str, end: int):
@@ -144,8 +174,10 @@ def _encoded(path: str, end: int):
             return np.array(made.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            # so many texts as make up a part's bytes on average
+            rows = max(1, min(PART, PART_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 found = encode_texts([t or b"" for t in raw(part, "text")], memory, whole)
                 packed = [ids + last for ids in found]
                 out = [packer.compress(np.frombuffer(p, "<u4").astype("<u2").tobytes() if narrow else p) for p in packed]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import io
 import itertools
@@ -250,3 +251,18 @@ def test_distance_in_the_tree():
     for _ in range(html_text.FAR):
         chains[0] = html_text.Node(chains[0], chains[0].depth + 1)
     assert html_text.distance(*chains) is None
+
+
+def test_repeated_words_are_looked_up_once():
+    made = bpe.tokenizer(BYTES)
+    plain = lambda t: np.array(made.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    looked = collections.Counter()
+
+    class Counting(planes.Memory):
+        def fill(self, kind, keys):
+            lookup = super().fill(kind, keys)
+            return lookup if kind == "chunk" else lambda key: looked.update([key]) or lookup(key)
+
+    texts = [b"one two two\none two", b"two one\ntwo", "\u00e9t\u00e9 two\u00a0x\nit's 'tis".encode(), b"", b" two  one\n\ntwo ", b"one\ttwo two", b"a <|endoftext|> b"] * 3
+    assert planes.encode_texts(texts, Counting(planes._chunk_entries(BYTES), room=4), plain) == [plain(t) for t in texts]
+    assert looked and set(looked.values()) == {1}
