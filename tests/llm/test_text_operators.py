@@ -134,6 +134,14 @@ def test_quality_hands_on_texts_without_frequent_lines(spark):
     assert all(tuple(r)[2:] == (rows[k][2] if k < 40 else "other", "x", "y", "z", 1) for k, r in kept.items())
 
 
+def test_quality_moves_texts_compressed(spark):
+    rows = [(k, "\n".join(f"line {k} of the same few words" for _ in range(50)), "h") for k in range(40)] + [(90, None, "h"), (91, "", None)]
+    moved = quality._dropped(docs_of(spark, rows), "text", "source", quality.MAX_TEXTS, quality.MAX_SHARE, quality.MAX_CLASSES).collect()
+    assert sum(len(r.text) for r in moved if r.text) < sum(len(t) for _, t, _ in rows if t) / 4
+    judged = {r.id: r.text for r in quality.judge(docs_of(spark, rows)).collect()}
+    assert judged == {k: t for k, t, _ in rows}
+
+
 def test_repeated_words_against_brute_force():
     rng = random.Random(5)
     for _ in range(200):
