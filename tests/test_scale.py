@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.functions import similarity as S, text as T
-from quire.operators import cells as G, ordered as O
-from quire.plans import spec
+from quire.operators import catalog, cells as G, ordered as O
+from quire.plans import extract, spec
+from quire.session import checkpoint_dir
 from quire.sources.tables import spread
 
 
@@ -148,3 +151,28 @@ def test_inputs_of_templates_are_computed_once(spark):
     made = TP.analyze_templates(texts, cells)
     assert "Range (" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert {r.template_id: [f.id for f in r.fields] for r in made.collect()} == {0: ["name"], 1: ["name"], -1: ["owner"], -2: ["owner"]}
+
+
+def test_office_filter_computes_the_key_once(spark):
+    names = spark.createDataFrame([("a.docx",), ("b.txt",), (None,)], "n string")
+    keys = names.select(F.concat(F.lit("template/marker/"), "n").alias("key"))
+    found = catalog.office_objects(keys)
+    filtered = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert filtered and all(line.count("template/marker/") <= 1 for line in filtered)
+    assert [r.key for r in found.collect()] == ["template/marker/a.docx"]
+
+
+def test_scores_are_laid_out_once_a_distinct_label(spark):
+    names = (("date", ("date", "day")), ("owner", ("owner",)))
+    labels = ["Date", None, "Owner", "Date", ""]
+    found = S._scorer(names, 0.35).func(pa.array(labels, pa.string())).to_pylist()
+    assert found == [S._ranker(names, 0.35)(label) for label in labels]
+    shown = spark.createDataFrame([(x,) for x in labels], "label string").select(S.role_scores(F.col("label")).alias("s")).collect()
+    assert shown[0] == shown[3] and shown[1].s == [] and shown[0].s[0].score == 1.0
+
+
+def test_texts_of_notes_are_stored_once(spark):
+    notes = spark.createDataFrame([(1, "Status: open\n")], "doc_id long, text string")
+    facts, _ = extract.extract_facts(notes)
+    kept = [name for name in os.listdir(checkpoint_dir(spark)) if name.startswith("texts-")]
+    assert kept and [(r.role, r.value) for r in facts.collect()] == [("status", "open")]
