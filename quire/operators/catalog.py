@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from quire.functions import keys as K
+from quire.functions import keys as K, text as T
 from quire.operators import inventory as I
 from quire.operators.ordered import best_per_group, part_rank
 
@@ -14,12 +14,14 @@ _FILE_ORDER = ("versioned", "ver", "last_modified", "key")
 def office_objects(inventory: DataFrame) -> DataFrame:
     """Template files in an office format.
 
-    Both tests read the key alone, so they reach below the merge of listings and into the scan.
+    Both tests read the key alone, so they reach below the merge of listings and into the scan. There a key may be an
+    expression of many parts: it is computed once, however often the tests name it, and its start decides first.
     """
-    return inventory.where(
-        (K.classify_area(F.col("key")) == "templates")
-        & K.extension(K.base_name(F.col("key"))).isin(*K.OFFICE_EXTENSIONS)
-    )
+    return inventory.where(T.let(
+        F.col("key"),
+        lambda key: F.lower(K.slashed(key)).startswith("template") & (K.classify_area(key) == "templates")
+        & K.extension(K.base_name(key)).isin(*K.OFFICE_EXTENSIONS),
+    ))
 
 
 def _described(files: DataFrame) -> DataFrame:
