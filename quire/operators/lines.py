@@ -7,28 +7,28 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quire.functions import text as T
 from quire.operators.ordered import carry_forward, neighbour, running_sum
 
-BULLET = r"^\s*(?:[-*•·]|\d+[.)])\s+(.+?)\s*$"
+BULLET = r"\A(?:[-*•·]|\d++[.)])\s"
 
 
 def line_class(line: Column) -> Column:
-    """bullet, table, blank, heading (``Label:`` alone) or text."""
-    t = T.strip(line)
+    """bullet, table, blank, heading (``Label:`` alone) or text, of a line without blanks around it."""
     return (
-        F.when(t == "", "blank").when(t.rlike(BULLET), "bullet").when(t.contains("|"), "table")
-        .when(t.endswith(":") & T.looks_like_label(t), "heading").otherwise("text")
+        F.when(line == "", "blank").when(line.rlike(BULLET), "bullet").when(line.contains("|"), "table")
+        .when(line.endswith(":") & T.looks_like_label(line), "heading").otherwise("text")
     )
 
 
 def carry_heading(lines: DataFrame) -> DataFrame:
     """Latest heading at or above each line (doc_id, line_no, line)."""
-    tagged = lines.withColumn("class", line_class(F.col("line")))
-    heading = F.when(F.col("class") == "heading", F.regexp_replace(T.strip(F.col("line")), r":+$", ""))
-    return carry_forward(tagged, ["doc_id"], "line_no", heading, "heading")
+    bare = lines.withColumn("__bare", T.trim_line(F.col("line")))
+    tagged = bare.withColumn("class", line_class(F.col("__bare")))
+    heading = F.when(F.col("class") == "heading", F.rtrim("__bare", F.lit(":")))
+    return carry_forward(tagged, ["doc_id"], "line_no", heading, "heading").drop("__bare")
 
 
 def block_runs(lines: DataFrame) -> DataFrame:
     """Runs of consecutive lines of one class: doc_id, block, class, first, last, n."""
-    tagged = lines.withColumn("class", line_class(F.col("line")))
+    tagged = lines.withColumn("__bare", T.trim_line(F.col("line"))).withColumn("class", line_class(F.col("__bare")))
     before = neighbour(tagged.select("doc_id", "line_no", "class"), ["doc_id"], "line_no", {"class": "before"}, -1)
     starts = before.withColumn("start", F.when(F.col("class").eqNullSafe(F.col("before")), 0).otherwise(1))
     numbered = running_sum(starts, ["doc_id"], "line_no", F.col("start"), "block")

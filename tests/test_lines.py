@@ -40,3 +40,26 @@ def test_sums_of_earlier_parts_enter_without_a_join(spark):
     assert "Join" not in _plan(summed)
 
 
+def test_runs_of_lines_are_found_without_moving_them(spark):
+    lines = ["Head:", "- a", "2) b", "", "x | y", "| z |", "plain", "so on", "- ", "3.x", "* c"]
+    frame = spread(spark.createDataFrame([(d, i, x) for d in (1, None) for i, x in enumerate(lines)], "doc_id long, line_no int, line string"), "doc_id")
+    runs = LN.block_runs(frame)
+    # lines are read twice, as the sums of parts are taken in a pass of their own
+    assert "Join" not in _plan(runs) and _plan(runs).count("Exchange hashpartitioning") == 2
+    want = [("heading", 0, 0, 1), ("bullet", 1, 2, 2), ("table", 4, 5, 2), ("text", 6, 9, 4), ("bullet", 10, 10, 1)]
+    # lines of an unknown document meet no other
+    alone = [(k, i, i, 1) for k, a, b, _ in want for i in range(a, b + 1)]
+    assert sorted((str(r.doc_id), r.first, r["class"], r["last"], r.n) for r in runs.collect()) == sorted((d, a, k, b, n) for d, rows in (("1", want), ("None", alone)) for k, a, b, n in rows)
+
+
+def test_headings_are_read_from_bare_lines(spark):
+    lines = [" Action items: ", "\t- one", "Plan::", "1) two: ", "a | b:", "x" * 90 + ":", "", "Owner : ", ":"]
+    frame = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, line_no int, line string")
+    carried = LN.carry_heading(frame)
+    assert [r.heading for r in carried.orderBy("line_no").collect()] == ["Action items", "Action items", "Plan", "Plan", "Plan", "Plan", "Plan", "Owner ", ""]
+    assert carried.columns == ["doc_id", "line_no", "line", "class", "heading"]
+    # blanks are taken off by their ends, not looked for all over the line
+    plan = carried._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS __bare" in plan and "regexp_replace(line" not in plan
+
+
