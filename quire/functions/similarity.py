@@ -254,10 +254,17 @@ def nearest_columns(fields: pd.Series, names: pd.Series, headers: pd.Series) ->
     return pd.Series([one(*row) for row in zip(fields, names, headers)])
 
 
-_ODD_ONE = re.compile(r"[^\w\s%/&.-]|\s")
+_ODD_ONE = re.compile(r"[^\w %/&.-]")
 _LOOSE = " :*-."
 
 
+def _loose(codes: np.ndarray) -> np.ndarray:
+    found = np.zeros(len(codes), dtype=bool)
+    for sign in _LOOSE:
+        found |= codes == ord(sign)
+    return found
+
+
 def _hopeful(q: str, words: frozenset[str], t: str, step: int) -> Iterable[int]:
     """Starts of the windows of ``t`` that may be 0.82 similar to ``q``; every one left out is proven not to be.
 
@@ -277,14 +284,21 @@ def _hopeful(q: str, words: frozenset[str], t: str, step: int) -> Iterable[int]:
         seen = np.concatenate(([0], np.cumsum(mask)))
         return seen[ends] - seen[starts]
 
-    shared, firm = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
-    for sign, times in Counter(q).items():
-        have = np.minimum(within(codes == ord(sign)), times)
-        shared += have
-        if sign not in _LOOSE:
-            firm += have
-    solid = within(~np.isin(codes, [ord(c) for c in _LOOSE]))
-    good = (2 * shared >= 0.91 * (len(q) + shared)) | (firm == solid)
+    # signs of the quote, counted as often as a window holds them: where even these are too few, their numbers are not compared
+    times = sorted(Counter(q).items())
+    signs = np.array([ord(sign) for sign, _ in times], dtype=np.uint32)
+    place = np.minimum(np.searchsorted(signs, codes), len(signs) - 1)
+    held, loose = signs[place] == codes, _loose(codes)
+    most = np.minimum(within(held), len(q))
+    good = np.zeros(len(starts), dtype=bool)
+    maybe = np.flatnonzero((2 * most >= 0.91 * (len(q) + most)) | (within(~held & ~loose) == 0))
+    if len(maybe):
+        each = starts[maybe][:, None] + np.arange(min(len(q), len(t)))
+        signs_of = (np.arange(len(maybe))[:, None] * len(signs) + place[each])[held[each]]
+        have = np.bincount(signs_of, minlength=len(maybe) * len(signs)).reshape(len(maybe), len(signs))
+        have = np.minimum(have, [n for _, n in times])
+        shared, firm = have.sum(axis=1), have[:, ~_loose(signs)].sum(axis=1)
+        good[maybe] = (2 * shared >= 0.91 * (len(q) + shared)) | (firm == (~loose[each]).sum(axis=1))
     for word in words:
         at = flat.find(word)
         while at >= 0:

@@ -63,3 +63,30 @@ def test_headings_are_read_from_bare_lines(spark):
     assert "AS __bare" in plan and "regexp_replace(line" not in plan
 
 
+ODD = ["", None, "A_b  C", " -- x . y:* ", "é̀Ä ß—--\t\n\x0bq", "a%b/c&d.e-f", "(x) [y]  {z}", "one two  three ,four", "😀 ok", "İI", "a\x1cb‍c", ". .", "a\r\nb\rc\n\n", "\x85 z", "x y　z"]
+
+
+def test_normal_texts_are_as_their_plain_form_gives(spark):
+    dice = random.Random(9)
+    signs = [*"abZ09 _-.:*%/&,()|\t\n\r", " ", " ", "\x1c", "\x85", "é", "—", "ß", "̀", "‍"]
+    texts = [*ODD, *("".join(dice.choice(signs) for _ in range(dice.randint(0, 40))) for _ in range(400))]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    plain = F.translate(F.lower(F.coalesce("t", F.lit(""))), "_ ", "  ")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?U)[^\w\s%/&.-]+", " "), r"(?U)\s+", " ")
+    both = frame.select("t", T.normalize_text(F.col("t")).alias("a"), F.trim(T.strip(plain, " :*-.")).alias("b"), T.lines(F.col("t")).alias("c"), F.split("t", T.LINE_BREAK).alias("d"))
+    for r in both.collect():
+        assert r.a == r.b and r.c == r.d, ascii(r)
+    # blanks and punctuation are squeezed in one pass
+    assert frame.select(T.normalize_text(F.col("t")).alias("a"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
+def test_window_filter_counts_once_for_all_signs():
+    quote, text = "nobody wrote this sentence", "the agenda focused on reviewing bolts and on stock levels " * 400
+    words = S._words(quote)
+    calls, plain = [], S.np.cumsum
+    S.np.cumsum = lambda *a, **k: calls.append(1) or plain(*a, **k)
+    try:
+        assert list(S._hopeful(quote, words, text, 6)) == []
+    finally:
+        S.np.cumsum = plain
+    assert len(calls) <= 3
