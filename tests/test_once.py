@@ -35,3 +35,10 @@ def test_records_are_read_once_a_block(spark):
     assert rows.where("doc_id is null").count() == 3 and rows.where("doc_id = 2").count() == 0
 
 
+def test_quotes_of_tasks_are_found_once(spark):
+    docs = spark.createDataFrame([(1, "Ada Adler will check the bolt stock by 20 August 2024. Nothing else."), (2, "none")], "doc_id long, text string")
+    told = extract.narrative_collections(docs)
+    assert _optimized(told).count("regexp_extract_all(text") == 2
+    assert [(r.doc_id, r.role, r["items"][0]["owner"]) for r in told.collect()] == [(1, "action_items", "Ada Adler")]
+
+
