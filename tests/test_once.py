@@ -42,3 +42,13 @@ def test_quotes_of_tasks_are_found_once(spark):
     assert [(r.doc_id, r.role, r["items"][0]["owner"]) for r in told.collect()] == [(1, "action_items", "Ada Adler")]
 
 
+def test_parts_of_protected_cells_are_merged(spark):
+    cells = spark.sql(
+        "select 1L as book, 'S' as sheet, r, c, text, true as is_anchor, false as has_formula, false as locked from values (1, 1, 'Title'), (2, 1, 'Owner'), (2, 2, 'Ada'), (3, 1, 'A note'), (5, 1, 'in a table') as t(r, c, text)"
+    )
+    place = "1L as book, 'S' as sheet"
+    banners, band = spark.sql(f"select {place}, 1 as r, 1 as c, 'Title' as text"), spark.sql(f"select {place}, 5 as r, 1 as c")
+    pairs = spark.sql(f"select {place}, 2 as r, 1 as c, 2 as t_r, 2 as t_c, 'right' as how")
+    made = spec.spec_protected(cells, banners, band, pairs)
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r.node_id, r.reason) for r in made.collect()) == [("S::A1", "section header"), ("S::A2", "label text"), ("S::A3", "static content")]
